@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm.shared import read
+from siltstone.llm.shared import crc32_mod, read
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,53 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _tokenizer() -> str:
+    """The public vocabulary file; the operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _held_out(column: str = "doc_id"):
+    """The fold whose labels are never learnt from."""
+    return crc32_mod(F.col(column), 4) == 2
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import language_id
+
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~_held_out()))
+    out = language_id.language_id(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.token_output import token_files
+
+    return token_files(read(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~_held_out()))
+    out = toxicity.toxicity(docs, model)
+    return out.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.token_counts import token_counts
+
+    return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_language_id": op3_language_id,
+    "op4_token_output": op4_token_output,
+    "op5_toxicity": op5_toxicity,
+    "op8_token_counts": op8_token_counts,
 }
 ORACLES: dict[str, str] = {}
