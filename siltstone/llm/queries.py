@@ -53,6 +53,26 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import mixing
+
+    rows = mixing.sized(read(spark, sf_dir, "documents"))
+    return mixing.take(rows, mixing.plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import sharding
+    from siltstone.llm.shared import stored
+
+    docs = read(spark, sf_dir, "documents")
+    text = F.col("text")
+    narrow = docs.select("doc_id", "source", "lang", sharding.size_of(text).alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), sharding.group_of(text).alias("__grp"))
+    narrow = stored(narrow, "shard-rows")
+    out = sharding.sharding(narrow.withColumn("__bytes", F.col("size")), 40)
+    out = sharding.with_slots(out, narrow.count(), ["doc_id", "text_crc32"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.token_counts import token_counts
 
@@ -64,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_token_output": op4_token_output,
     "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
