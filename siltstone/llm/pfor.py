@@ -12,7 +12,7 @@ import struct
 
 import numpy as np
 
-BLOCK = 256
+BLOCK = 1024
 PERCENTILE = 90
 _HEAD = struct.Struct("<4sIQI")
 _BLOCK = struct.Struct("<IBH")
