@@ -60,6 +60,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take(rows, mixing.plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.decontamination import decontamination
+
+    out = decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm import sharding
     from siltstone.llm.shared import stored
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
