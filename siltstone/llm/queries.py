@@ -80,6 +80,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.token_counts import token_counts
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
