@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import only_columns, ship
+from siltstone.llm.shared import only_columns, ship, stored
 
 DIM = 4096
 SAMPLE_PER_LANG = 600
@@ -103,7 +103,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "id", F.pandas_udf(_packed_counts, "binary")("text").alias("v"))
     by_lang: dict[str, list] = {}
-    for r in sample.where("v IS NOT NULL").toLocalIterator():
+    for r in stored(sample.where("v IS NOT NULL"), "language-sample").toLocalIterator():
         by_lang.setdefault(r["lang"], []).append((str(r["id"]), bytes(r["v"])))
     languages = sorted(by_lang)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import only_columns, ship
+from siltstone.llm.shared import only_columns, ship, stored
 
 SAMPLE_ROWS = 14_000
 BITS = 20
@@ -150,7 +150,7 @@ def fit(
         return pd.DataFrame(out, columns=["own", "other"])
 
     got = sample.select("id", "toxic", hashed("text").alias("f")).select("id", "toxic", "f.*")
-    numbers = sorted(((r["id"], r["toxic"], np.frombuffer(r["own"], np.int32), None if r["other"] is None else np.frombuffer(r["other"], np.int32)) for r in got.toLocalIterator()), key=lambda r: (r[0], r[2].tobytes()))
+    numbers = sorted(((r["id"], r["toxic"], np.frombuffer(r["own"], np.int32), None if r["other"] is None else np.frombuffer(r["other"], np.int32)) for r in stored(got, "toxicity-sample").toLocalIterator()), key=lambda r: (r[0], r[2].tobytes()))
     return train([r[2] for r in numbers], np.array([r[1] for r in numbers], dtype=bool), [(r[2], r[3]) for r in numbers if r[3] is not None], penalty)
 
 
