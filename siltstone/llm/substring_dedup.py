@@ -10,7 +10,7 @@ Both comparisons run alike. A task gathers a batch of documents; equal runs insi
 one entry a distinct run and batch is sent on, with the batch's least document (so a passage that a third of all
 documents share costs one entry a batch). Entries travel packed: sorted 48-bit hashes, with a table of the
 document ids, in one row a batch and bucket. Buckets are ranges of the hash; one bucket is one group of the shuffle.
-The text is shuffled once, by id; both joins with it reuse that exchange.
+The text is shuffled once, by id and compressed; both joins with it reuse that exchange.
 
 Defined cases: null and empty texts have no words; documents shorter than WINDOW keep all words; rows with equal
 ids do not remove each other's words; null ids are neither compared nor cut; an empty table gives an empty result; other columns
@@ -24,6 +24,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,6 +202,19 @@ def _keys(cell) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.uint64) if parts else np.zeros(0, np.uint64)
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed UTF-8, for the shuffle."""
+    zip_ = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = [None if t is None else zip_(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+
+def _words(cell, unzip) -> list[bytes]:
+    packed = cell.as_py()
+    return unzip(packed).split() if packed else []
+
+
 def _probe(buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -231,10 +245,10 @@ def _window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
 def _extend(buckets: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            batch_of = _Batch(buckets, exact=True)
+            batch_of, unzip = _Batch(buckets, exact=True), zstandard.ZstdDecompressor().decompress
             for batch in batches:
                 for doc, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                    words = words_of(text.as_py())
+                    words = _words(text, unzip)
                     if len(words) < window:
                         continue
                     base, one, two = _window_hashes(words, window)
@@ -254,10 +268,11 @@ def _extend(buckets: int, window: int, block: int):
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, removed, texts = [], [], []
             for text, keys in zip(batch.column(1), batch.column(2), strict=True):
-                words = words_of(text.as_py())
+                words = _words(text, unzip)
                 gone, found = 0, _keys(keys)
                 if len(found) and len(words) >= window:
                     _, one, two = _window_hashes(words, window)
@@ -290,7 +305,10 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = 2 * parts
     docs = only_columns(df, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    by_id = docs.repartition(parts, "doc_id")
+    packed = docs.mapInArrow(_squeeze, "doc_id long, packed binary")
+    # Without null ids both joins want the same rows of it, so that the second one reuses the first one's shuffle.
+    by_id = packed.where("doc_id IS NOT NULL").repartition(parts, "doc_id")
+    nameless = docs.where("doc_id IS NULL").mapInArrow(_squeeze, "doc_id long, packed binary")
     result = "d long, keys binary"
 
     def met(packed: DataFrame, exact: bool) -> DataFrame:
@@ -298,7 +316,8 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_
         return each.groupBy("d").agg(F.collect_list("keys").alias("keys"))  # at most 8 bytes a run of the document
 
     hits = met(docs.mapInArrow(_probe(buckets, window, block), _PACKED), exact=False)
-    near = by_id.join(hits, F.col("doc_id") == F.col("d")).select("doc_id", "text", "keys")
+    near = by_id.join(hits, F.col("doc_id") == F.col("d")).select("doc_id", "packed", "keys")
     repeats = met(near.mapInArrow(_extend(buckets, window, block), _PACKED), exact=True)
-    out = by_id.join(repeats, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "keys")
+    out = by_id.join(repeats, F.col("doc_id") == F.col("d"), "left").select("doc_id", "packed", "keys")
+    out = out.unionByName(nameless.withColumn("keys", F.lit(None).cast("array<binary>")))
     return out.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
