@@ -10,9 +10,12 @@ SIDE = 10.
 2. Rows of tables with a single member drop out by an aggregation by key. In the other tables every member is
    paired with the table's least member, never with all others.
 3. Pairs are confirmed on full sets and linked. First each member with the least of its tables; then, among pairs
-   whose ends are not yet in one component, the remaining pairs with tables' least members; then all pairs of one
-   table whose ends still lie in different components (which loses no link that the tables hold, but leaves out
-   the pairs inside a group of near copies, whose number would grow with its square).
+   whose ends are not yet in one component, the remaining pairs with tables' least members.
+4. Tables that still hold several components are settled exactly, without pairing their members: each member sends
+   its rarest shingles, so many that two sets of the wanted similarity must share one, and only members of different
+   components that do share one, and whose sizes allow a link, are paired. Rarity is judged by counts in a fixed number
+   of hash buckets (RARITY); any order that is the same for all sets is right, this one keeps common passages out.
+   So a passage that thousands of documents share, or a group of near copies, gives no pairs in the square of its size.
 
 Shingles are compared as 64-bit hashes. Defined cases: documents without words have no shingles, no links and are
 kept; one with fewer words than a shingle has its word sequence as its only shingle; rows with equal ids are one
@@ -36,6 +39,8 @@ from siltstone.llm.hashing import mixed, run_hashes, word_hashes, words_of
 from siltstone.llm.shared import BROADCAST_ROWS, only_columns, ship, stored
 
 SIDE = 10
+#: Buckets of shingle counts; what the driver holds and broadcasts is 8 bytes each, at any size of the input.
+RARITY = 1 << 18
 _rng = np.random.default_rng(20240517)
 _XOR = _rng.integers(0, 1 << 63, 4 * SIDE, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, 4 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,6 +136,49 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return out.where(F.coalesce("c1", "a") != F.coalesce("c2", "b")).select("a", "b")
 
 
+def _sharing_rare(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """a, b: members of different components that share one of their rarest shingles and may be similar enough."""
+    side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    own = sets.join(side, F.col("id") == F.col("rep")).select("id", "c", "set")
+    shift = np.uint64(64 - (RARITY.bit_length() - 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            held = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            total += np.bincount((held >> shift).astype(np.int64), minlength=RARITY)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+    counted = own.select("set").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(RARITY, np.int64)
+    table[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, owners, sizes = [], [], []
+            for i, cell in enumerate(batch.column(2)):
+                s = np.frombuffer(cell.as_py(), np.uint64)
+                want = len(s) - -(-percent * len(s) // 100) + 1
+                order = np.lexsort((s, shared.value[(s >> shift).astype(np.int64)]))[:want]
+                hashes.append(s[order].view(np.int64))
+                owners.append(np.full(len(order), i))
+                sizes.append(np.full(len(order), len(s), np.int64))
+            owner = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
+            flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat(hashes)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(flat(sizes))], ["h", "id", "c", "n"])
+
+    rare = own.mapInArrow(rarest, "h long, id long, c long, n long")
+    # A shingle sent by one component alone pairs nothing.
+    lively = rare.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("h").alias("k"))
+    rare = stored(rare.join(lively, F.col("h") == F.col("k")).select("h", "id", "c", "n"), "near-rare")
+    one = rare.select("h", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    two = rare.select(F.col("h").alias("h2"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+    return one.join(two, (F.col("h") == F.col("h2")) & fits).select("a", "b").distinct()
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
     ship(df.sparkSession)
@@ -154,10 +202,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     # Tables that still hold members of two components or more.
     marked = members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed_keys = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("key").alias("k"))
-    marked = stored(marked.join(mixed_keys, F.col("key") == F.col("k")).select("key", "rep", "c"), "near-mixed")
-    other = marked.select(F.col("key").alias("k2"), F.col("rep").alias("b"), F.col("c").alias("c2"))
-    rest = marked.withColumnRenamed("rep", "a").join(other, (F.col("key") == F.col("k2")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("c2"))).select("a", "b").distinct()
-    last = confirm(rest.join(stars, ["a", "b"], "left_anti"))
+    open_members = stored(marked.join(mixed_keys, F.col("key") == F.col("k")).select("rep", "c").distinct(), "near-open")
+    last = confirm(_sharing_rare(confirm.sets, open_members, percent).join(stars, ["a", "b"], "left_anti"))
     if not last.isEmpty():
         found = stored(connected_components(links.unionByName(last)), "near-components")
     by_class = classes.select(F.col("fp").alias("f"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("f", F.coalesce("component", "rep").alias("component"))
