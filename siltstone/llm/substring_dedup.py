@@ -33,7 +33,7 @@ from siltstone.llm.shared import only_columns, ship
 
 WINDOW, BLOCK = 50, 25
 #: Runs gathered before a batch is sent on.
-BATCH = 2_000_000
+BATCH = 1_000_000
 _BITS = 48
 _PACKED = "bucket int, kind int, docs binary, doc_at binary, high binary, low binary, more binary, flags binary"
 _FIELDS = ["bucket", "kind", "docs", "doc_at", "high", "low", "more", "flags"]
