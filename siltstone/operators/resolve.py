@@ -30,7 +30,7 @@ def _known(chunks: DataFrame, alias: str) -> DataFrame:
 
 
 def resolve_python(calls: DataFrame, imports: DataFrame, chunks: DataFrame) -> DataFrame:
-    """calls with target_qn (null if unresolved) and stage: 1 same module, 2 import alias, 3 the only function of that name.
+    """calls with target_qn (null if unresolved) and stage: 0 unresolved, 1 same module, 2 import alias, 3 the only function of that name.
     imports: owner_qn, alias, target_qn."""
     wanted = F.concat(F.regexp_replace("module_path", r"[/\\]", "."), F.lit("."), F.col("called_name"))
     rows = calls.where(F.col("language") == "python").withColumn("__want", wanted)
@@ -39,7 +39,7 @@ def resolve_python(calls: DataFrame, imports: DataFrame, chunks: DataFrame) -> D
     rows = rows.join(alias, (F.col("caller_qn") == F.col("owner_qn")) & (F.col("called_name") == F.col("alias")), "left").drop("owner_qn", "alias")
     only = name_index(chunks).where("n = 1").select(F.col("name").alias("__name"), F.col("first_qn").alias("__three"))
     rows = rows.join(only, F.col("called_name") == F.col("__name"), "left")
-    stage = F.when(F.col("__one").isNotNull(), 1).when(F.col("__two").isNotNull(), 2).when(F.col("__three").isNotNull(), 3)
+    stage = F.when(F.col("__one").isNotNull(), 1).when(F.col("__two").isNotNull(), 2).when(F.col("__three").isNotNull(), 3).otherwise(0)
     return rows.select(*calls.columns, F.coalesce("__one", "__two", "__three").alias("target_qn"), stage.alias("stage"))
 
 
@@ -58,7 +58,7 @@ def resolve_csharp(calls: DataFrame, chunks: DataFrame) -> DataFrame:
     near = functions.groupBy(F.col("name").alias("__cname"), "__cns").agg(F.min_by("qualified_name", F.struct("ord", "qualified_name")).alias("__near"))
     rows = rows.join(near, (F.col("called_name") == F.col("__cname")) & (F.col("__ns") == F.col("__cns")), "left")
     target = F.when(F.col("__one").isNotNull(), F.col("__one")).when(F.col("__n") == 1, F.col("__first")).otherwise(F.coalesce("__near", "__first"))
-    stage = F.when(F.col("__one").isNotNull(), 1).when(F.col("__n") == 1, 2).when(F.col("__near").isNotNull(), 3).when(F.col("__first").isNotNull(), 4)
+    stage = F.when(F.col("__one").isNotNull(), 1).when(F.col("__n") == 1, 2).when(F.col("__near").isNotNull(), 3).when(F.col("__first").isNotNull(), 4).otherwise(0)
     return rows.select(*calls.columns, target.alias("target_qn"), stage.alias("stage"))
 
 
