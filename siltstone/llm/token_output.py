@@ -36,7 +36,7 @@ from siltstone.llm import pfor
 from siltstone.llm.shared import only_columns, shared_folder, ship
 
 SEGMENT = 1 << 19
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 _LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я", "0-9²³¹¼-¾"
 #: Characters whose classes are spelled out below; they are those of the public pattern of byte-level BPE vocabularies.
 PLAIN = re.compile("[\t\n\x0b\x0c\r -~\xa1-ɏΑ-ΡΣ-ωА-я‐-‧‰-›€]*")
