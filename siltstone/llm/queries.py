@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.oracles import ORACLES as ORACLES
 from siltstone.llm.shared import crc32_mod, read
 
 
@@ -110,4 +111,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
