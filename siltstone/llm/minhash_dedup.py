@@ -39,8 +39,8 @@ from siltstone.llm.hashing import mixed, run_hashes, word_hashes, words_of
 from siltstone.llm.shared import BROADCAST_ROWS, only_columns, ship, stored
 
 SIDE = 10
-#: Buckets of shingle counts; what the driver holds and broadcasts is 8 bytes each, at any size of the input.
-RARITY = 1 << 18
+#: Buckets of shingle counts; what the driver holds and broadcasts is 4 bytes each (8 MB), at any size of the input.
+RARITY = 1 << 21
 _rng = np.random.default_rng(20240517)
 _XOR = _rng.integers(0, 1 << 63, 4 * SIDE, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, 4 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,13 +151,13 @@ def _sharing_rare(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
     counted = own.select("set").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(RARITY, np.int64)
-    table[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    table = np.zeros(RARITY, np.int32)
+    table[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), np.iinfo(np.int32).max)
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, owners, sizes = [], [], []
+            hashes, owners, sizes, places = [], [], [], []
             for i, cell in enumerate(batch.column(2)):
                 s = np.frombuffer(cell.as_py(), np.uint64)
                 want = len(s) - -(-percent * len(s) // 100) + 1
@@ -165,17 +165,21 @@ def _sharing_rare(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
                 hashes.append(s[order].view(np.int64))
                 owners.append(np.full(len(order), i))
                 sizes.append(np.full(len(order), len(s), np.int64))
+                places.append(np.arange(len(order)))
             owner = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
             flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat(hashes)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(flat(sizes))], ["h", "id", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat(hashes)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(flat(sizes)), pa.array(flat(places))], ["h", "id", "c", "n", "i"])
 
-    rare = own.mapInArrow(rarest, "h long, id long, c long, n long")
+    rare = own.mapInArrow(rarest, "h long, id long, c long, n long, i long")
     # A shingle sent by one component alone pairs nothing.
     lively = rare.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("h").alias("k"))
-    rare = stored(rare.join(lively, F.col("h") == F.col("k")).select("h", "id", "c", "n"), "near-rare")
-    one = rare.select("h", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    two = rare.select(F.col("h").alias("h2"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+    rare = stored(rare.join(lively, F.col("h") == F.col("k")).select("h", "id", "c", "n", "i"), "near-rare")
+    one = rare.select("h", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    two = rare.select(F.col("h").alias("h2"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    # If a pair's first common shingle stands at places ia and ib, at most this many are common; later ones allow less.
+    common = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = (100 + percent) * common >= percent * (F.col("na") + F.col("nb"))
+    fits = enough & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
     return one.join(two, (F.col("h") == F.col("h2")) & fits).select("a", "b").distinct()
 
 
