@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.hashing import run_hashes, word_hashes, words_of
+from siltstone.llm.hashing import mixed, run_hashes, word_hashes, words_of
 from siltstone.llm.shared import only_columns, ship
 
 WINDOW, BLOCK = 50, 25
@@ -142,27 +142,56 @@ def _merged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _by_document(doc: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
+_ANSWER = "part int, d binary, counts binary, keys binary"
+
+
+def _answers(doc: np.ndarray, keys: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row a part of the documents' ids: the documents, how many keys each has, the keys."""
+    part = (mixed(doc.astype(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
+    by = np.lexsort((doc, part))
+    doc, keys, part = doc[by], keys[by], part[by]
+    change = lambda x: np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    starts = change(doc)
+    counts = np.diff(np.append(starts, len(doc)))
+    cuts = [*change(part[starts]).tolist(), len(starts)]
+    rows: list[tuple] = []
+    for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+        low, high = starts[a], starts[b] if b < len(starts) else len(doc)
+        rows.append((int(part[low]), doc[starts[a:b]].tobytes(), counts[a:b].astype(np.uint32).tobytes(), keys[low:high].tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "d", "counts", "keys"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of one part to one row a document."""
+    docs, keys = [], []
+    for batch in batches:
+        for d, n, k in zip(batch.column("d").to_pylist(), batch.column("counts").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+            docs.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32)))
+            keys.append(np.frombuffer(k, np.uint64))
+    doc, key = np.concatenate(docs), np.concatenate(keys)
     by = np.argsort(doc, kind="stable")
-    doc, keys = doc[by], keys[by]
-    if not len(doc):
-        return []
+    doc, key = doc[by], key[by]
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    return [(int(doc[a]), keys[a:b].tobytes()) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True)]
+    ends = [*starts[1:].tolist(), len(doc)]
+    for at in range(0, len(starts), 2000):
+        span = slice(at, at + 2000)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[starts[span]]), pa.array([key[a:b].tobytes() for a, b in zip(starts[span].tolist(), ends[span], strict=True)], pa.binary())], ["d", "keys"])
 
 
-def _meet(exact: bool):
+def _meet(exact: bool, parts: int):
     """Reducer of one bucket: which documents' runs count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, one, two, flags, out = [], [], [], [], []
+        docs, one, two, flags, found, answers = [], [], [], [], [], []
         for batch in batches:
             columns = {n: batch.column(n) for n in _FIELDS[1:]}
             for i in range(batch.num_rows):
                 get = lambda n, i=i: columns[n][i].as_py()  # noqa: B023
                 ids = np.frombuffer(get("docs"), np.int64)
                 if get("kind") == KNOWN:
-                    out.append((int(ids[0]), get("low")))
+                    answers.append(np.frombuffer(get("low"), np.uint64))
+                    found.append(np.full(len(answers[-1]), ids[0]))
                     continue
                 low = np.frombuffer(get("low"), np.uint32).astype(np.uint64)
                 n = len(low)
@@ -183,7 +212,8 @@ def _meet(exact: bool):
                 doc, h, h2 = doc[by], h[by], h2[by]
                 starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]))
                 hit = doc > np.repeat(doc[starts], np.diff(np.append(starts, len(h))))
-                out += _by_document(doc[hit], _joined(h[hit], h2[hit]))
+                found.append(doc[hit])
+                answers.append(_joined(h[hit], h2[hit]))
             else:
                 f = np.concatenate(flags)
                 by = np.argsort(h, kind="stable")
@@ -191,15 +221,15 @@ def _meet(exact: bool):
                 starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 counts = np.diff(np.append(starts, len(h)))
                 hit = np.repeat((counts > 1) & np.logical_or.reduceat(f, starts), counts)
-                out += _by_document(doc[hit], h[hit])
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["d", "keys"])
+                found.append(doc[hit])
+                answers.append(h[hit])
+        yield _answers(np.concatenate(found), np.concatenate(answers), parts)
 
     return run
 
 
 def _keys(cell) -> np.ndarray:
-    parts = cell.as_py()
-    return np.frombuffer(b"".join(parts), np.uint64) if parts else np.zeros(0, np.uint64)
+    return np.frombuffer(cell.as_py() or b"", np.uint64)
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,15 +339,15 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_
     # Without null ids both joins want the same rows of it, so that the second one reuses the first one's shuffle.
     by_id = packed.where("doc_id IS NOT NULL").repartition(parts, "doc_id")
     nameless = docs.where("doc_id IS NULL").mapInArrow(_squeeze, "doc_id long, packed binary")
-    result = "d long, keys binary"
 
     def met(packed: DataFrame, exact: bool) -> DataFrame:
-        each = packed.groupBy("bucket").applyInArrow(_meet(exact), result)
-        return each.groupBy("d").agg(F.collect_list("keys").alias("keys"))  # at most 8 bytes a run of the document
+        """d, keys: one row a document with runs that count; at most 8 bytes a run."""
+        answers = packed.groupBy("bucket").applyInArrow(_meet(exact, parts), _ANSWER)
+        return answers.groupBy("part").applyInArrow(_unpack, "d long, keys binary")
 
     hits = met(docs.mapInArrow(_probe(buckets, window, block), _PACKED), exact=False)
     near = by_id.join(hits, F.col("doc_id") == F.col("d")).select("doc_id", "packed", "keys")
     repeats = met(near.mapInArrow(_extend(buckets, window, block), _PACKED), exact=True)
     out = by_id.join(repeats, F.col("doc_id") == F.col("d"), "left").select("doc_id", "packed", "keys")
-    out = out.unionByName(nameless.withColumn("keys", F.lit(None).cast("array<binary>")))
+    out = out.unionByName(nameless.withColumn("keys", F.lit(None).cast("binary")))
     return out.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
