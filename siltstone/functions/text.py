@@ -203,7 +203,7 @@ def thinking_tags(answer: Column) -> Column:
 
 
 def python_module(path: str, root: str) -> str:
-    """Dotted module of a file below root, else its stem."""
-    base = root.rstrip("/") + "/"
-    rel = path[len(base) :] if path.startswith(base) else path.rpartition("/")[2]
+    """Dotted module of a file below root (without one: of a relative path), else its stem."""
+    base = root.rstrip("/") + "/" if root else ""
+    rel = path[len(base) :] if path.startswith(base) and not (path.startswith("/") and not base) else path.rpartition("/")[2]
     return re.sub(r"\.[^./]*$", "", rel).replace("/", ".")
