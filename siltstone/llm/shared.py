@@ -44,8 +44,17 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of one Arrow batch: texts can be long, and a batch is held by the JVM and by Python at once.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers import this package, wherever they run. Spark's file server sends the zip."""
+    """Let the Python workers import this package, wherever they run (Spark's file server sends the zip), and bound the
+    size of the batches that they get."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, "0")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     context = spark.sparkContext
     if getattr(context, "_siltstone_shipped", False):
         return
