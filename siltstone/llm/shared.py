@@ -52,7 +52,7 @@ def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package, wherever they run (Spark's file server sends the zip), and bound the
     size of the batches that they get."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
-        now = spark.conf.get(key, "0")
+        now = spark.conf.get(key, str(most + 1))  # a smaller setting of the user's stays
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
     context = spark.sparkContext
