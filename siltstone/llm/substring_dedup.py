@@ -49,6 +49,21 @@ def _joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (one << np.uint64(16)) ^ (two * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids as the first one and small differences, where these fit."""
+    steps = np.diff(ids)
+    if len(steps) and 0 <= steps.min() and steps.max() < 1 << 32:
+        return b"d" + ids[:1].tobytes() + steps.astype(np.uint32).tobytes()
+    return b"r" + ids.tobytes()
+
+
+def _unpack_ids(data: bytes) -> np.ndarray:
+    if data[:1] == b"r":
+        return np.frombuffer(data, np.int64, offset=1)
+    first = np.frombuffer(data, np.int64, 1, 1)
+    return np.concatenate([first, first + np.cumsum(np.frombuffer(data, np.uint32, offset=9).astype(np.int64))])
+
+
 class _Batch:
     """Runs of a batch of documents; `exact` batches carry a second hash and look for smaller ids only."""
 
@@ -108,7 +123,7 @@ class _Batch:
             own, where = np.unique(at[s], return_inverse=True)
             where = where.astype(np.uint16 if len(own) <= 65536 else np.uint32)
             yield self._row(
-                b, ENTRY, ids[own], where, (low[s] >> np.uint64(32)).astype(np.uint16), (low[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
+                b, ENTRY, _pack_ids(ids[own]), where, (low[s] >> np.uint64(32)).astype(np.uint16), (low[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                 ((flag[s] >> np.uint64(32)).astype(np.uint16).tobytes() + (flag[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()) if self.exact else b"",
                 b"" if self.exact else np.packbits(flag[s]).tobytes(),
             )
@@ -121,7 +136,7 @@ class _Batch:
         doc, keys = doc[by], keys[by]
         starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True):
-            yield self._row(int(doc[a]) % self.buckets, KNOWN, ids[doc[a : a + 1]], b"", b"", np.unique(keys[a:b]), b"", b"")
+            yield self._row(int(doc[a]) % self.buckets, KNOWN, _pack_ids(ids[doc[a : a + 1]]), b"", b"", np.unique(keys[a:b]), b"", b"")
 
     @staticmethod
     def _row(bucket: int, kind: int, *columns) -> pa.RecordBatch:
@@ -188,7 +203,7 @@ def _meet(exact: bool, parts: int):
             columns = {n: batch.column(n) for n in _FIELDS[1:]}
             for i in range(batch.num_rows):
                 get = lambda n, i=i: columns[n][i].as_py()  # noqa: B023
-                ids = np.frombuffer(get("docs"), np.int64)
+                ids = _unpack_ids(get("docs"))
                 if get("kind") == KNOWN:
                     answers.append(np.frombuffer(get("low"), np.uint64))
                     found.append(np.full(len(answers[-1]), ids[0]))

@@ -60,3 +60,10 @@ def test_shared_passages_at_all_offsets(spark):
         rows.append((rnd.randrange(1000), " ".join(w)))
     rows += [(2000 + i, "same same " * 60) for i in range(5)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+
+
+def test_packed_ids():
+    import numpy as np
+
+    for ids in ([5], [-3, 0, 9], [1, 2, 1 << 40], [-(1 << 62), 1 << 62], list(range(100))):
+        assert op._unpack_ids(op._pack_ids(np.array(ids, np.int64))).tolist() == ids
