@@ -304,9 +304,9 @@ def file_qn(t):
     return rows.select("doc_id", text.file_qualified_name(F.col("p"), F.col("c")).alias("qn"))
 
 
-@query("SELECT qualified_name, 'Name: ' || name || chr(10) || 'Type: ' || type || chr(10) || 'Summary: ' || left(content, 40) || chr(10) || 'Path: ' || filepath AS embed FROM chunks", "chunks")
+@query("SELECT qualified_name, 'Name: ' || name || chr(10) || 'Type: ' || type || chr(10) || 'Summary: ' || content || chr(10) || 'Path: ' || filepath AS embed FROM chunks", "chunks")
 def embed_text(t):
-    return t.chunks.select("qualified_name", text.embed_text(F.col("name"), F.col("type"), F.substring("content", 1, 40), F.col("filepath")).alias("embed"))
+    return t.chunks.select("qualified_name", text.embed_text(F.col("name"), F.col("type"), F.col("content"), F.col("filepath")).alias("embed"))
 
 
 @query(
@@ -554,12 +554,12 @@ def deleted_files(t):
 
 
 @query(
-    "SELECT id, qualified_name, name, content FROM (SELECT coalesce(o.id, n.id) AS id, n.qualified_name, n.name, n.content FROM (SELECT qualified_name, 'new' || name AS name, left(content, 20) AS content, 'n' || doc_id AS id FROM chunks WHERE language <> 'cpp') n LEFT JOIN (SELECT 'o' || doc_id AS id, qualified_name FROM chunks WHERE type <> 'file') o ON o.qualified_name = n.qualified_name UNION ALL SELECT 'o' || doc_id, qualified_name, name, content FROM chunks WHERE type <> 'file' AND language = 'cpp')",
+    "SELECT id, qualified_name, name, content FROM (SELECT coalesce(o.id, n.id) AS id, n.qualified_name, n.name, n.content FROM (SELECT qualified_name, 'new' || name AS name, content || '!' AS content, 'n' || doc_id AS id FROM chunks WHERE language <> 'cpp') n LEFT JOIN (SELECT 'o' || doc_id AS id, qualified_name FROM chunks WHERE type <> 'file') o ON o.qualified_name = n.qualified_name UNION ALL SELECT 'o' || doc_id, qualified_name, name, content FROM chunks WHERE type <> 'file' AND language = 'cpp')",
     "chunks",
 )
 def upsert_last_wins(t):
     old = t.chunks.where("type <> 'file'").select(F.concat(F.lit("o"), "doc_id").alias("id"), "qualified_name", "name", "content")
-    new = t.chunks.where("language <> 'cpp'").select(F.concat(F.lit("n"), "doc_id").alias("id"), "qualified_name", F.concat(F.lit("new"), "name").alias("name"), F.left("content", F.lit(20)).alias("content"))
+    new = t.chunks.where("language <> 'cpp'").select(F.concat(F.lit("n"), "doc_id").alias("id"), "qualified_name", F.concat(F.lit("new"), "name").alias("name"), F.concat("content", F.lit("!")).alias("content"))
     return store.upsert(old, new)
 
 
@@ -706,16 +706,16 @@ def context_md(t):
 
 
 def _documented(t):
-    return t.chunks.withColumn("summary", F.when(F.col("doc_id") % 4 != 0, F.left("content", F.lit(60)))).withColumn("docstring", F.left("content", F.lit(20)))
+    return t.chunks.withColumn("summary", F.when(F.col("doc_id") % 4 != 0, F.col("content"))).withColumn("docstring", F.concat(F.lit("d "), "content"))
 
 
-@query("SELECT filepath, count(*) FILTER (WHERE type <> 'file') AS n_elements, arg_max(CASE WHEN doc_id % 4 <> 0 THEN left(content, 60) ELSE left(content, 20) END, qualified_name) FILTER (WHERE type = 'file') AS file_summary FROM chunks GROUP BY filepath", "chunks")
+@query("SELECT filepath, count(*) FILTER (WHERE type <> 'file') AS n_elements, arg_max(CASE WHEN doc_id % 4 <> 0 THEN content ELSE 'd ' || content END, qualified_name) FILTER (WHERE type = 'file') AS file_summary FROM chunks GROUP BY filepath", "chunks")
 def doc_groups(t):
     return context.file_groups(_documented(t))
 
 
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '{{', '&#123;'), '}}', '&#125;'), '<', '&lt;'), '>', '&gt;')"
-_DESC = _ESC.format("split_part(CASE WHEN doc_id % 4 <> 0 THEN left(content, 60) ELSE left(content, 20) END, chr(10), 1)")
+_DESC = _ESC.format("split_part(CASE WHEN doc_id % 4 <> 0 THEN content ELSE 'd ' || content END, chr(10), 1)")
 
 
 @query(
@@ -727,7 +727,18 @@ def doc_contents_table(t):
     return context.joined(rows, ["filepath"], ["start_line", "qualified_name"], context.contents_line(), "\n", "contents")
 
 
-@query()
+_SUM, _DOC = "CASE WHEN doc_id % 4 <> 0 THEN content END", "'d ' || content"
+_BODY = f"""'### ' || name || {_NL} || {_NL} || '`' || type || '` `' || {_ESC.format('qualified_name')} || '`' || {_NL} || {_NL} || coalesce({_ESC.format(_SUM)} || {_NL} || {_NL}, '') || '**Docstring:**' || {_NL} || {_ESC.format('(' + _DOC + ')')} || {_NL} || {_NL} || '```' || language || {_NL} || content || {_NL} || '```' || {_NL} || {_NL}"""
+_LINE = f"'| ' || CASE WHEN contains(type, 'class') THEN '📦' WHEN contains(type, 'property') THEN '🔧' WHEN contains(type, 'method') THEN '⚡' ELSE '🔹' END || ' `' || type || '` | [**' || name || '**](#' || lower(name) || ') | ' || CASE WHEN {_DESC} = '' THEN '-' ELSE {_DESC} END || ' |'"
+
+
+@query(
+    f"""WITH g AS (SELECT filepath, regexp_extract(filepath, '[^/]*$') AS n, arg_max(CASE WHEN doc_id % 4 <> 0 THEN content ELSE 'd ' || content END, qualified_name) FILTER (WHERE type = 'file') AS s,
+ string_agg({_LINE}, chr(10) ORDER BY start_line, qualified_name) FILTER (WHERE type <> 'file') AS t, string_agg({_BODY}, '<br/>' || chr(10) || chr(10) ORDER BY start_line, qualified_name) FILTER (WHERE type <> 'file') AS b FROM chunks GROUP BY filepath)
+SELECT filepath, '---' || {_NL} || 'title: "' || n || '"' || {_NL} || 'sidebar_label: "' || n || '"' || {_NL} || '---' || {_NL} || {_NL} || '# 📄 ' || n || {_NL} || {_NL} || coalesce(':::info 📝 File Overview' || {_NL} || {_ESC.format('s')} || {_NL} || ':::' || {_NL} || {_NL}, '')
+ || coalesce('---' || {_NL} || {_NL} || '## 🗂️ Contents Summary' || {_NL} || {_NL} || '| Type | Name | Description |' || {_NL} || '|---|---|---|' || {_NL} || t || {_NL} || {_NL}, '') || '---' || {_NL} || {_NL} || '## 💻 Code Details' || {_NL} || {_NL} || coalesce(b, '') AS doc_md FROM g""",
+    "chunks",
+)
 def doc_pages(t):
     return context.file_pages(_documented(t))
 
@@ -741,9 +752,9 @@ def folder_groups(t):
     return context.folder_groups(t.chunks)
 
 
-@query("SELECT filepath, string_agg('  ㄴ [' || type || '] ' || name || ' - ' || left(content, 30), chr(10) ORDER BY start_line, qualified_name) AS toc FROM chunks GROUP BY filepath", "chunks")
+@query("SELECT filepath, string_agg('  ㄴ [' || type || '] ' || name || ' - ' || content, chr(10) ORDER BY start_line, qualified_name) AS toc FROM chunks GROUP BY filepath", "chunks")
 def file_toc(t):
-    rows = t.chunks.withColumn("summary", F.left("content", F.lit(30)))
+    rows = t.chunks.withColumn("summary", F.col("content"))
     return context.joined(rows, ["filepath"], ["start_line", "qualified_name"], context.toc_line(), "\n", "toc")
 
 
