@@ -17,6 +17,7 @@ CSHARP_LEVELS = {
     "UnauthorizedAccessException": "Level2", "NotImplementedException": "Level2",
 }
 DEFAULT_LEVEL = "Level2"
+#: Patterns of error lines and frames.
 _PY_ERROR = r"([A-Z][a-zA-Z]+Error|[A-Z][a-zA-Z]+Exception):\s*(.+?)(?:\n|$)"
 _CS_ERROR = r"(System\.[A-Z][a-zA-Z]+Exception|[A-Z][a-zA-Z]+Exception):\s*(.+?)(?:\n|$)"
 _PY_FRAME = r'File "([^"]+)",\s*line\s*(\d+),\s*in\s*(\S+)'

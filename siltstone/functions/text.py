@@ -26,6 +26,14 @@ RESERVED_WORDS = (
     "try", "while", "with", "yield",
 )
 EVENT_ATTRIBUTES = ("Click", "Loaded", "Unloaded", "SelectionChanged", "TextChanged", "MouseDoubleClick")
+NAME_PATTERN = r"\b([A-Z][a-zA-Z0-9_]*|[a-z_][a-z0-9_]{2,})\b"
+FILE_PATTERNS = (r"\b[\w-]+\.py\b", r"\b[\w-]+\.cs\b", r"\b[\w-]+\.xaml\b")
+CALL_NAME_PATTERN = r"^[a-zA-Z_][a-zA-Z0-9_.]*$"
+NAMESPACE_PATTERN = r"namespace\s+([A-Za-z0-9_.]+)"
+INCLUDE_PATTERN = '#include\\s*[<"]([^>"]+)[>"]'
+BINDING_PATTERN = r"\{Binding\s+(?:Path=)?([a-zA-Z0-9_.]+)"
+TRACEBACK_PATTERN = r"(?s)(Traceback.*?)(?:\n\n|\z)"
+TRACE_FILE_PATTERNS = ('File "([^"]+)"', r"in ([^:]+\.cs):line")
 VM_CONTEXT = "__vm_context__:"
 SHORT_CODE = "단순 속성/선언부: `"
 
@@ -46,21 +54,20 @@ def query_tokens(query: str) -> list[str]:
 def identifiers(query: Column) -> Column:
     """Distinct names in a question: capitalised words, or lower-case ones of three characters; stop words are compared
     in lower case, so the one with capitals never excludes anything."""
-    found = F.regexp_extract_all(query, F.lit(r"(?U)\b([A-Z][a-zA-Z0-9_]*|[a-z_][a-z0-9_]{2,})\b"), 1)
+    found = F.regexp_extract_all(query, F.lit("(?U)" + NAME_PATTERN), 1)
     keep = lambda w: ~F.lower(w).isin(*NAME_STOP_WORDS) & ((F.length(w) >= 3) | w.contains("_") | w.rlike("^[A-Z]"))
     return F.array_distinct(F.filter(found, keep))
 
 
 def file_names(query: Column) -> Column:
     """Names ending in .py, then .cs, then .xaml; repeats stay."""
-    each = [F.regexp_extract_all(query, F.lit(rf"(?U)\b[\w-]+\.{suffix}\b"), 0) for suffix in ("py", "cs", "xaml")]
-    return F.concat(*each)
+    return F.concat(*[F.regexp_extract_all(query, F.lit("(?U)" + p), 0) for p in FILE_PATTERNS])
 
 
 def valid_name(name: Column) -> Column:
     """A call's name that may be a function: 2 to 50 characters, an identifier with dots, no reserved word."""
     n = F.trim(name)
-    good = F.length(n).between(2, 50) & n.rlike(r"^[a-zA-Z_][a-zA-Z0-9_.]*$") & ~n.rlike(r"^[_.]+$") & ~n.isin(*RESERVED_WORDS)
+    good = F.length(n).between(2, 50) & n.rlike(CALL_NAME_PATTERN) & ~n.rlike(r"^[_.]+$") & ~n.isin(*RESERVED_WORDS)
     return F.coalesce(good, F.lit(False))
 
 
@@ -108,7 +115,7 @@ def module_path(path: Column, language: Column) -> Column:
 def file_qualified_name(path: Column, content: Column) -> Column:
     """Python: dotted module and .py; C#: first namespace and file name; else the file name."""
     name = F.element_at(F.split(path, "/"), -1)
-    namespace = F.regexp_extract(content, r"namespace\s+([A-Za-z0-9_.]+)", 1)
+    namespace = F.regexp_extract(content, NAMESPACE_PATTERN, 1)
     return (
         F.when(name.endswith(".py"), F.concat(module_path(path, F.lit("python")), F.lit(".py")))
         .when(name.endswith(".cs") & (namespace != ""), F.concat_ws(".", namespace, name))
@@ -118,12 +125,12 @@ def file_qualified_name(path: Column, content: Column) -> Column:
 
 def includes(content: Column) -> Column:
     """Distinct files named by #include, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(content, F.lit('#include\\s*[<"]([^>"]+)[>"]'), 1))
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(INCLUDE_PATTERN), 1))
 
 
 def binding_roots(content: Column) -> Column:
     """First names of all {Binding ...} expressions, repeats kept."""
-    found = F.regexp_extract_all(content, F.lit(r"\{Binding\s+(?:Path=)?([a-zA-Z0-9_.]+)"), 1)
+    found = F.regexp_extract_all(content, F.lit(BINDING_PATTERN), 1)
     return F.transform(found, lambda b: F.split_part(b, F.lit("."), F.lit(1)))
 
 
@@ -181,13 +188,13 @@ def has_traceback(query: Column) -> Column:
 
 def traceback_block(query: Column) -> Column:
     """From `Traceback` to the next empty line or the end; else the whole question."""
-    found = F.regexp_extract(query, r"(?s)(Traceback.*?)(?:\n\n|\z)", 1)
+    found = F.regexp_extract(query, TRACEBACK_PATTERN, 1)
     return F.when(found != "", found).otherwise(query)
 
 
 def traceback_files(query: Column) -> Column:
     """Distinct files named by Python and C# frames, sorted."""
-    both = F.concat(F.regexp_extract_all(query, F.lit('File "([^"]+)"'), 1), F.regexp_extract_all(query, F.lit(r"in ([^:]+\.cs):line"), 1))
+    both = F.concat(*[F.regexp_extract_all(query, F.lit(p), 1) for p in TRACE_FILE_PATTERNS])
     return F.array_sort(F.array_distinct(both))
 
 

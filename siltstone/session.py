@@ -116,7 +116,7 @@ class CodeEngine:
         if route.filenames:
             return lookup.by_path(self.chunks(), route.filenames[0], 50)
         if route.has_traceback:
-            named = re.findall(r'File "([^"]+)"', query) + re.findall(r"in ([^:]+\.cs):line", query)
+            named = [f for p in text.TRACE_FILE_PATTERNS for f in re.findall(p, query)]
             return lookup.by_paths(self.chunks(), sorted(set(named)), 50) if named else self.search(query, 5)
         if route.language in ("csharp", "xaml"):
             return self.search_by_language(query, {"csharp": "c_sharp"}.get(route.language, route.language), 10)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from siltstone.functions.text import INCLUDE_PATTERN
 from siltstone.sources.parsing.common import C_SKIPPED, Chunk, base, blanked, block_end, file_chunk, hollow, line_of, normal, parent, stem
 
 #: Fixed values.
@@ -16,7 +17,7 @@ _PROPERTY = re.compile(r"(?:^|[;{}\]\n])\s*(?:[\w<>\[\],.?]+\s+)+(\w+)\s*(?:\{\s
 _CALL = re.compile(r"((?:\w+::)*)(\.|->)?\s*(\b[A-Za-z_]\w*)\s*(?:<[\w, ]*>)?\s*\(")
 _NEW_ARGUMENTS = re.compile(r"\bnew\s+[\w.<>]+\s*\(([^()]*)\)")
 _OUTSIDE = re.compile(r"(?:^|\n|[;}])[^\n;{}()]*?\b(\w+)::(~?\w+)\s*\([^)]*\)\s*(?:const\s*)?(?::[^{;]*)?\{")
-_INCLUDE = re.compile(r'#include\s*[<"]([^>"]+)[>"]')
+_INCLUDE = re.compile(INCLUDE_PATTERN)
 
 
 def csharp_calls(clean: str) -> list[str]:
