@@ -9,8 +9,8 @@ with documents in a seeded order (md5 of seed and id), the last one in part. So
 its target up to rounding, no document is taken more than `cap` times, and reruns agree.
 
 Plan: sizes are counted in one scan and stored as narrow rows. A source's order is cut into 65,536 buckets by
-the first 16 bits of the md5; sums by bucket find the bucket in which the target is reached, and only that
-bucket is sorted. So a source with a third of all rows is never in one task, and texts are never shuffled.
+the first 16 bits of the md5; sums by bucket find, in two steps of 256, the bucket in which the target is reached,
+and only that bucket is sorted. So a source with a third of all rows is never in one task, and texts are never shuffled.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null source is a source of its own
 (last in order); a source without words has target 0; rows with equal ids are ordered by size; an empty table
@@ -76,12 +76,16 @@ def plan(sizes: DataFrame, weights=repeating_weights, cap: float = CAP, seed: st
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.select("*", whole.alias("whole"))
     targets = targets.withColumn("rest", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size"))).cast("long"))
-    up_to = Window.partitionBy("source").orderBy("bucket")
-    running = buckets.select(F.col("source").alias("s"), "bucket", F.sum("size").over(up_to).alias("upto"), "size")
-    hit = running.join(targets.select("source", "rest"), F.col("s").eqNullSafe(F.col("source")))
-    hit = hit.where((F.col("upto") >= F.col("rest")) & (F.col("rest") > 0)).groupBy("s").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("size")).alias("left"))).alias("at"))
-    out = targets.join(hit, targets["source"].eqNullSafe(F.col("s")), "left")
-    return out.select("source", "source_size", "target", "whole", F.coalesce("at.bucket", F.lit("")).alias("cut"), F.coalesce("at.left", F.lit(0)).alias("left"))
+    # Where the rest is reached: among 256 sums of a source, then among the 256 inside the one found.
+    found = targets.where("rest > 0").select(F.col("source").alias("s"), F.col("rest").alias("left"), F.lit("").alias("cut"))
+    for width in (2, 4):
+        inside = buckets.join(found, buckets["source"].eqNullSafe(F.col("s")) & F.col("bucket").startswith(F.col("cut")))
+        sums = inside.groupBy("s", "left", F.substring("bucket", 1, width).alias("bucket")).agg(F.sum("size").alias("size"))
+        running = sums.select("*", F.sum("size").over(Window.partitionBy("s").orderBy("bucket")).alias("upto"))
+        hit = running.where("upto >= left").groupBy("s").agg(F.min(F.struct("bucket", (F.col("left") - F.col("upto") + F.col("size")).alias("left"))).alias("at"))
+        found = hit.select("s", "at.left", F.col("at.bucket").alias("cut"))
+    out = targets.join(found, targets["source"].eqNullSafe(F.col("s")), "left")
+    return out.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut"), F.coalesce("left", F.lit(0)).alias("left"))
 
 
 def take(rows: DataFrame, table: DataFrame, seed: str = SEED) -> DataFrame:
