@@ -64,15 +64,16 @@ class Encoder:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
         cache, pieces = self.cache, PIECES.findall(text)
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            missing = list({p for p in pieces if p not in cache})
+        found = list(map(cache.get, pieces))
+        if None in found:
+            at = [i for i, ids in enumerate(found) if ids is None]
+            missing = list({pieces[i] for i in at})
             new = {p: array("I", e.ids).tobytes() for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
             if len(cache) + len(new) <= self.limit:
                 cache.update(new)
-                return b"".join(map(cache.__getitem__, pieces))
-            return b"".join([cache.get(p) or new[p] for p in pieces])
+            for i in at:
+                found[i] = new[pieces[i]]
+        return b"".join(found)
 
 
 @cache
