@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import ship
 
 CHUNK = 256
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 #: Characters taken at once; bounds the memory of a batch of long texts.
 LANES = 1 << 20
 LETTER, DIGIT, BLANK, SPACE, QUOTE, MARK, STMD, RV, E, L, HOLD = range(11)
@@ -165,16 +166,16 @@ class Counter:
 
     def _sum(self, pieces: list[str]) -> int:
         outputs = self.outputs
-        try:
-            return sum(map(outputs.__getitem__, pieces))
-        except KeyError:
-            missing = list({p for p in pieces if p not in outputs})
-            if len(outputs) + len(missing) > self.limit:
-                outputs = self.outputs = {}
-                missing = list(set(pieces))
-            for p, e in zip(missing, self.library.encode_batch(missing, add_special_tokens=False), strict=True):
-                outputs[p] = len(e)
-            return sum(map(outputs.__getitem__, pieces))
+        found = list(map(outputs.get, pieces))
+        if None in found:
+            at = [i for i, n in enumerate(found) if n is None]
+            missing = list({pieces[i] for i in at})
+            new = dict(zip(missing, map(len, self.library.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+            if len(outputs) + len(new) <= self.limit:
+                outputs.update(new)
+            for i in at:
+                found[i] = new[pieces[i]]
+        return sum(found)
 
     def _plain(self, texts: list[str]) -> list[int]:
         """Counts of texts that are not empty and hold no special string."""
@@ -222,6 +223,12 @@ class Counter:
         return counts
 
 
+@cache
+def counter_of(path: str) -> Counter:
+    """One counter a worker process: its pieces stay known from task to task."""
+    return Counter(path, np.zeros(0, np.uint8))
+
+
 def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 512) -> DataFrame:
     """df with n_bytes, n_tokens and over_limit."""
     spark = df.sparkSession
@@ -230,7 +237,8 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", lim
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(tokenizer_path, classes.value)
+        counter = counter_of(tokenizer_path)
+        counter.classes = classes.value
         for texts in batches:
             yield pd.Series(counter([None if t is None else t for t in texts]), dtype="int64")
 
