@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from siltstone.llm.shared import stored
 
-BINS, ROUNDS = 8192, 2
+BINS, ROUNDS = 128, 4
 OVERHEAD = 16
 _COORD_BITS, _TIE_BITS = 16, 46
 DIMENSIONS = ("d_size", "d_id", "d_source", "d_lang")
