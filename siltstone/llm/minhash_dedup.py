@@ -40,7 +40,7 @@ from siltstone.llm.shared import BROADCAST_ROWS, only_columns, ship, stored
 
 SIDE = 10
 #: Buckets of shingle counts; what the driver holds and broadcasts is 4 bytes each (8 MB), at any size of the input.
-RARITY = 1 << 21
+RARITY, PAGE = 1 << 21, 1 << 10
 _rng = np.random.default_rng(20240517)
 _XOR = _rng.integers(0, 1 << 63, 4 * SIDE, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, 4 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,9 +150,19 @@ def _sharing_rare(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    counted = own.select("set").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, counts = 0, np.zeros(PAGE, np.int32)
+        for batch in batches:
+            at = batch.column("bucket").to_numpy()
+            page = int(at[0]) // PAGE if len(at) else page
+            counts[at % PAGE] = np.minimum(batch.column("n").to_numpy(), np.iinfo(np.int32).max)
+        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["page", "counts"])
+
+    counted = own.select("set").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    pages = counted.groupBy(F.floor(F.col("bucket") / PAGE).alias("p")).applyInArrow(dense, "page int, counts binary")
     table = np.zeros(RARITY, np.int32)
-    table[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), np.iinfo(np.int32).max)
+    for r in pages.collect():  # RARITY counts of 4 bytes at most
+        table[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.frombuffer(r["counts"], np.int32)
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
