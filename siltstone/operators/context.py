@@ -11,6 +11,8 @@ from siltstone.functions.text import escape_mdx, first_line, icon
 MAX_TOKENS = 30_000
 CORE_TYPES = ("class", "method", "function", "view", "file")
 CORE_LIMIT = 40
+#: Fixed value: text of a folder page without a summary.
+NO_SUMMARY = "폴더 요약이 없습니다."
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -87,6 +89,14 @@ def file_pages(chunks: DataFrame) -> DataFrame:
     return pages.select("filepath", F.concat(head, overview, table, code).alias("doc_md"))
 
 
+def folder_pages(chunks: DataFrame) -> DataFrame:
+    """folder, doc_md: an index page a folder chunk, with its summary."""
+    name = F.element_at(F.split("filepath", "/"), -1)
+    about = escape_mdx(F.coalesce(F.nullif("summary", F.lit("")), F.nullif("docstring", F.lit("")), F.lit(NO_SUMMARY)))
+    page = F.concat(F.lit('---\ntitle: "📁 '), name, F.lit('"\nsidebar_position: 1\n---\n\n# 📁 `'), name, F.lit("` Module\n\n:::tip 📁 Folder Overview\n**"), about, F.lit("**\n:::\n"))
+    return chunks.where(F.col("type") == "folder").select(F.col("filepath").alias("folder"), page.alias("doc_md"))
+
+
 def folder_groups(chunks: DataFrame) -> DataFrame:
     """folder, n_chunks, files (sorted base names), elements (up to 40 `- type [name]` lines in order of qualified name), qualified_name."""
     parent = F.when(F.col("filepath").contains("/"), F.regexp_replace("filepath", "/[^/]*$", "")).otherwise("")

@@ -752,6 +752,16 @@ def folder_groups(t):
     return context.folder_groups(t.chunks)
 
 
+@query(
+    f"""WITH g AS (SELECT module_path AS folder, CASE WHEN count(*) % 2 = 0 THEN max(name) END AS s FROM chunks GROUP BY module_path)
+SELECT folder, '---' || {_NL} || 'title: "📁 ' || folder || '"' || {_NL} || 'sidebar_position: 1' || {_NL} || '---' || {_NL} || {_NL} || '# 📁 `' || folder || '` Module' || {_NL} || {_NL} || ':::tip 📁 Folder Overview' || {_NL} || '**' || coalesce(s, '{context.NO_SUMMARY}') || '**' || {_NL} || ':::' || {_NL} AS doc_md FROM g""",
+    "chunks",
+)
+def folder_pages(t):
+    rows = t.chunks.groupBy(F.col("module_path").alias("filepath")).agg(F.when(F.count(F.lit(1)) % 2 == 0, F.max("name")).alias("summary"))
+    return context.folder_pages(rows.withColumn("type", F.lit("folder")).withColumn("docstring", F.lit(None).cast("string")))
+
+
 @query("SELECT filepath, string_agg('  ㄴ [' || type || '] ' || name || ' - ' || content, chr(10) ORDER BY start_line, qualified_name) AS toc FROM chunks GROUP BY filepath", "chunks")
 def file_toc(t):
     rows = t.chunks.withColumn("summary", F.col("content"))

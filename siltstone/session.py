@@ -194,10 +194,13 @@ class CodeEngine:
         return {"python_types": sorted(errors.PYTHON_LEVELS), "csharp_types": sorted(errors.CSHARP_LEVELS), "index_size": n, "ready": n > 0}
 
     def write_docs(self, folder: str) -> int:
-        """Write one Markdown page a file below folder, through the file system that Spark uses; pages stream, one at a time."""
+        """Write one Markdown page a file and an index page a folder below folder, through the file system that Spark uses;
+        pages stream, one at a time."""
         jvm, conf, n = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), 0
-        for r in context.file_pages(self.chunks()).toLocalIterator():
-            path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{r['filepath'].lstrip('/')}.md")
+        pages = context.file_pages(self.chunks()).select(F.concat("filepath", F.lit(".md")).alias("path"), "doc_md")
+        index = context.folder_pages(self.chunks()).select(F.concat("folder", F.lit("/index.md")).alias("path"), "doc_md")
+        for r in pages.unionByName(index).toLocalIterator():
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{r['path'].lstrip('/')}")
             out = path.getFileSystem(conf).create(path, True)
             out.write(bytearray(r["doc_md"].encode()))
             out.close()

@@ -53,6 +53,7 @@ def test_ingest_search_and_tools(spark, tree, tmp_path):
     assert engine.write_docs(str(tmp_path / "docs")) > 3
     page = next(Path(tmp_path / "docs").rglob("mod.py.md")).read_text()
     assert "## 💻 Code Details" in page and "def surface" in page
+    assert next(Path(tmp_path / "docs").rglob("lib/index.md")).read_text().startswith('---\ntitle: "📁 lib"')
     assert engine.stats()["ready"]
 
 
