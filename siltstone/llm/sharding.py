@@ -5,7 +5,7 @@ smallest id, source and language. A node of the tree is split along its widest d
 (in general the quantile that leaves each side the bytes of its leaves), until every leaf is one shard.
 
 * Medians are found by histograms: all nodes of a level together, BINS bins each, then again inside the bin
-  in which the wanted weight falls. Ties of a coordinate are ordered by the group's hash, so that a language
+  in which the wanted weight falls, up to ROUNDS times. Ties of a coordinate are ordered by the group's hash, so that a language
   or source with a third of all rows can be split. The driver gets one row a node.
 * Heavy groups (over 1 % of a shard's bytes or rows; so at most 200 a shard) are placed first, largest first
   into the shard with the least; leaves then get as target what their shard still lacks. Thus sizes are as
@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 from siltstone.llm.shared import stored
 
 BINS, ROUNDS = 128, 4
+#: Bins of less than this share of a shard's bytes are not looked into.
+TOLERANCE = 0.001
 OVERHEAD = 16
 _COORD_BITS, _TIE_BITS = 16, 46
 DIMENSIONS = ("d_size", "d_id", "d_source", "d_lang")
@@ -96,8 +98,8 @@ class _Node:
         return F.when(F.col(self.dim) <= F.lit(self.cut), self.left.column()).otherwise(self.right.column())
 
 
-def _split_level(points: DataFrame, root: _Node, nodes: list[_Node]) -> list[_Node]:
-    """Split all nodes of a level at their weighted quantiles; gives the new nodes."""
+def _split_level(points: DataFrame, root: _Node, nodes: list[_Node], tolerance: float) -> list[_Node]:
+    """Split all nodes of a level at their weighted quantiles, each to `tolerance` bytes; gives the new nodes."""
     at = points.withColumn("node", root.column()).where(F.col("node").isin([n.low for n in nodes]))
     wide = at.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("min", F.min), ("max", F.max))])
     state = {}
@@ -120,11 +122,14 @@ def _split_level(points: DataFrame, root: _Node, nodes: list[_Node]) -> list[_No
             wanted = F.when(F.col("node") == k, F.lit(float(want))) if wanted is None else wanted.when(F.col("node") == k, F.lit(float(want)))
         # The bin in which the wanted weight falls: the last one that begins below it.
         hit = running.where(F.col("upto") - F.col("bytes") <= wanted).groupBy("node").agg(F.max(F.struct("bin", "bytes", "upto")).alias("h"))
-        for r in hit.collect():  # one row a node
+        hits = hit.collect()  # one row a node
+        for r in hits:
             d, a, b, want = state[r["node"]]
             size = max(1, -(-(b - a + 1) // BINS))
             begin = a + r["h"]["bin"] * size
             state[r["node"]] = [d, begin, min(b, begin + size - 1), want - (r["h"]["upto"] - r["h"]["bytes"])]
+        if all(r["h"]["bytes"] <= tolerance for r in hits):
+            break
     found = []
     for n in nodes:
         if n.low in state:
@@ -147,7 +152,7 @@ def assign(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     root = _Node(0, wants)
     level = [root] if shards > 1 else []
     while level:
-        level = _split_level(points, root, level)
+        level = _split_level(points, root, level, TOLERANCE * total / shards)
     placed = spark.createDataFrame(list(where.items()), "grp string, shard int")
     return placed, points.select("grp", root.column().cast("int").alias("shard"))
 
