@@ -10,7 +10,8 @@ The library splits text into pieces before it merges bytes, and pieces do not in
 is encoded once by the library and its ids are kept in a bounded cache. Texts with characters outside the
 checked range, or with a special string, go through the library whole.
 
-Defined cases: null and empty texts are one end id; documents with equal ids are ordered by text (null first);
+Defined cases: null and empty texts are one end id; null ids come first and stay null; documents with equal ids are
+ordered by text (null first);
 an empty table writes no segment; very long texts make a segment of their own; extra columns are not read.
 """
 
@@ -82,21 +83,26 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pack_segment(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
-    """`TOK1`, u32 number of documents, i64 document ids, u32 id counts, then the ids as coded by pfor."""
-    return b"".join([b"TOK1", struct.pack("<I", len(doc_ids)), np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<u4").tobytes(), pfor.encode(ids)])
+def pack_segment(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+    """`TOK1`, u32 number of documents, a bit a document that says whether its id is null, i64 document ids (0 for null), u32 id
+    counts, then the ids as coded by pfor."""
+    null = np.array([d is None for d in doc_ids], bool)
+    known = np.array([d or 0 for d in doc_ids], "<i8")
+    return b"".join([b"TOK1", struct.pack("<I", len(doc_ids)), np.packbits(null).tobytes(), known.tobytes(), np.array(counts, "<u4").tobytes(), pfor.encode(ids)])
 
 
-def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, id counts, ids."""
+def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, which of them are null, id counts, ids."""
     if data[:4] != b"TOK1":
         raise ValueError("not a TOK1 segment")
     (n,) = struct.unpack_from("<I", data, 4)
-    return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n), pfor.decode(data[8 + 12 * n :])
+    at = 8 + -(-n // 8)
+    null = np.unpackbits(np.frombuffer(data, np.uint8, at - 8, 8), count=n).astype(bool)
+    return np.frombuffer(data, "<i8", n, at), null, np.frombuffer(data, "<u4", n, at + 8 * n), pfor.decode(data[at + 12 * n :])
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment: int = SEGMENT) -> None:
-    """Write the segments of all rows (ids that are null are left out of the order's guarantee: they come first)."""
+    """Write the segments of all rows."""
     spark = df.sparkSession
     ship(spark)
     rows = only_columns(df, id_col, text_col).toDF("doc_id", "text")
@@ -141,12 +147,12 @@ def read_tokens(spark: SparkSession, source: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, at, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                docs, counts, ids = unpack_segment(image.as_py())
+                docs, null, counts, ids = unpack_segment(image.as_py())
                 ends = np.cumsum(counts.astype(np.int64))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(docs), pa.array(at + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["part", "doc_id", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(docs, mask=null), pa.array(at + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     docs = files.select("part", "at", "image").mapInArrow(decode, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # One row a part; parts are at most the number of shuffle partitions of the writing job.

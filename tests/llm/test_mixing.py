@@ -50,7 +50,7 @@ def test_real_rows(spark):
 def test_caps_and_awkward_rows(spark):
     df = spark.read.parquet(f"{REAL}/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 9 == 0, "a").when(F.col("doc_id") % 9 == 1, "b").when(F.col("doc_id") == 5, "c").otherwise("z").alias("source"))
     assert any(abs(t - 3 * whole) < 1e-9 for _, _, _, whole, t, _ in check(df))
-    check(awkward(spark))
+    check(awkward(spark).withColumn("doc_id", F.when(F.col("doc_id") % 4 != 1, F.col("doc_id"))))
     check(empty(spark))
     check(awkward(spark).where("doc_id IN (4, 5, 6)"))
 
