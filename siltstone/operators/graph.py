@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def reachable(edges: DataFrame, seed: str, max_depth: int, reverse: bool = False) -> DataFrame:
@@ -99,12 +98,3 @@ def callee_expansion(hits: DataFrame, edges: DataFrame, chunks: DataFrame, first
     callees = hits.where(F.col("position") < first).join(edges, F.col("qualified_name") == F.col("caller_qn")).select("callee_qn").distinct()
     fresh = callees.join(hits.select(F.col("qualified_name").alias("callee_qn")), "callee_qn", "left_anti")
     return chunks.join(fresh, F.col("qualified_name") == F.col("callee_qn"), "left_semi")
-
-
-def ordered_lines(rows: DataFrame, key: str, order: list[str], line: str, name: str = "text") -> DataFrame:
-    """One text a key: its lines in order. The lines of a key meet in one row, as the text needs them."""
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("line")))), lambda x: x["line"]), "\n").alias(name))
-
-
-def first_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rn = 1").drop("__rn")

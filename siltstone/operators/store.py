@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.functions.text import storable_calls
 from siltstone.schemas import CALL_EDGES, CODE_CHUNKS, FILE_STATE
@@ -117,8 +116,3 @@ class ChunkStore:
             return self.table("code_chunks").count()
         except Exception:
             return -1
-
-
-def reverse_rank(rows: DataFrame, key: list[str], order: list, k: int) -> DataFrame:
-    """The first k rows of each key."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__rn") <= k).drop("__rn")
