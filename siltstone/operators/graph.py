@@ -19,16 +19,21 @@ def reachable(edges: DataFrame, seed: str, max_depth: int, reverse: bool = False
 
 
 def call_paths(edges: DataFrame, start: str, goal: str, max_depth: int = 6) -> DataFrame:
-    """path (array), length: all simple paths; none goes on past the goal. Paths are listed by nature; nodes that cannot
-    reach the goal in the edges left are cut off first."""
-    back = reachable(edges, goal, max_depth, reverse=True).select(F.col("qn").alias("b"), F.col("depth").alias("left"))
-    paths = edges.where(F.col("caller_qn") == start).select(F.col("callee_qn").alias("at"), F.array(F.lit(start), "callee_qn").alias("path"))
-    done = paths.where(F.col("at") == goal)
-    for depth in range(2, max_depth + 1):
-        live = paths.where(F.col("at") != goal).join(back.where(F.col("left") <= max_depth - depth + 1), F.col("at") == F.col("b")).select("at", "path")
-        paths = live.join(edges, F.col("at") == F.col("caller_qn")).where(~F.array_contains("path", F.col("callee_qn"))).select(F.col("callee_qn").alias("at"), F.concat("path", F.array("callee_qn")).alias("path"))
-        done = done.unionByName(paths.where(F.col("at") == goal))
-    return done.select("path", (F.size("path") - 1).alias("length"))
+    """path (array), length: all simple paths; none goes on past the goal. Paths are listed by nature. They are made from
+    halves that meet in the middle node: k edges from the start, and k or k - 1 edges to the goal."""
+    ahead = edges.where(F.col("caller_qn") == start).select(F.lit(1).alias("k"), F.col("callee_qn").alias("at"), F.array(F.lit(start), "callee_qn").alias("path"))
+    behind = edges.sparkSession.range(1).select(F.lit(0).alias("j"), F.lit(goal).alias("mid"), F.array().cast("array<string>").alias("rest"))
+    first, last = ahead, behind
+    for k in range(2, (max_depth + 1) // 2 + 1):
+        ahead = ahead.where(F.col("at") != goal).join(edges, F.col("at") == F.col("caller_qn")).where(~F.array_contains("path", F.col("callee_qn")))
+        ahead = ahead.select(F.lit(k).alias("k"), F.col("callee_qn").alias("at"), F.concat("path", F.array("callee_qn")).alias("path"))
+        first = first.unionByName(ahead)
+    for j in range(1, max_depth // 2 + 1):
+        behind = behind.select(F.concat(F.array("mid"), "rest").alias("rest"), "mid").join(edges, F.col("mid") == F.col("callee_qn")).where(~F.array_contains("rest", F.col("caller_qn")))
+        behind = behind.select(F.lit(j).alias("j"), F.col("caller_qn").alias("mid"), "rest")
+        last = last.unionByName(behind)
+    whole = first.join(last, (F.col("at") == F.col("mid")) & F.col("j").between(F.col("k") - 1, F.col("k"))).where(~F.arrays_overlap("path", "rest"))
+    return whole.select(F.concat("path", "rest").alias("path"), (F.col("k") + F.col("j")).alias("length"))
 
 
 def execution_flow(edges: DataFrame, seed: str, depth: int = 2) -> DataFrame:

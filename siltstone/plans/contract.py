@@ -392,6 +392,20 @@ def call_paths(t):
     return graph.call_paths(t.call_edges, "1", "7", 2).select(F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
 
 
+@query(
+    f"""WITH RECURSIVE b AS (SELECT caller_qn AS qn, 1 AS d FROM call_edges WHERE callee_qn = '7'
+UNION SELECT e.caller_qn, b.d + 1 FROM b JOIN call_edges e ON e.callee_qn = b.qn WHERE b.d < 6),
+k AS (SELECT qn, min(d) AS d FROM b GROUP BY qn),
+p AS (SELECT callee_qn AS node, [caller_qn, callee_qn] AS path FROM call_edges WHERE caller_qn = {_SEED}
+UNION ALL SELECT e.callee_qn, list_append(p.path, e.callee_qn) FROM p JOIN k ON k.qn = p.node AND k.d + len(p.path) - 1 <= 6 JOIN call_edges e ON e.caller_qn = p.node WHERE len(p.path) <= 6 AND NOT list_contains(p.path, e.callee_qn) AND p.node <> '7')
+SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM p WHERE node = '7'""",
+    "call_edges",
+)
+def call_paths_whole(t):
+    """call_paths up to the operator's own depth of 6 edges."""
+    return graph.call_paths(t.call_edges, "1", "7").select(F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
+
+
 _FLOW = f"SELECT 'Caller' AS side, depth, qn, '[Caller|depth=' || depth || '] ' || qn AS line FROM ({_bfs(2, True)}) UNION ALL SELECT 'Callee', depth, qn, '[Callee|depth=' || depth || '] ' || qn FROM ({_bfs(2)})"
 
 

@@ -100,6 +100,22 @@ def test_small_graph(spark):
     assert {tuple(r.path) for r in graph.call_paths(e, "a", "c").collect()} == {("a", "b", "c"), ("a", "d", "c")}
 
 
+def test_call_paths_whole_equals_brute_force(spark, tmp_path):
+    from siltstone.plans.contract import QUERIES
+
+    rnd = random.Random(3)
+    edges = {(rnd.randint(1, 9), rnd.randint(1, 9)) for _ in range(26)} | {(k, k + 1) for k in range(1, 7)}
+    lines = [(order, part, 1, at) for order, edge in enumerate(sorted(edges)) for at, part in enumerate(edge)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want, paths = set(), [[1]]
+    for _ in range(6):
+        paths = [[*p, b] for p in paths for a, b in edges if a == p[-1] and b not in p]
+        want |= {(">".join(map(str, p)), len(p) - 1) for p in paths if p[-1] == 7}
+        paths = [p for p in paths if p[-1] != 7]
+    got = [tuple(r) for r in QUERIES["call_paths_whole"](spark, str(tmp_path)).collect()]
+    assert max(n for _, n in want) == 6 and len(got) == len(want) and set(got) == want
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=14, unique=True), st.integers(1, 4))
 def test_reachable_equals_path_enumeration(spark, pairs, depth):
