@@ -30,8 +30,10 @@ DIM = 4096
 SAMPLE_PER_LANG = 600
 MAX_LANGUAGES = 400
 CLUSTERS = 4
-#: A rejected text lies below this share of the lowest cosines (LOW_QUANTILE) of training texts as long.
-REJECT_SHARE, LOW_QUANTILE = 0.3, 0.005
+#: A rejected text lies below this share of the lowest cosines (LOW_QUANTILE) of training texts as long; in texts of
+#: under 2 ** SHORT_BIN letters, whose cosines vary more, below SHORT_SHARE of them.
+REJECT_SHARE, LOW_QUANTILE = 0.6, 0.005
+SHORT_BIN, SHORT_SHARE = 5, 0.3
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -135,7 +137,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     for b in range(16):
         if (own := cosine[size == b]).size >= 50:
             floors[b] = np.quantile(own, LOW_QUANTILE)
-    return Model(languages, idf, np.concatenate(centroids), np.array(owner), REJECT_SHARE * floors)
+    return Model(languages, idf, np.concatenate(centroids), np.array(owner), np.where(np.arange(16) < SHORT_BIN, SHORT_SHARE, REJECT_SHARE) * floors)
 
 
 def predict(model: Model, texts: Iterator[str | None]) -> list[tuple[str, float, bool]]:

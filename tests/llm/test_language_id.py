@@ -24,6 +24,25 @@ def test_rejects_what_is_far_from_all_centroids(spark):
     assert all(r.rejected for r in op.language_id(far, model).collect())
 
 
+LATIN = {
+    "it": "Gli abitanti del paese hanno deciso che ogni famiglia avrebbe portato qualcosa da mangiare alla festa della domenica, perché nessuno voleva restare solo.",
+    "nl": "De inwoners van het dorp hebben besloten dat elk gezin iets te eten zou meenemen naar het feest van zondag, omdat niemand alleen wilde blijven.",
+    "fi": "Kylän asukkaat päättivät, että jokainen perhe tuo jotakin syötävää sunnuntain juhlaan, koska kukaan ei halunnut jäädä yksin kotiin.",
+    "tr": "Köyün sakinleri, kimse yalnız kalmak istemediği için her ailenin pazar günkü şenliğe yiyecek bir şeyler getirmesine karar verdiler.",
+    "pl": "Mieszkańcy wsi postanowili, że każda rodzina przyniesie coś do jedzenia na niedzielne święto, ponieważ nikt nie chciał zostać sam.",
+    "none": "qzjw xkvb plfh tgrw zmxn qpwl vbkj hhgf dsqz wrtp mnbv xzlk jhgq pwrt zxcv qkjh",
+}
+
+
+def test_rejects_latin_texts_of_other_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op.fit(docs)
+    got = dict(zip(LATIN, op.predict(model, [" ".join([x] * 3) for x in LATIN.values()]), strict=True))
+    assert all(rejected for _, _, rejected in got.values()), got
+    share = op.language_id(docs, model).where(F.length("text") >= 40).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert share <= 0.005
+
+
 def test_awkward_rows(spark):
     model = op.fit(spark.read.parquet(f"{REAL}/documents.parquet"))
     df = awkward(spark).withColumn("score", F.lit("clash"))
