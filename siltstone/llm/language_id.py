@@ -5,7 +5,7 @@ several centroids (spherical k-means on its training vectors); a text gets the l
 the highest cosine. A text whose cosine is below what training texts of its length reach is rejected.
 
 Fitting reads a bounded sample: SAMPLE_PER_LANG training rows a language at most, chosen by a hash of the id
-(the share is set from exact counts over all rows); at most MAX_LANGUAGES languages. Vectors, not texts, go to
+(the share is set from exact counts over all rows); more than MAX_LANGUAGES languages are an error. Vectors, not texts, go to
 the driver: about SAMPLE_PER_LANG * 8 KB a language. Prediction reads every whole text once, without a shuffle.
 
 Defined cases: null text or a text without a letter gets `und`, score 0 and is rejected; with no training rows
@@ -98,7 +98,9 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Model from rows with a language; see the module's text for the bound of the sample."""
     ship(training.sparkSession)
     rows = only_columns(training, id_col, text_col, lang_col).toDF("id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col}")
     if not counts:
         return Model([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, int), np.zeros(16))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_lang / n)])

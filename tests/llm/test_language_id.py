@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import language_id as op
@@ -43,6 +44,15 @@ def test_rejects_latin_texts_of_other_languages(spark):
     assert share <= 0.005
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(op, "MAX_LANGUAGES", 4)
+    assert len(op.fit(docs).languages) == 4
+    monkeypatch.setattr(op, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        op.fit(docs)
+
+
 def test_awkward_rows(spark):
     model = op.fit(spark.read.parquet(f"{REAL}/documents.parquet"))
     df = awkward(spark).withColumn("score", F.lit("clash"))
