@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,30 +20,56 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own (gone at exit) serves a
+    local master, as in tests; on a cluster other machines would not see it, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it wants it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    system, p = hadoop_path(spark, path)
+    system.mkdirs(p)  # deleteOnExit takes note of existing paths alone
+    system.deleteOnExit(p)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again. This cuts the lineage; unlike
-    checkpoint() the copy is columnar, so that later reads can skip columns. A lost executor costs nothing."""
+    checkpoint() the copy is columnar, so that later reads can skip columns. A lost executor costs nothing.
+    forget() deletes the copy, else the end of the application does."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_path(spark, name)}/rows"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a DataFrame made by stored() which nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of DataFrames made by stored() which nothing reads any more."""
+    for df in tables:
+        system, path = hadoop_path(df.sparkSession, df.stored_path)
+        system.delete(path.getParent(), True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if its counted rows are few; else Spark joins by shuffle and splits skewed keys."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 #: Rows and bytes of one Arrow batch: texts can be long, and a batch is held by the JVM and by Python at once.
