@@ -10,6 +10,10 @@ stands: no shared span of m words is missed.
    distinct windows by their words, so hash collisions do no harm. Distinct windows, not items, are joined, so
    a passage that many items or documents share costs each of them once.
 
+3. Items: each distinct window bears the key of its set of items, and each set is held once. A document gathers the
+   distinct keys of its windows; only then the sets are joined to it and united. So neither the windows of a
+   document nor the documents of a window are multiplied by items.
+
 The benchmark's side of a join is broadcast only if it has been counted to be small; likewise the documents with
 common hashes. Else Spark joins by shuffle (unique keys on that side, so skewed keys can be split).
 
@@ -23,9 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import BROADCAST_ROWS, let, only_columns, stored
+from siltstone.llm.shared import let, only_columns, small, stored
 
 WINDOW, GRAM = 10, 6
+#: Long windows and long lists of items count as several rows when a side's size is checked.
+ROW_BYTES = 100
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,16 +62,13 @@ def winnowed(words: Column, m: int) -> Column:
     return F.array_distinct(let(hashes, least))
 
 
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _window_table(items: DataFrame) -> DataFrame:
-    """One row a window of each item: item_id, m, gram (its words joined by blanks)."""
-    w = items.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    w = w.select("item_id", "w", F.least(F.size("w"), F.lit(WINDOW)).alias("m"))
+    """One row a distinct window: m, gram (its words joined by blanks), item_set (key of the set of its items), items."""
+    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = w.select("item", "w", F.least(F.size("w"), F.lit(WINDOW)).alias("m"))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1), lambda i: F.array_join(F.slice("w", i, F.col("m")), " "))
-    return w.select("item_id", "m", F.explode(grams).alias("gram")).distinct()
+    w = w.select("item", "m", F.explode(grams).alias("gram")).groupBy("m", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return w.select("m", "gram", F.md5(F.to_json("items")).alias("item_set"), "items")
 
 
 def hit_words(spans: Column) -> Column:
@@ -91,9 +94,10 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = only_columns(documents, id_col, text_col).toDF("doc_id", "text")
     items = only_columns(benchmark, item_col, item_text_col).toDF("item_id", "text")
     table = stored(_window_table(items), "bench-windows")
-    distinct = stored(table.select("m", "gram").distinct(), "bench-distinct")
-    n_windows = distinct.count()
-    lengths = [r["m"] for r in distinct.select("m").distinct().collect()]  # WINDOW values at most
+    distinct = table.select("m", "gram", "item_set")
+    weight = table.agg(F.count(F.lit(1)), F.sum(F.octet_length("gram")), F.sum(F.octet_length(F.to_json("items")))).first()
+    n_windows, n_sets = (max(weight[0], (weight[0] and bytes_) // ROW_BYTES) for bytes_ in weight[1:])
+    lengths = sorted(r["m"] for r in distinct.select("m").distinct().collect())  # WINDOW values at most
     # Every kept hash of a window of m words, taken from the window itself.
     keys = None
     for m in lengths:
@@ -108,11 +112,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marks = F.concat(*marks) if marks else F.array().cast("array<struct<m:int,h:bigint>>")
     prints = tokens.select("doc_id", F.explode(marks).alias("p")).select("doc_id", "p.m", "p.h")
     # n_windows bounds the number of kept hashes: one a window.
-    found = prints.join(_checked(keys, n_windows), (F.col("m") == F.col("km")) & (F.col("h") == F.col("kh"))).select("doc_id", "m", "h")
+    found = prints.join(small(keys, n_windows), (F.col("m") == F.col("km")) & (F.col("h") == F.col("kh"))).select("doc_id", "m", "h")
     found = stored(found.groupBy("doc_id").agg(F.collect_set(F.struct("m", "h")).alias("prints")), "bench-found")
     size = found.agg(F.sum(F.size("prints")).alias("n")).first()["n"] or 0
     # 2. Windows around common hashes, by their words.
-    side = _checked(found.withColumnRenamed("doc_id", "found_id"), size)
+    side = small(found.withColumnRenamed("doc_id", "found_id"), size)
     both = docs.join(side, docs["doc_id"].eqNullSafe(F.col("found_id")), "left").select("doc_id", F.xxhash64("text").alias("text_hash"), item_words(F.col("text")).alias("w"), "prints")
     cut = F.array().cast("array<struct<s:int,m:int,gram:string>>")
     for m in lengths:
@@ -120,12 +124,13 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     narrow = both.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.when(F.col("prints").isNotNull(), cut).alias("cut"))
     narrow = stored(narrow, "bench-narrow")
     exact = narrow.where("cut IS NOT NULL").select("doc_id", "text_hash", F.explode("cut").alias("c")).select("doc_id", "text_hash", "c.s", "c.m", "c.gram")
-    exact = exact.join(_checked(distinct, n_windows), ["m", "gram"])
-    exact = stored(exact.select("doc_id", "text_hash", "s", "m", "gram").distinct(), "bench-exact")
-    words = exact.groupBy("doc_id", "text_hash").agg(hit_words(F.array_sort(F.collect_set(F.struct("s", "m")))).alias("n_hit"))
-    named = exact.select("doc_id", "text_hash", "m", "gram").distinct().join(table, ["m", "gram"])
-    named = named.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("items"))
-    result = words.join(named, words["doc_id"].eqNullSafe(named["doc_id"]) & (words["text_hash"] == named["text_hash"])).select(words["doc_id"].alias("r_id"), words["text_hash"].alias("r_hash"), "n_hit", "items")
+    exact = exact.join(small(distinct, n_windows), ["m", "gram"]).groupBy("doc_id", "text_hash")
+    exact = exact.agg(hit_words(F.array_sort(F.collect_set(F.struct("s", "m")))).alias("n_hit"), F.collect_set("item_set").alias("sets"))
+    sets = table.groupBy("item_set").agg(F.any_value("items").alias("items"))
+    named = exact.select("doc_id", "text_hash", "n_hit", F.explode("sets").alias("item_set")).join(small(sets, n_sets), "item_set")
+    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    result = named.groupBy("doc_id", "text_hash").agg(F.any_value("n_hit").alias("n_hit"), united.alias("items"))
+    result = result.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "n_hit", "items")
     out = narrow.select("doc_id", "text_hash", "n_words").join(result, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
     return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -153,4 +158,4 @@ def clean(documents: DataFrame, benchmark: DataFrame, min_hit: int = 1, id_col:
     """The rows of documents with fewer than min_hit hit words."""
     bad = matches(documents, benchmark, id_col, text_col).where(F.col("n_hit") >= min_hit).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     bad = stored(bad, "bench-bad")
-    return documents.join(_checked(bad, bad.count()), documents[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(documents[text_col]) == F.col("__hash")), "left_anti")
+    return documents.join(small(bad, bad.count()), documents[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(documents[text_col]) == F.col("__hash")), "left_anti")
