@@ -83,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = docs.select("doc_id", "source", "lang", sharding.size_of(text).alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), sharding.group_of(text).alias("__grp"))
     narrow = stored(narrow, "shard-rows")
     out = sharding.sharding(narrow.withColumn("__bytes", F.col("size")), 40)
-    out = sharding.with_slots(out, narrow.count(), ["doc_id", "text_crc32"])
+    out = sharding.with_slots(out, ["doc_id", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
