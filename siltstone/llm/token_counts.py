@@ -4,15 +4,18 @@ Two machines are compiled from the tokenizer's file:
 
 1. A deterministic transducer over character classes splits text into pieces as the byte-level pattern does.
    Its transitions emit where pieces begin (before the character read, or before the one ahead of it, since
-   white space is decided one character late). The classes of all code points are asked from the library.
+   white space is decided one character late). The classes of all code points are asked from the library's splitter.
    A text is cut into chunks. Each chunk is run from every state at once, which gives its state map; the maps
    compose by a parallel prefix scan (doubling), which gives each chunk's true first state; a second run from
    there emits the boundaries. So one long text is as parallel as many short ones, in numpy's lanes.
-2. A subsequential transducer of pieces: its final output is the number of tokens of the piece, compiled on
-   first sight by the library and kept in a bounded table.
+2. A deterministic transducer over bytes (`bpe_machine`), built from the vocabulary's merges, whose transitions emit
+   the change in the number of tokens. It begins anew at each boundary. So the map of a chunk that holds a boundary
+   is constant in its exit, and affine in its count: tokens after the first boundary, and those that the head of
+   the chunk adds to the piece it goes on with. All chunks run at once; then all heads run from their predecessors' exits;
+   chunks without any boundary (pieces longer than a chunk) are composed one after another. A text's count
+   is a difference of prefix sums of the emissions.
 
-Pieces do not influence each other in byte-level BPE, so a text's count is the sum of its pieces' outputs.
-Special strings are cut out first and count as one token each, which is the library's default.
+The library encodes nothing here. Special strings are cut out first and count as one token each, which is the library's default.
 
 Defined cases: null and empty texts have no tokens; every whole text is counted; repeated rows give repeated
 rows; extra columns pass through unless they bear the output's names.
@@ -20,7 +23,7 @@ rows; extra columns pass through unless they bear the output's names.
 
 from __future__ import annotations
 
-import os
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -30,12 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.bpe_machine import HELD, START as PIECE_START, Transducer, merges_of
 from siltstone.llm.shared import ship
 
 CHUNK = 256
-CACHE_PIECES = 800_000
 #: Characters taken at once; bounds the memory of a batch of long texts.
-LANES = 1 << 20
+LANES = 1 << 19
 LETTER, DIGIT, BLANK, SPACE, QUOTE, MARK, STMD, RV, E, L, HOLD = range(11)
 START, IN_L, IN_N, IN_M, Q, Q_RV, Q_L, ONE_B, ONE_S, MANY_B, MANY_S = range(11)
 BEFORE, AHEAD = 1, 2  # a piece begins at the character read; at the one ahead of it
@@ -152,45 +155,55 @@ def boundaries(points: np.ndarray, lengths: np.ndarray, classes: np.ndarray) ->
     return begins
 
 
+def token_changes(machine: Transducer, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Change in the number of tokens by each byte; begins flags the bytes at which a piece begins (the first one is)."""
+    chunks = -(-len(data) // CHUNK)
+    grid, fresh = np.zeros(chunks * CHUNK, np.uint8), np.zeros(chunks * CHUNK, bool)
+    grid[: len(data)], fresh[: len(data)] = data, begins
+    read, fresh = np.ascontiguousarray(grid.reshape(-1, CHUNK).T), np.ascontiguousarray(fresh.reshape(-1, CHUNK).T)
+    state, emitted = np.full(chunks, HELD, np.int32), np.empty((CHUNK, chunks), np.int16)
+    for j in range(CHUNK):
+        state = np.where(fresh[j], np.int32(PIECE_START), state)
+        state, emitted[j] = machine.step(state, read[j])
+    cut = fresh.any(axis=0)
+    head = np.where(cut, fresh.argmax(axis=0), CHUNK)
+    head[-1] = min(head[-1], len(data) - (chunks - 1) * CHUNK)
+    # Heads of chunks whose predecessor's exit is known, longest first.
+    own = np.flatnonzero(head > 0)
+    first = own[cut[own - 1]]
+    first = first[np.argsort(-head[first], kind="stable")]
+    at = state[first - 1]
+    for j in range(int(head[first].max(initial=0))):
+        n = int(np.count_nonzero(head[first] > j))
+        at[:n], emitted[j, first[:n]] = machine.step(at[:n], read[j, first[:n]])
+    whole = ~cut[first]
+    state[first[whole]] = at[whole]
+    for c in own[~cut[own - 1]].tolist():
+        after, emitted[0, c] = machine.run(int(state[c - 1]), read[: head[c], c].tobytes())
+        if not cut[c]:
+            state[c] = after
+    return emitted.T.reshape(-1)[: len(data)]
+
+
 class Counter:
     """Token counts of texts, equal to the length of the library's encoding without added special tokens."""
 
-    def __init__(self, path: str, classes: np.ndarray, cache_pieces: int = CACHE_PIECES):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.classes, self.limit, self.outputs = classes, cache_pieces, {}
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
-
-    def _sum(self, pieces: list[str]) -> int:
-        outputs = self.outputs
-        found = list(map(outputs.get, pieces))
-        if None in found:
-            at = [i for i, n in enumerate(found) if n is None]
-            missing = list({pieces[i] for i in at})
-            new = dict(zip(missing, map(len, self.library.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-            if len(outputs) + len(new) <= self.limit:
-                outputs.update(new)
-            for i in at:
-                found[i] = new[pieces[i]]
-        return sum(found)
+    def __init__(self, machine: Transducer, classes: np.ndarray, special: list[str]):
+        self.machine, self.classes = machine, classes
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
     def _plain(self, texts: list[str]) -> list[int]:
         """Counts of texts that are not empty and hold no special string."""
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
         lengths = np.array([len(t) for t in texts], np.int64)
-        at = np.flatnonzero(boundaries(points, lengths, self.classes))
-        ends = np.cumsum(lengths)
-        cuts = np.searchsorted(at, ends)
-        counts, low = [], 0
-        for text, end, begin, high in zip(texts, ends.tolist(), (ends - lengths).tolist(), cuts.tolist(), strict=True):
-            marks = (at[low:high] - begin).tolist()
-            marks.append(end - begin)
-            counts.append(self._sum([text[a:b] for a, b in zip(marks, marks[1:])]))  # noqa: B905
-            low = high
-        return counts
+        starts = np.flatnonzero((data & 0xC0) != 0x80)  # first byte of each character
+        begins = np.zeros(len(data), bool)
+        begins[starts[boundaries(points, lengths, self.classes)]] = True
+        changes = token_changes(self.machine, data, begins)
+        self.machine.trim()
+        return np.add.reduceat(changes.astype(np.int64), starts[np.cumsum(lengths) - lengths]).tolist()
 
     def __call__(self, texts: list[str | None]) -> list[int]:
         counts = [0] * len(texts)
@@ -224,21 +237,26 @@ class Counter:
 
 
 @cache
-def counter_of(path: str) -> Counter:
-    """One counter a worker process: its pieces stay known from task to task."""
-    return Counter(path, np.zeros(0, np.uint8))
+def compiled(path: str) -> tuple[Transducer, np.ndarray, list[str]]:
+    """Both machines and the special strings of a vocabulary file."""
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file).get("added_tokens", [])]
+    return Transducer.compiled(merges_of(path)), code_point_classes(path), special
+
+
+_counters: dict[str, Counter] = {}
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 512) -> DataFrame:
     """df with n_bytes, n_tokens and over_limit."""
     spark = df.sparkSession
     ship(spark)
-    classes = spark.sparkContext.broadcast(code_point_classes(tokenizer_path))  # 1.1 MB always
+    machines = spark.sparkContext.broadcast(compiled(tokenizer_path))  # some 20 MB, by the vocabulary alone
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = counter_of(tokenizer_path)
-        counter.classes = classes.value
+        # One counter a worker process: what it compiles stays known from task to task.
+        counter = _counters.get(tokenizer_path) or _counters.setdefault(tokenizer_path, Counter(*machines.value))
         for texts in batches:
             yield pd.Series(counter([None if t is None else t for t in texts]), dtype="int64")
 
