@@ -1,5 +1,7 @@
+import math
+import random
+
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import language_id as op
@@ -44,13 +46,84 @@ def test_rejects_latin_texts_of_other_languages(spark):
     assert share <= 0.005
 
 
-def test_too_many_languages_are_an_error(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
-    monkeypatch.setattr(op, "MAX_LANGUAGES", 4)
-    assert len(op.fit(docs).languages) == 4
-    monkeypatch.setattr(op, "MAX_LANGUAGES", 3)
-    with pytest.raises(ValueError, match="more than 3"):
-        op.fit(docs)
+def test_a_thousand_languages(spark):
+    """More languages than are compared at once: each is learned and found again."""
+    rnd, rows = random.Random(6), []
+    for lang in range(1000):
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyz", 7)
+        vocab = ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 7))) for _ in range(12)]
+        rows += [(8 * lang + i, " ".join(rnd.choice(vocab) for _ in range(60)), f"l{lang:04d}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert op.PART < 1000
+    model = op.fit(df)
+    assert len(model.languages) == 1000
+    got = op.language_id(df, model).select("lang", "lang_pred", "rejected").collect()
+    assert len(got) == 3000 and all(r.lang == r.lang_pred and not r.rejected for r in got)
+
+
+def _plain(train, texts):
+    """The method in plain Python: counts in dictionaries, one vector after another."""
+    vectors = {lang: [np.asarray(op.gram_counts(t)) for _, t in sorted(rows)] for lang, rows in train.items()}
+    every = [v for rows in vectors.values() for v in rows]
+    idf = [math.log((1 + len(every)) / (1 + sum(v[g] > 0 for v in every))) + 1 for g in range(op.DIM)]
+
+    def unit(v):
+        x = [math.log1p(c) * w for c, w in zip(v, idf, strict=True)]
+        n = math.sqrt(sum(c * c for c in x))
+        return [c / n for c in x]
+
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    centroids = []
+    for lang in sorted(vectors):
+        points = [unit(v) for v in vectors[lang]]
+        centres = [points[0]]
+        while len(centres) < min(op.CLUSTERS, len(points)):
+            centres.append(min(points, key=lambda p: max(dot(p, c) for c in centres)))
+        for _ in range(12):
+            near = [max(range(len(centres)), key=lambda i: dot(p, centres[i])) for p in points]
+            for i in range(len(centres)):
+                own = [p for p, k in zip(points, near, strict=True) if k == i]
+                if own:
+                    mean = [sum(c) / len(own) for c in zip(*own, strict=True)]
+                    size = math.sqrt(dot(mean, mean))
+                    centres[i] = [c / size for c in mean]
+        centroids += [(lang, c) for c in centres]
+    out = []
+    for t in texts:
+        v = unit(op.gram_counts(t))
+        lang, c = max(centroids, key=lambda x: dot(v, x[1]))
+        out.append((lang, dot(v, c)))
+    return out
+
+
+def test_equals_the_method_in_plain_python(spark):
+    docs = spark.read.parquet(f"{REAL}/documents.parquet").where("length(text) BETWEEN 80 AND 900").orderBy("doc_id").limit(48)
+    rows = [r for r in docs.collect() if r.doc_id % 3]
+    train = {}
+    for r in rows:
+        train.setdefault(r.lang, []).append((str(r.doc_id), r.text))
+    texts = [r.text for r in docs.collect() if not r.doc_id % 3]
+    got = op.predict(op.fit(docs.where("doc_id % 3 <> 0")), texts)
+    want = _plain(train, texts)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-5)
+
+
+def test_grams_are_counted_one_by_one():
+    """Counts of a text longer than a piece equal those of its grams, hashed one at a time."""
+    m = 1 << 64
+    mix = lambda x: ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % m) >> 52
+    text = "Ab, é" * 30000
+    padded = " " + " ".join("".join(c if c.isalpha() else " " for c in text).split()).lower() + " "
+    c, want = [ord(x) for x in padded], np.zeros(op.DIM)
+    two = lambda a, b: (b * 0xC2B2AE3D27D4EB4F + a * 0x165667B19E3779F9) % m
+    for i in range(len(c)):
+        want[mix(c[i] * 0x9E3779B97F4A7C15 % m)] += 1
+        if i >= 1:
+            want[mix(two(c[i - 1], c[i]))] += 1
+        if i >= 2:
+            want[mix((two(c[i - 1], c[i]) * 0x27D4EB2F165667C5 + c[i - 2] * 0x85EBCA77C2B2AE63) % m)] += 1
+    assert len(text) > 1 << 16 and (op.gram_counts(text) == want).all()
 
 
 def test_awkward_rows(spark):
