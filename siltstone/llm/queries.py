@@ -51,12 +51,18 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"), _tokenizer())
 
 
-def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_model(spark: SparkSession, sf_dir: str, **options):
+    """The model of op5_toxicity."""
     from siltstone.llm import toxicity
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~_held_out()))
-    out = toxicity.toxicity(docs, model)
+    return toxicity.fit(docs, read(spark, sf_dir, "labels").where(~_held_out()), **options)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import toxicity
+
+    out = toxicity.toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), op5_model(spark, sf_dir))
     return out.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 

@@ -1,13 +1,17 @@
 """A toxicity classifier that is trained not to react to whom a sentence mentions.
 
 Logistic regression on the presence of words and of their first four and five letters (inflected forms share
-them). For a training text that holds an identity term, a counterfactual text has each such term swapped for
-another one of its list; the loss adds PENALTY times the squared difference of the two scores (before the
-sigmoid), so weights that a neutral mention alone would move are pushed to zero.
+them; so does a group's name with an insult that begins alike, and that is what the penalty undoes). Each labelled
+training text has a counterfactual. A text that holds identity terms has each of them swapped for another one of its
+list. Into a text that holds none, a term drawn by the text's hash is inserted, and the counterfactual has the next term of the
+list instead, or none. The loss adds PENALTY times the mean squared difference of the two scores (before the
+sigmoid; over the pairs that differ in any feature of the model), so weights that a neutral mention alone would move are
+pushed to zero.
 
 Fitting reads a bounded sample: about SAMPLE_ROWS labelled rows, chosen by a hash of the id, with the share
-set from the exact count of labels. Hashed features, not texts, go to the driver (about 4 KB a row). Scoring
-reads every whole text once, without a shuffle; its cache of words is bounded.
+set from the exact count of labels. Hashed features, not texts, go to the driver (about 4 KB a row). Features are those
+whose shares in toxic and other texts differ by STRENGTH standard errors; their number is bounded by the sample alone.
+Scoring reads every whole text once, without a shuffle; its cache of words is bounded.
 
 Defined cases: null and empty texts are scored by the bias alone; labels that are null are ignored; a
 document labelled twice counts once, as toxic if any label says so; without labels every score is 0;
@@ -26,24 +30,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import only_columns, ship, stored
+from siltstone.llm.shared import forget, only_columns, ship, stored
 
 SAMPLE_ROWS = 14_000
 BITS = 20
-MAX_FEATURES = 6000
+STRENGTH, LEAST_TEXTS = 3.0, 3
 PENALTY, RIDGE, ROUNDS = 2.0, 2e-5, 400
 CACHE_WORDS = 400_000
-#: Lists of identity terms; a swap stays inside a list. Callers give their own for other languages.
+#: Lists of identity terms in four languages; a swap stays inside a list. Callers give their own for other languages.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "catholics", "atheists"),
     ("black", "white", "asian", "latino", "african", "european", "arab"),
+    ("moroccan", "pathan", "korean", "nigerian", "mexican", "turkish", "polish"),
+    ("moroccans", "pathans", "koreans", "nigerians", "mexicans", "turks", "poles"),
     ("gay", "straight", "lesbian", "bisexual", "queer", "transgender"),
     ("woman", "man"),
     ("women", "men"),
     ("immigrant", "refugee", "foreigner", "native"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("deaf", "blind", "disabled", "elderly", "young"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "katholisch"),
+    ("marokkaner", "türken", "polen", "koreaner", "afrikaner"),
+    ("frauen", "männer"),
+    ("flüchtlinge", "ausländer", "einwanderer", "einheimische"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("musulman", "chrétien", "juif", "hindou", "catholique"),
+    ("marocains", "turcs", "polonais", "coréens", "africains"),
+    ("femmes", "hommes"),
+    ("réfugiés", "étrangers", "immigrés", "autochtones"),
+    ("homosexuel", "lesbienne", "bisexuel", "hétérosexuel"),
+    ("musulmán", "cristiano", "judío", "hindú", "católico"),
+    ("marroquíes", "turcos", "polacos", "coreanos", "africanos"),
+    ("mujeres", "hombres"),
+    ("refugiados", "extranjeros", "inmigrantes", "nativos"),
+    ("homosexual", "lesbiana", "bisexual", "heterosexual"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -68,6 +89,26 @@ def swapped(found: set[str], lists=IDENTITY_TERMS) -> set[str] | None:
     return None if out == found and not any(t in found for terms in lists for t in terms) else out
 
 
+def inserted(found: set[str], lists=IDENTITY_TERMS) -> tuple[set[str], set[str]] | None:
+    """A text without identity terms with one that its words' hash draws, and with the next one of the list or with none."""
+    lists = [terms for terms in lists if terms]
+    if not lists:
+        return None
+    draw = xxhash.xxh32_intdigest(" ".join(sorted(found)).encode("utf-8", "surrogatepass"))
+    terms = lists[draw % len(lists)]
+    at = draw // len(lists) % len(terms)
+    alone = draw >> 31 or len(terms) == 1
+    return found | {terms[at]}, found if alone else found | {terms[(at + 1) % len(terms)]}
+
+
+def counterfactual(found: set[str], lists=IDENTITY_TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """Features that only the text, and that only its counterfactual has."""
+    other = swapped(found, lists)
+    pair = (found, other) if other is not None else inserted(found, lists) or (found, found)
+    own, other = (_features(x) for x in pair)
+    return np.setdiff1d(own, other), np.setdiff1d(other, own)
+
+
 def _features(found: set[str]) -> np.ndarray:
     return np.unique(np.fromiter((h for w in found for h in word_features(w)), dtype=np.int32))
 
@@ -76,10 +117,13 @@ def _features(found: set[str]) -> np.ndarray:
 class Model:
     weights: dict[int, float]
     bias: float
+    #: Counterfactual pairs, and those of them that differ in a feature of the model: on these the penalty acts.
+    pairs: int = 0
+    acting: int = 0
 
 
 def train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PENALTY) -> Model:
-    """Fit on hashed features; pairs hold those of a text and of its counterfactual."""
+    """Fit on hashed features; pairs hold those which only a text, and which only its counterfactual has."""
     if not len(rows) or not toxic.any():
         return Model({}, -30.0)
     if toxic.all():
@@ -91,9 +135,8 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarra
     p, q = seen[True] / toxic.sum(), seen[False] / (~toxic).sum()
     both = (seen[True] + seen[False]) / len(rows)
     strength = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / toxic.sum() + 1 / (~toxic).sum()) + 1e-12)
-    strength[(seen[True] + seen[False]) < 3] = 0
-    chosen = np.argsort(-strength, kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(chosen[strength[chosen] > 2])
+    strength[(seen[True] + seen[False]) < LEAST_TEXTS] = 0
+    chosen = np.flatnonzero(strength > STRENGTH)
     column = np.full(n, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
 
@@ -101,6 +144,8 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarra
         cols = [c[c >= 0] for c in (column[s] for s in sets)]
         return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate([np.zeros(0, np.int32), *cols])
 
+    n_pairs, acts = len(pairs), lambda p: (column[p[0]] >= 0).any() or (column[p[1]] >= 0).any()
+    pairs = [p for p in pairs if acts(p)]
     x, a, b = sparse(rows), sparse([u for u, _ in pairs]), sparse([v for _, v in pairs])
     dot = lambda s, w, m: np.bincount(s[0], w[s[1]], minlength=m)
     back = lambda s, g: np.bincount(s[1], g[s[0]], minlength=len(chosen))
@@ -117,7 +162,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarra
         m1, m2 = 0.9 * m1 + 0.1 * full, 0.999 * m2 + 0.001 * full**2
         step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
-    return Model({int(c): float(v) for c, v in zip(chosen, w, strict=True)}, float(bias))
+    return Model({int(c): float(v) for c, v in zip(chosen, w, strict=True)}, float(bias), n_pairs, len(pairs))
 
 
 def fit(
@@ -140,18 +185,20 @@ def fit(
     # About sample_rows rows of 17 bytes, by the share above: safe to broadcast at any size of the input.
     sample = rows.join(F.broadcast(marks), F.col("id") == F.col("label_id"))
 
-    @F.pandas_udf("own binary, other binary")
+    @F.pandas_udf("own binary, more binary, less binary")
     def hashed(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             found = distinct_words(t)
-            other = swapped(found, lists)
-            out.append((_features(found).tobytes(), None if other is None else _features(other).tobytes()))
-        return pd.DataFrame(out, columns=["own", "other"])
+            more, less = counterfactual(found, lists)
+            out.append((_features(found).tobytes(), more.tobytes(), less.tobytes()))
+        return pd.DataFrame(out, columns=["own", "more", "less"])
 
-    got = sample.select("id", "toxic", hashed("text").alias("f")).select("id", "toxic", "f.*")
-    numbers = sorted(((r["id"], r["toxic"], np.frombuffer(r["own"], np.int32), None if r["other"] is None else np.frombuffer(r["other"], np.int32)) for r in stored(got, "toxicity-sample").toLocalIterator()), key=lambda r: (r[0], r[2].tobytes()))
-    return train([r[2] for r in numbers], np.array([r[1] for r in numbers], dtype=bool), [(r[2], r[3]) for r in numbers if r[3] is not None], penalty)
+    got = stored(sample.select("id", "toxic", hashed("text").alias("f")).select("id", "toxic", "f.*"), "toxicity-sample")
+    ids = lambda b: np.frombuffer(b, np.int32)
+    numbers = sorted(((r["id"], r["toxic"], ids(r["own"]), (ids(r["more"]), ids(r["less"]))) for r in got.toLocalIterator()), key=lambda r: (r[0], r[2].tobytes()))
+    forget(got)
+    return train([r[2] for r in numbers], np.array([r[1] for r in numbers], dtype=bool), [r[3] for r in numbers], penalty)
 
 
 class Scorer:
@@ -177,7 +224,7 @@ class Scorer:
 def toxicity(df: DataFrame, model: Model, text_col: str = "text", limit: float = 0.3) -> DataFrame:
     """df with score (0 to 1) and predicted (1 if score >= limit)."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES numbers at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # as many numbers as the bounded sample has features
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,6 +1,9 @@
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from siltstone.llm import queries
 from siltstone.llm import toxicity as op
 from tests.llm.fixtures import awkward, empty
 
@@ -31,8 +34,8 @@ def _biased(penalty):
     for t in texts:
         found = op.distinct_words(t)
         rows.append(op._features(found))
-        if (other := op.swapped(found)) is not None:
-            pairs.append((rows[-1], op._features(other)))
+        if op.swapped(found) is not None:
+            pairs.append(op.counterfactual(found))
     return op.Scorer(op.train(rows, np.array(y), pairs, penalty))
 
 
@@ -44,6 +47,63 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert fair("muslim idiot tree") > 0.5 and fair("idiot tree") > 0.5
 
 
+def _gaps(score):
+    return [abs(score(a) - score(b)) for terms in op.IDENTITY_TERMS for a, b in itertools.combinations(terms, 2)]
+
+
+def test_the_penalty_acts_on_the_query(spark):
+    """The tables name no group; counterfactuals are inserted, and the query's own model shows their effect."""
+    plain, fair = (queries.op5_model(spark, "/root/testdata/sf0.1", **o) for o in ({"penalty": 0.0}, {}))
+    assert fair.pairs > 2000 and fair.acting > 20
+    assert max(_gaps(op.Scorer(plain))) > 0.01
+    assert max(_gaps(op.Scorer(fair))) < 0.001
+
+
+def test_equals_gradient_descent_in_plain_numpy():
+    """The same loss on dense arrays, its gradient written out."""
+    rnd = np.random.default_rng(5)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)] + ["moroccan", "korean", "moron"]
+    sets = [set(rnd.choice(words, 9, replace=False)) for _ in range(300)]
+    toxic = np.array(["moron" in s or ("waa" in s and "wbb" in s) for s in sets])
+    rows, pairs = [op._features(s) for s in sets], [op.counterfactual(s) for s in sets]
+    model = op.train(rows, toxic, pairs)
+    chosen = sorted(model.weights)
+    assert 3 <= len(chosen) and model.pairs == 300 and 0 < model.acting < 300
+    dense = lambda xs: np.array([[float(c in set(x.tolist())) for c in chosen] for x in xs])
+    x, d = dense(rows), dense([p[0] for p in pairs]) - dense([p[1] for p in pairs])
+    d = d[[bool(np.isin(p[0], chosen).any() or np.isin(p[1], chosen).any()) for p in pairs]]
+    w = np.append(np.zeros(len(chosen)), np.log(toxic.mean() / (1 - toxic.mean())))
+    m1, m2 = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, op.ROUNDS + 1):
+        miss = (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - toxic) / len(x)
+        g = np.append(x.T @ miss + 2 * op.RIDGE * w[:-1] + 2 * op.PENALTY * d.T @ (d @ w[:-1]) / len(d), miss.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        w -= 0.05 * m1 / (1 - 0.9**t) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
+    assert np.allclose([model.weights[c] for c in chosen], w[:-1], atol=1e-6) and abs(model.bias - w[-1]) < 1e-6
+    score = op.Scorer(model)
+    for s in sets[:40]:
+        own = set(op._features(s).tolist())
+        z = model.bias + sum(v for c, v in zip(chosen, w[:-1], strict=True) if c in own)
+        assert abs(score(" ".join(s)) - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_counterfactuals():
+    more, less = op.counterfactual({"gay", "tree"})
+    assert set(more) == set(op._features({"gay"})) - set(op._features({"straight", "tree"}))
+    assert set(less) == set(op._features({"straight"})) - set(op._features({"gay", "tree"}))
+    with_term, other = op.inserted({"tree"})
+    assert "tree" in with_term & other and len(with_term) == 2 and len(other) in (1, 2) and with_term != other
+    assert op.inserted({"tree"}) == op.inserted({"tree"})
+    assert op.inserted({"tree"}, ()) is None and all(not len(x) for x in op.counterfactual({"tree"}, ()))
+
+
+def test_long_texts(spark):
+    text = "idiot " + "river stone " * 120_000
+    model = op.Model({h: 1.0 for h in op.word_features("idiot")}, -1.0)
+    df = spark.createDataFrame([(1, text), (2, text[6:])], "doc_id long, text string")
+    assert [r.predicted for r in op.toxicity(df, model).orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_swaps():
     assert op.swapped({"tree"}) is None
     assert op.swapped({"gay", "tree"}) == {"straight", "tree"}
