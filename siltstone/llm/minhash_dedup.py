@@ -6,21 +6,27 @@ similarity s meets in some table with probability (1 - (1 - s^2)^SIDE)^2: at lea
 SIDE = 10.
 
 1. One scan gives each document its shingle count, a 128-bit fingerprint of its set and its minhashes. Equal
-   sets form a class; only the least id of a class goes on, so exact copies cost one row each.
+   sets form a class, and only classes go on, so exact copies cost one row each.
 2. Rows of tables with a single member drop out by an aggregation by key. In the other tables every member is
    paired with the table's least member, never with all others.
 3. Pairs are confirmed on full sets and linked. First each member with the least of its tables; then, among pairs
-   whose ends are not yet in one component, the remaining pairs with tables' least members.
+   whose ends are not yet in one component, the remaining pairs with tables' least members. To be compared, the partners of a
+   set that many pairs name come to it in blocks of HUB or so; it is sent once a block, not once a pair.
 4. Tables that still hold several components are settled exactly, without pairing their members: each member sends
    its rarest shingles, so many that two sets of the wanted similarity must share one, and only members of different
-   components that do share one, and whose sizes allow a link, are paired. Rarity is judged by counts in a fixed number
-   of hash buckets (RARITY); any order that is the same for all sets is right, this one keeps common passages out.
-   So a passage that thousands of documents share, or a group of near copies, gives no pairs in the square of its size.
+   components that do share one, and whose sizes and places in the order allow a link, are paired. Of two such sets the smaller
+   one must have the shingle among still fewer of its rarest ones (it is looked up, the larger one looks up); a passage that a
+   family of documents shares without being similar enough has no such place, so it pairs nobody. Shingles that very
+   many sets send are cut into a grid of cells of CELL by CELL rows, so none is one task's work. Rarity is judged by
+   counts in a fixed number of hash buckets (RARITY); any order that is the same for all sets is right, this one keeps common
+   passages out. So a passage that thousands of documents share, or a group of near copies, gives no pairs in the
+   square of its size.
 
 Shingles are compared as 64-bit hashes. Defined cases: documents without words have no shingles, no links and are
 kept; one with fewer words than a shingle has its word sequence as its only shingle; rows with equal ids are one
-document; a null id is its own component (null) and kept; an empty table gives an empty result; other columns are
-not looked at.
+document, with the links of all its texts (each row has the shingle count of its own text; a row without words stays alone
+whatever its id); ids may be of any type that can be ordered; a null id is its own component (null) and kept; an empty table
+gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,14 +39,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm.components import connected_components
 from siltstone.llm.hashing import mixed, run_hashes, word_hashes, words_of
-from siltstone.llm.shared import BROADCAST_ROWS, only_columns, ship, stored
+from siltstone.llm.shared import forget, only_columns, ship, small, stored
 
 SIDE = 10
 #: Buckets of shingle counts; what the driver holds and broadcasts is 4 bytes each (8 MB), at any size of the input.
 RARITY, PAGE = 1 << 21, 1 << 10
+#: Partners that are compared with one sending of a set; rows of a shared shingle that meet in one cell.
+HUB, CELL = 256, 4096
 _rng = np.random.default_rng(20240517)
 _XOR = _rng.integers(0, 1 << 63, 4 * SIDE, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, 4 * SIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,51 +90,80 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(groups, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp", "groups"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary, groups array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, fp binary, groups array<long>")
 
 
 def _table_rows(classes: DataFrame) -> DataFrame:
-    """key, rep: one row a table of each class; keys are hashes of (i, j, u_i, v_j)."""
-    rows = classes.select("rep", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("t"), "groups")
+    """key, cls: one row a table of each class; keys are hashes of (i, j, u_i, v_j)."""
+    rows = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("t"), "groups")
     i, j = F.floor(F.col("t") / SIDE).cast("int"), F.col("t") % SIDE
-    return rows.select(F.xxhash64("t", F.get("groups", i), F.get("groups", j + SIDE)).alias("key"), "rep")
+    return rows.select(F.xxhash64("t", F.get("groups", i), F.get("groups", j + SIDE)).alias("key"), "cls")
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Do two sorted sets reach the similarity?"""
+    small_set, large = (p, q) if len(p) <= len(q) else (q, p)
+    if not len(small_set) or 100 * len(small_set) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small_set)
+    common = int((large[np.minimum(at, len(large) - 1)] == small_set).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
 class _Confirm:
-    """Confirms candidate pairs on the full sets of the documents involved."""
+    """Confirms candidate pairs of classes on their full sets."""
 
-    def __init__(self, docs: DataFrame, ids: DataFrame, width: int, percent: int):
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.percent = percent
-        ids = stored(ids.select(F.col("id").alias("need")), "near-ids")
-        side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        need = docs.join(side, F.col("doc_id") == F.col("need")).select("doc_id", "text")
+        need = stored(classes.select("cls", F.col("rep").alias("need"), F.col("fp").alias("want")), "near-need")
+        rows = docs.join(small(need, need.count()), F.col("doc_id") == F.col("need")).select("cls", "want", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+                ids, sets = [], []
+                for cls, want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    s = shingle_set(text.as_py(), width).tobytes()
+                    if md5(s).digest() == want:  # an id may bear other texts too
+                        ids.append(cls)
+                        sets.append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
-        self.sets = stored(need.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]), "near-sets")
+        self.sets = stored(rows.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]), "near-sets")
+        forget(need)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links."""
         percent = self.percent
+        pairs = stored(pairs.select("a", "b"), "near-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("hub")).groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB)
+        ends = stored(ends, "near-hubs")
+        n_ends = ends.count()
+        one = small(ends.select(F.col("hub").alias("h1"), F.col("n").alias("n1")), n_ends)
+        two = small(ends.select(F.col("hub").alias("h2"), F.col("n").alias("n2")), n_ends)
+        both = pairs.join(one, F.col("a") == F.col("h1"), "left").join(two, F.col("b") == F.col("h2"), "left")
+        turn = F.coalesce("n2", F.lit(0)) > F.coalesce("n1", F.lit(0))  # the one in more pairs stays, the other comes
+        other = F.when(turn, F.col("a")).otherwise(F.col("b"))
+        dealt = both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("hub"), other.alias("other"), F.pmod(F.xxhash64(other), F.ceil(F.greatest(F.coalesce("n1", F.lit(1)), F.coalesce("n2", F.lit(1))) / HUB)).alias("block"))
+        dealt = stored(dealt, "near-dealt")
+        come = dealt.join(self.sets, F.col("other") == F.col("id")).select("hub", "block", F.lit(1).alias("kind"), "id", "set")
+        stay = dealt.select("hub", "block").distinct().join(self.sets, F.col("hub") == F.col("id")).select("hub", "block", F.lit(0).alias("kind"), "id", "set")
 
-        @F.pandas_udf("boolean")
-        def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-            out = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                common = 0
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    small, large = (p, q) if len(p) <= len(q) else (q, p)
-                    at = np.searchsorted(large, small)
-                    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                out.append(100 * common >= percent * (len(p) + len(q) - common))
-            return pd.Series(out, dtype=bool)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(0, np.uint64)
+            for batch in batches:
+                found = []
+                for hub, kind, other, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    s = np.frombuffer(data.as_buffer(), np.uint64)
+                    if kind == 0:
+                        held = s.copy()
+                    elif similar(held, s, percent):
+                        found.append((hub, other))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-        left = self.sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-        right = self.sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        return stored(pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b"), "near-links")
+        rows = come.unionByName(stay).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
+        links = stored(rows.select("hub", "kind", "id", "set").mapInArrow(run, "a long, b long"), "near-links")
+        forget(pairs, ends, dealt)
+        return links
 
 
 def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
@@ -138,8 +176,7 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 def _sharing_rare(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """a, b: members of different components that share one of their rarest shingles and may be similar enough."""
-    side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    own = sets.join(side, F.col("id") == F.col("rep")).select("id", "c", "set")
+    own = sets.join(small(members, members.count()), F.col("id") == F.col("cls")).select("id", "c", "set")
     shift = np.uint64(64 - (RARITY.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,48 +217,86 @@ def _sharing_rare(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
             flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat(hashes)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(flat(sizes)), pa.array(flat(places))], ["h", "id", "c", "n", "i"])
 
-    rare = own.mapInArrow(rarest, "h long, id long, c long, n long, i long")
-    # A shingle sent by one component alone pairs nothing.
-    lively = rare.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("h").alias("k"))
-    rare = stored(rare.join(lively, F.col("h") == F.col("k")).select("h", "id", "c", "n", "i"), "near-rare")
-    one = rare.select("h", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    two = rare.select(F.col("h").alias("h2"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    # If a pair's first common shingle stands at places ia and ib, at most this many are common; later ones allow less.
+    # Of a pair, the smaller set (on ties the one of smaller number) is looked up. If a pair's first common shingle stands at
+    # places i and j, at most the rest from there on is common to both; later common ones allow less. So a set is looked
+    # up only by shingles from whose place on enough could be common with a set as large as itself.
+    rare = own.mapInArrow(rarest, "h long, id long, c long, n long, i long").withColumn("low", (100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n"))
+    rare = stored(rare, "near-rare")
+    # A shingle that one component alone sends, or by which none is looked up, pairs nothing.
+    lively = rare.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("low"), 1)).alias("n_low")).where("c1 <> c2 AND n_low > 0")
+    lively = lively.select(F.col("h").alias("k"), F.ceil(F.col("n") / CELL).cast("int").alias("n_high"), F.ceil(F.col("n_low") / CELL).cast("int").alias("n_low"))
+    rare = rare.join(lively, F.col("h") == F.col("k"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rare.where("low").select(F.col("h").alias("h1"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"), place("n_low").alias("x1"), every("n_high").alias("y1"))
+    two = rare.select(F.col("h").alias("h2"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), place("n_high").alias("y2"), every("n_low").alias("x2"))
     common = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    enough = (100 + percent) * common >= percent * (F.col("na") + F.col("nb"))
-    fits = enough & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-    return one.join(two, (F.col("h") == F.col("h2")) & fits).select("a", "b").distinct()
+    fits = ((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))) & (100 * F.col("na") >= percent * F.col("nb"))
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = one.join(two, (F.col("h1") == F.col("h2")) & (F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2")) & (F.col("ca") != F.col("cb")) & order & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _one_document(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ids that bear several texts."""
+    mark = F.xxhash64("fp")
+    twice = stored(known.groupBy("doc_id").agg(F.min(mark).alias("m1"), F.max(mark).alias("m2")).where("m1 <> m2").select(F.col("doc_id").alias("twice"), "m1"), "near-twice")
+    n = twice.count()
+    rows = known.join(small(twice, n), F.col("doc_id") == F.col("twice")).select("twice", "m1", F.col("fp").alias("f")).distinct()
+    rows = rows.join(classes.select("fp", "cls"), F.col("f") == F.col("fp")).select("twice", (F.xxhash64("f") == F.col("m1")).alias("first"), "cls")
+    rows = stored(rows, "near-texts")
+    first = rows.where("first").groupBy("twice").agg(F.min("cls").alias("a"))
+    out = rows.join(first, "twice").where(F.col("cls") != F.col("a")).select("a", F.col("cls").alias("b"))
+    out = stored(out, "near-same")
+    forget(twice, rows)
+    return out
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
     ship(df.sparkSession)
-    docs = only_columns(df, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = only_columns(df, id_col, text_col).toDF("doc_id", "text")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sigs = stored(signatures(docs, width), "near-signatures")
-    classes = sigs.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("groups").alias("groups"))
+    known = sigs.where("fp IS NOT NULL AND doc_id IS NOT NULL")
+    # Classes are numbered when they are written, so the numbers hold from then on.
+    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("groups").alias("groups")).withColumn("cls", F.monotonically_increasing_id())
     classes = stored(classes, "near-classes")
     rows = _table_rows(classes)
-    shared = stored(rows.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "least"), "near-tables")
-    members = stored(rows.join(shared, F.col("key") == F.col("k")).select("key", "rep", "least"), "near-members")
-    stars = members.where("rep <> least").groupBy("rep", "least").agg(F.count(F.lit(1)).alias("n")).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    shared = stored(rows.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "least"), "near-tables")
+    members = stored(rows.join(shared, F.col("key") == F.col("k")).select("key", "cls", "least"), "near-members")
+    stars = members.where("cls <> least").groupBy("cls", "least").agg(F.count(F.lit(1)).alias("n")).select(F.col("least").alias("a"), F.col("cls").alias("b"))
     stars = stored(stars, "near-stars")
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    confirm = _Confirm(docs, ids, width, percent)
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = confirm(first)
-    found = stored(connected_components(links), "near-components")
-    more = confirm(_apart(stars.join(first, ["a", "b"], "left_anti"), found))
-    links = links.unionByName(more)
-    found = stored(connected_components(links), "near-components")
+    ids = members.select(F.col("cls").alias("id")).distinct()
+    confirm = _Confirm(docs, classes.join(ids, F.col("cls") == F.col("id"), "left_semi"), width, percent)
+    first = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
+    links = [_one_document(known, classes), confirm(first)]
+
+    def joined() -> DataFrame:
+        edges = links[0]
+        for more in links[1:]:
+            edges = edges.unionByName(more)
+        return stored(connected_components(edges), "near-components")
+
+    found = [joined()]
+    links.append(confirm(_apart(stars.join(first, ["a", "b"], "left_anti"), found[-1])))
+    found.append(joined())
     # Tables that still hold members of two components or more.
-    marked = members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    marked = members.join(found[-1], F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("c"))
     mixed_keys = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(F.col("key").alias("k"))
-    open_members = stored(marked.join(mixed_keys, F.col("key") == F.col("k")).select("rep", "c").distinct(), "near-open")
-    last = confirm(_sharing_rare(confirm.sets, open_members, percent).join(stars, ["a", "b"], "left_anti"))
-    if not last.isEmpty():
-        found = stored(connected_components(links.unionByName(last)), "near-components")
-    by_class = classes.select(F.col("fp").alias("f"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("f", F.coalesce("component", "rep").alias("component"))
-    linked = sigs.where("fp IS NOT NULL AND doc_id IS NOT NULL").join(by_class, F.col("fp") == F.col("f")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    open_members = stored(marked.join(mixed_keys, F.col("key") == F.col("k")).select("cls", "c").distinct(), "near-open")
+    links.append(confirm(_sharing_rare(confirm.sets, open_members, percent).join(stars, ["a", "b"], "left_anti")))
+    if not links[-1].isEmpty():
+        found.append(joined())
+    # A component's name is the least id of its classes.
+    linked = found[-1].join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).select("cls", "component", "rep")
+    names = stored(linked.groupBy("component").agg(F.min("rep").alias("name")), "near-names")
+    named = linked.join(small(names, names.count()), "component").select(F.col("cls").alias("own"), "name")
+    by_class = classes.join(named, F.col("cls") == F.col("own"), "left").select(F.col("fp").alias("f"), F.coalesce("name", "rep").alias("component_id"))
+    by_class = stored(by_class, "near-result")
+    forget(classes, shared, members, stars, first, open_members, names, confirm.sets, *links, *found)
+    linked = known.join(by_class, F.col("fp") == F.col("f")).select("doc_id", "n_shingles", "component_id")
     alone = sigs.where("fp IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -230,4 +305,4 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 def deduplicated(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose document is the least of its group."""
     gone = stored(near_duplicates(df, width, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, df[id_col] == F.col("__gone"), "left_anti")
+    return df.join(small(gone, gone.count()), df[id_col] == F.col("__gone"), "left_anti")

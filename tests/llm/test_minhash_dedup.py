@@ -2,6 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from siltstone.llm import minhash_dedup as op
 from siltstone.llm.components import connected_components
 from siltstone.llm.minhash_dedup import deduplicated, near_duplicates
 from tests.llm.fixtures import REAL, awkward, empty
@@ -60,17 +61,65 @@ def test_real_rows(spark):
 def test_awkward_rows(spark):
     df = awkward(spark)
     df = df.unionByName(df.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
-    texts = {}
-    for r in df.where("doc_id IS NOT NULL AND doc_id <> 13").collect():
-        texts[r.doc_id] = r.text
+    # Id 13 bears two texts: it is one document with the links of both.
+    rows = [(r.doc_id if r.doc_id != 13 else (13, i), r.text) for i, r in enumerate(df.where("doc_id IS NOT NULL").collect())]
+    numbers = {d: d if isinstance(d, int) else 1000 + i for i, (d, _) in enumerate(rows)}
+    want = {r[0]: r for r in brute([(numbers[d], t) for d, t in rows])}
     got = near_duplicates(df, 2)
     assert got.count() == df.count()
-    assert rows_of(got.where("doc_id IS NOT NULL AND doc_id <> 13")) == brute(texts.items())
+    assert rows_of(got.where("doc_id IS NOT NULL AND doc_id <> 13")) == sorted(r for d, r in want.items() if d < 1000)
+    assert [(r.component_id, r.kept) for r in got.where("doc_id = 13").collect()] == [(13, True)] * 2
     assert got.where("doc_id IS NULL AND kept AND component_id IS NULL").count() == 1
     assert near_duplicates(empty(spark)).count() == 0
     assert deduplicated(df).columns == df.columns
 
 
+def test_one_id_with_several_texts_joins_their_groups(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [("d7", one), ("d3", two), ("d5", one), ("d5", two), ("d5", None), ("d9", one + " tail")]
+    for n in (1, 8):
+        df = spark.createDataFrame(rows, "doc_id string, text string").repartition(n)
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_duplicates(df, 2).collect()}
+        assert got == {("d7", 39): ("d3", False), ("d3", 39): ("d3", True), ("d5", 39): ("d3", False), ("d5", 0): ("d5", True), ("d9", 40): ("d3", False)}
+
+
+def family(n, size, unique, seed=4):
+    """n texts of `size` words, made of a template with `unique` words of their own at the end: all similar to all, none enough."""
+    template = [f"t{i}" for i in range(size - unique)]
+    return [(i + 1, " ".join(template + [f"u{i}x{j}" for j in range(unique)])) for i in range(n)]
+
+
+def test_a_large_family_just_below_the_similarity(spark):
+    """5,000 documents of similarity 0.79: no links, and no pairs in the square of their number."""
+    rows = family(5000, 200, 23)
+    a, b = shingles(rows[0][1], 2), shingles(rows[1][1], 2)
+    assert 0.78 < len(a & b) / len(a | b) < 0.8
+    sizes = []
+    confirm = op._Confirm.__call__
+    op._Confirm.__call__ = lambda self, pairs: (sizes.append((p := pairs.persist()).count()), confirm(self, p))[1]
+    try:
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    finally:
+        op._Confirm.__call__ = confirm
+    assert len(got) == 5000 and all(r.kept for r in got)
+    assert sum(sizes) <= 5000 * op.SIDE * op.SIDE and sizes[-1] <= 5000
+
+
+def test_cells_and_hubs(spark, monkeypatch):
+    """Hot shingles in a grid of cells and hubs in blocks give the same links."""
+    monkeypatch.setattr(op, "CELL", 3)
+    monkeypatch.setattr(op, "HUB", 2)
+    rows = family(12, 60, 7) + [(100 + d, t + f" z{d}") for d, t in family(12, 60, 7)] + [(200 + d, t + " y z") for d, t in family(4, 60, 7)]
+    assert rows_of(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute(rows)
+
+
+def test_long_texts(spark):
+    long = " ".join(f"w{i % 70001}" for i in range(180_000))
+    assert len(long) > 1 << 20
+    rows = [(1, long), (2, long + " tail"), (3, "w1 w2 w3"), (4, long[: len(long) // 2])]
+    assert rows_of(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute(rows)
+
+
 def test_groups_of_near_copies(spark):
     """Chains and a group with one common text: links beyond a table's least member count as well."""
     base = [f"w{i}" for i in range(100)]
