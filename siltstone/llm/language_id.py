@@ -195,12 +195,13 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.withColumn("draw", draw).join(small(counts, counts.count()), F.col("lang") == F.col("counted")).where(F.col("draw") < per_lang / F.col("n"))
     sample = drawn.select("lang", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.pandas_udf(_packed_counts, "binary")("text").alias("v"))
-    sample = stored(sample.where("v IS NOT NULL"), "language-sample")
+    stored_sample = stored(sample, "language-sample")
+    sample = stored_sample.where("v IS NOT NULL")  # only now: a filter would take the function below the join, to all rows
     idf = _idf(sample)
     # A group is one language's sample: per_lang rows or so by the share above, of 6 bytes a gram.
     clusters = stored(sample.groupBy("lang").applyInArrow(_clustered(idf, 2 * per_lang), "lang string, centroids binary, cosines array<double>, sizes array<int>"), "language-centroids")
     languages = sorted(r["lang"] for r in clusters.select("lang").collect())  # names alone
-    forget(counts, sample)
+    forget(counts, stored_sample)
     if not languages:
         return Model([], np.ones(DIM), np.zeros(16))
     return Model(languages, idf, _floors(clusters), clusters.select("lang", "centroids"))
