@@ -9,9 +9,12 @@ with a smaller id. Runs of such windows are the maximal exact repeats.
 Both comparisons run alike. A task gathers a batch of documents; equal runs inside the batch meet there, and only
 one entry a distinct run and batch is sent on, with the batch's least document (so a passage that a third of all
 documents share costs one entry a batch). Entries travel packed: sorted 48-bit hashes, with a table of the
-document ids, in one row a batch and bucket. Buckets are ranges of the hash; one bucket is one group of the shuffle.
+document ids, in one row a batch and bucket. Buckets are ranges of the hash; one bucket is one group of the shuffle. There
+is one for every BUCKET_BYTES of text, so what a task gathers does not grow with the input.
 The text is shuffled once, by id and compressed; both joins with it reuse that exchange.
 
+Ids that are no integers are numbered in their order first (a range-partitioned sort of the distinct ids).
+
 Defined cases: null and empty texts have no words; documents shorter than WINDOW keep all words; rows with equal
 ids do not remove each other's words; null ids are neither compared nor cut; an empty table gives an empty result; other columns
 are not looked at.
@@ -25,15 +28,20 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from siltstone.llm.hashing import mixed, run_hashes, word_hashes, words_of
-from siltstone.llm.shared import only_columns, ship
+from siltstone.llm.shared import only_columns, ship, stored
 
 WINDOW, BLOCK = 50, 25
 #: Runs gathered before a batch is sent on.
 BATCH = 1_000_000
+#: Bytes of text for which there is one bucket, and one part of the texts.
+BUCKET_BYTES, PART_BYTES = 8 << 20, 64 << 20
 _BITS = 48
 _PACKED = "bucket int, kind int, docs binary, doc_at binary, high binary, low binary, more binary, flags binary"
 _FIELDS = ["bucket", "kind", "docs", "doc_at", "high", "low", "more", "flags"]
@@ -116,10 +124,8 @@ class _Batch:
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
         at = doc[starts]
         flag = two[starts] if self.exact else np.logical_or.reduceat(flags, starts)
-        for b in range(self.buckets):
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[b], cuts[b + 1])
-            if s.start == s.stop:
-                continue
             own, where = np.unique(at[s], return_inverse=True)
             where = where.astype(np.uint16 if len(own) <= 65536 else np.uint32)
             yield self._row(
@@ -251,8 +257,8 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed UTF-8, for the shuffle."""
     zip_ = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        packed = [None if t is None else zip_(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+        packed = [None if t is None else zip_(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array(packed, pa.binary())], ["doc_id", "name", "packed"])
 
 
 def _words(cell, unzip) -> list[bytes]:
@@ -265,7 +271,7 @@ def _probe(buckets: int, window: int, block: int):
         def rows():
             batch_of = _Batch(buckets, exact=False)
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     words = words_of(text.as_py())
                     if doc is None or len(words) < window:
                         continue
@@ -292,7 +298,7 @@ def _extend(buckets: int, window: int, block: int):
         def rows():
             batch_of, unzip = _Batch(buckets, exact=True), zstandard.ZstdDecompressor().decompress
             for batch in batches:
-                for doc, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                for doc, text, keys in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("keys"), strict=True):
                     words = _words(text, unzip)
                     if len(words) < window:
                         continue
@@ -316,7 +322,7 @@ def _cut(window: int):
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, removed, texts = [], [], []
-            for text, keys in zip(batch.column(1), batch.column(2), strict=True):
+            for text, keys in zip(batch.column("packed"), batch.column("keys"), strict=True):
                 words = _words(text, unzip)
                 gone, found = 0, _keys(keys)
                 if len(found) and len(words) >= window:
@@ -334,35 +340,58 @@ def _cut(window: int):
                 removed.append(gone)
                 texts.append(b" ".join(kept))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string())],
+                [batch.column("name"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
     return run
 
 
+def _numbered(ids: DataFrame) -> DataFrame:
+    """name, number: the distinct ids (name) numbered in their order. Places inside a part are fixed by writing them."""
+    kind = ids.schema["name"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(done, done + n))], ["name", "part", "at"])
+            done += n
+
+    rows = ids.where("name IS NOT NULL").distinct().repartitionByRange("name").sortWithinPartitions("name")
+    rows = stored(rows.mapInArrow(place, f"name {kind}, part int, at long"), "substring-ids")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return rows.join(F.broadcast(sizes), F.col("part") == F.col("p")).select(F.col("name").alias("known"), (F.col("offset") + F.col("at")).alias("number"))
+
+
 def substring_dedup(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one blank): one row a row of df."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it stands")
     spark = df.sparkSession
     ship(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 2 * parts
-    docs = only_columns(df, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = docs.mapInArrow(_squeeze, "doc_id long, packed binary")
+    docs = only_columns(df, id_col, text_col).toDF("name", "text")
+    if isinstance(docs.schema["name"].dataType, T.IntegralType):
+        docs = docs.select(F.col("name").cast("long").alias("doc_id"), F.col("name").cast("long"), "text")
+    else:
+        docs = docs.join(_numbered(docs.select("name")), F.col("name") == F.col("known"), "left").select(F.col("number").alias("doc_id"), "name", "text")
+    name = f"name {docs.schema['name'].dataType.simpleString()}"
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, parts = -(-size // BUCKET_BYTES) or 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), 1)
+    packed = docs.mapInArrow(_squeeze, f"doc_id long, {name}, packed binary")
     # Without null ids both joins want the same rows of it, so that the second one reuses the first one's shuffle.
     by_id = packed.where("doc_id IS NOT NULL").repartition(parts, "doc_id")
-    nameless = docs.where("doc_id IS NULL").mapInArrow(_squeeze, "doc_id long, packed binary")
+    nameless = docs.where("doc_id IS NULL").mapInArrow(_squeeze, f"doc_id long, {name}, packed binary")
 
     def met(packed: DataFrame, exact: bool) -> DataFrame:
         """d, keys: one row a document with runs that count; at most 8 bytes a run."""
-        answers = packed.groupBy("bucket").applyInArrow(_meet(exact, parts), _ANSWER)
+        answers = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(exact, parts), _ANSWER)
         return answers.groupBy("part").applyInArrow(_unpack, "d long, keys binary")
 
     hits = met(docs.mapInArrow(_probe(buckets, window, block), _PACKED), exact=False)
     near = by_id.join(hits, F.col("doc_id") == F.col("d")).select("doc_id", "packed", "keys")
     repeats = met(near.mapInArrow(_extend(buckets, window, block), _PACKED), exact=True)
-    out = by_id.join(repeats, F.col("doc_id") == F.col("d"), "left").select("doc_id", "packed", "keys")
+    out = by_id.join(repeats, F.col("doc_id") == F.col("d"), "left").select("doc_id", "name", "packed", "keys")
     out = out.unionByName(nameless.withColumn("keys", F.lit(None).cast("binary")))
-    return out.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return out.mapInArrow(_cut(window), f"doc_id {name.split(' ', 1)[1]}, n_words long, n_removed long, kept_sha256 string, kept_text string")

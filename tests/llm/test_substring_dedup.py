@@ -67,3 +67,24 @@ def test_packed_ids():
 
     for ids in ([5], [-3, 0, 9], [1, 2, 1 << 40], [-(1 << 62), 1 << 62], list(range(100))):
         assert op._unpack_ids(op._pack_ids(np.array(ids, np.int64))).tolist() == ids
+
+
+def test_ids_that_are_no_integers(spark):
+    """Strings are numbered in their order: b is before c, whatever the rows' order."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [("c", "x y " + passage), ("b", passage + " z"), ("a", "q"), (None, passage), ("d", None), ("c", "tail " + passage)]
+    for n in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id string, text string").repartition(n)
+        got = sorted((r.doc_id or "", r.n_words, r.n_removed, r.kept_text) for r in op.substring_dedup(df).collect())
+        assert got == [("", 60, 0, passage), ("a", 1, 0, "q"), ("b", 61, 0, passage + " z"), ("c", 61, 60, "tail"), ("c", 62, 60, "x y"), ("d", 0, 0, "")]
+
+
+def test_long_texts_and_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(op, "BUCKET_BYTES", 1 << 12)
+    monkeypatch.setattr(op, "PART_BYTES", 1 << 16)
+    long = " ".join(f"w{i}" for i in range(160_000))
+    assert len(long) > 1 << 20
+    cut = " ".join(f"w{i}" for i in range(70_000, 70_100))
+    rows = [(1, long), (2, f"a b {cut} c"), (3, "a b c"), (4, long[:-1] + "x")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in op.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (160_000, 0), 2: (103, 100), 3: (3, 0), 4: (160_000, 159_999)}
