@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from siltstone.functions.text import RESERVED_WORDS, python_module
 from siltstone.sources.parsing.common import PY_SKIPPED, Chunk, file_chunk, normal
@@ -21,9 +22,11 @@ def _dotted(node: ast.expr) -> str | None:
     return ast.unparse(node) if isinstance(node, ast.Attribute) else None
 
 
-def calls_of(tree: ast.AST) -> list[str]:
-    """Sorted distinct names that are called; chains count as a whole."""
-    found = {_dotted(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
+def calls_of(node: ast.AST, skipped: frozenset[int] = frozenset()) -> list[str]:
+    """Sorted distinct names that are called in a definition's own text, of which its decorators are no part; chains count as
+    a whole. skipped: ids of nodes that are left out."""
+    outside = {id(x) for d in getattr(node, "decorator_list", ()) for x in ast.walk(d)} | skipped
+    found = {_dotted(n.func) for n in ast.walk(node) if isinstance(n, ast.Call) and id(n) not in outside}
     return sorted(n for n in found if n and valid_call(n))
 
 
@@ -42,7 +45,7 @@ class _Offsets:
     """Character offsets of the syntax tree's positions (which count bytes within a line)."""
 
     def __init__(self, text: str):
-        self.lines = text.splitlines(keepends=True)
+        self.lines = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", text)  # the lines that the parser counts, no others
         self.starts = [0]
         for line in self.lines:
             self.starts.append(self.starts[-1] + len(line))
@@ -71,22 +74,20 @@ def parse(path: str, text: str, root: str = "") -> list[Chunk]:
                 walk(child, names)
                 continue
             start, end = at(child.lineno, child.col_offset), at(child.end_lineno, child.end_col_offset)
-            code, kind, called = text[start:end], "function", None
+            code, kind, skipped = text[start:end], "function", frozenset()
             if isinstance(child, ast.ClassDef):
                 kind, kept = "class", []
                 for a, b in sorted(_bodies(child, at)):
                     if not kept or a >= kept[-1][1]:
                         kept.append((a, b))
-                inner = {id(x) for f in ast.walk(child) if isinstance(f, _DEFS) for s in f.body for x in ast.walk(s)}
-                found = {_dotted(n.func) for n in ast.walk(child) if isinstance(n, ast.Call) and id(n) not in inner}
-                called = sorted(n for n in found if n and valid_call(n))
+                skipped = frozenset(id(x) for f in ast.walk(child) if isinstance(f, _DEFS) for y in f.body for x in ast.walk(y))
                 out, p = [], start
                 for a, b in kept:
                     out += [text[p:a].rstrip(), PY_SKIPPED]
                     p = b
                 code = "".join(out) + text[p:end]
             full = ".".join((module, *names, child.name))
-            chunks.append(Chunk(full, child.name, kind, code, normal(path), child.lineno, "python", module, calls_of(child) if called is None else called, imports))
+            chunks.append(Chunk(full, child.name, kind, code, normal(path), child.lineno, "python", module, calls_of(child, skipped), imports))
             walk(child, (*names, child.name))
 
     walk(tree, ())

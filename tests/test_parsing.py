@@ -60,7 +60,7 @@ def by_name(chunks):
 def test_python():
     got = by_name(parse("/r/pkg/mod.py", PY, "/r"))
     assert set(got) == {"pkg.mod.outer", "pkg.mod.outer.inner", "pkg.mod.Shape", "pkg.mod.Shape.area", "pkg.mod.py"}
-    assert got["pkg.mod.outer"].calls == ["deco", "helper", "inner", "np.sum"]
+    assert got["pkg.mod.outer"].calls == ["helper", "inner", "np.sum"]
     shape = got["pkg.mod.Shape"]
     assert shape.type == "class" and PY_SKIPPED in shape.content and "os.path" not in shape.content and shape.calls == ["compute"]
     assert got["pkg.mod.Shape.area"].type == "function" and got["pkg.mod.Shape.area"].calls == ["os.path.join", "self.w"]
@@ -80,6 +80,40 @@ def test_csharp():
     assert len(got) == 6
 
 
+def test_declarations_are_not_calls():
+    """Of methods, constructors, bodiless and local functions, the names are declared; base and member initialisers call nothing."""
+    code = "class C { public C() : base(G(1)) { Init(); } void M(int x) { Bar(); if (x) { OnGo(); } int L(int q) { return q; } return Foo(1); } abstract int Later(int q); int Arrow(int x) => Calc(x); }"
+    got = by_name(parse("src/a.cs", code))
+    assert got["C"].calls == ["Bar", "Calc", "Foo", "G", "Init", "OnGo"] and got["C.C"].calls == ["G", "Init"] and got["C.M"].calls == ["Bar", "Foo", "OnGo"]
+    assert "C.Later" not in got
+    code = "class C { C() : w_(0), h_(first(2)), z{g()} { reset(); } int m() { return w() + o.s() + p->t(); } int d(int q); };\nint C::edge(int n) { Item one(n); return std::max(n, help(one)); }"
+    got = by_name(parse("src/c.cpp", code))
+    assert got["C"].calls == ["first", "g", "reset", "s", "t", "w"] and got["C.edge"].calls == ["help", "std::max"]
+
+
+def test_types_on_one_line():
+    """A nested type begins at its own declaration; interfaces, structs and records are no classes, but name their members."""
+    got = by_name(parse("src/b.cs", "public class A { void M() { Go(); } class B { int P() { return Q(); } } interface I { void N(); int R() { return S(); } } }\nenum Class { X }\n[Old] sealed class D { }"))
+    assert set(got) == {"A", "A.M", "A.B", "A.B.P", "A.I.R", "D", "b.cs"}
+    assert got["A.B"].content == "class B { int P() { /* 구현부 생략 */ } }" and got["A.B"].calls == ["Q"] and got["A.I.R"].calls == ["S"]
+    assert got["A"].content.startswith("public class A {") and got["D"].content == "[Old] sealed class D { }" and got["D"].start_line == 3
+    assert set(by_name(parse("src/e.cpp", "enum class E { X };\nstruct P { int x; };"))) == {"P", "e.cpp"}
+
+
+def test_python_decorators():
+    code = "@deco(1)\nclass K(B):\n    z = load()\n\n    @prop(2)\n    def f(self, a=dflt()):\n        return go(a)\n\n@deco2(3)\ndef g():\n    @inner_deco(1)\n    def h():\n        return call()\n    return h\n"
+    got = by_name(parse("m.py", code))
+    assert got["m.K"].calls == ["dflt", "load", "prop"] and got["m.K.f"].calls == ["dflt", "go"]
+    assert got["m.g"].calls == ["call", "inner_deco"] and got["m.g.h"].calls == ["call"]
+
+
+def test_python_lines_are_the_parsers():
+    """Form feeds and other separators inside a line do not shift positions."""
+    code = "x = '\x0c\u2028\x85'\ndef f():\n    return 글(1)\r\ndef g():\n    return f()\n"
+    got = by_name(parse("m.py", code))
+    assert got["m.f"].content == "def f():\n    return 글(1)" and got["m.g"].content == "def g():\n    return f()" and got["m.g"].start_line == 4
+
+
 def test_cpp():
     got = by_name(parse("src/shape.cpp", CPP))
     assert got["geo.Shape"].type == "class" and C_SKIPPED in got["geo.Shape"].content
