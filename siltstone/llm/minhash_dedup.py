@@ -260,8 +260,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sigs = stored(signatures(docs, width), "near-signatures")
     known = sigs.where("fp IS NOT NULL AND doc_id IS NOT NULL")
-    # Classes are numbered when they are written, so the numbers hold from then on.
-    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("groups").alias("groups")).withColumn("cls", F.monotonically_increasing_id())
+    # Classes are numbered when they are written, so the numbers hold from then on; in the order of ids, as originals tend to
+    # come before what was made from them, and tables' least members should be originals.
+    classes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("groups").alias("groups"))
+    classes = classes.orderBy("rep").withColumn("cls", F.monotonically_increasing_id())
     classes = stored(classes, "near-classes")
     rows = _table_rows(classes)
     shared = stored(rows.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "least"), "near-tables")
