@@ -390,7 +390,8 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, block: int = BLOCK, id_
         return answers.groupBy("part").applyInArrow(_unpack, "d long, keys binary")
 
     hits = met(docs.mapInArrow(_probe(buckets, window, block), _PACKED), exact=False)
-    near = by_id.join(hits, F.col("doc_id") == F.col("d")).select("doc_id", "packed", "keys")
+    # The same columns of by_id in both joins, else its shuffle would not be reused.
+    near = by_id.join(hits, F.col("doc_id") == F.col("d")).select("doc_id", "name", "packed", "keys")
     repeats = met(near.mapInArrow(_extend(buckets, window, block), _PACKED), exact=True)
     out = by_id.join(repeats, F.col("doc_id") == F.col("d"), "left").select("doc_id", "name", "packed", "keys")
     out = out.unionByName(nameless.withColumn("keys", F.lit(None).cast("binary")))
