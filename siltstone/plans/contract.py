@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import errors, text
 from siltstone.operators import context, graph, lookup, resolve, search, store
-from siltstone.plans.views import Tables, with_views
-from siltstone.sources.parsing.table import parse_source
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from siltstone.plans.registry import ORACLES as ORACLES
+from siltstone.plans.registry import QUERIES as QUERIES
+from siltstone.plans.registry import query
+from siltstone.sources.parsing.table import with_code_behind
 
 QUESTION = "the of que die and m7.py d12"
 NAMES = ["d12", "u30", "src1.en.d40"]
@@ -27,18 +24,6 @@ def _names(values: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def query(sql: str | None = None, *views: str):
-    """Register a function of Tables; sql reads the views named."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if sql is not None:
-            ORACLES[f.__name__] = with_views(sql, *views)
-        return f
-
-    return add
-
-
 # --- tokens and BM25 -------------------------------------------------------------------------------------------------
 _DF = f"t AS (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM documents), d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM t) x GROUP BY term), s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t), m AS (SELECT avg(ln(n - df + 0.5) - ln(df + 0.5)) AS mean_idf, count(*) AS n_terms FROM d, s)"
 _Q = ", ".join(f"('{x}')" for x in text.query_tokens(QUESTION))
@@ -806,16 +791,4 @@ def view_codebehind(t):
     return views.join(code, F.col("want") == F.col("p"), "left").select("page_id", "path", merged.alias("merged"))
 
 
-# --- parsers (no SQL) ------------------------------------------------------------------------------------------------
-@query()
-def parse_source_python(t):
-    code = F.concat(F.lit("import os\n\ndef f"), F.col("doc_id").cast("string"), F.lit("(x):\n    return g(x, '''"), F.regexp_replace("text", r"[\\']", ""), F.lit("''')\n"))
-    files = t.documents.select(F.concat(F.lit("m/f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("text"))
-    return parse_source(files)
-
-
-@query()
-def parse_source_csharp(t):
-    code = F.concat(F.lit("namespace N { class C"), F.col("doc_id").cast("string"), F.lit(" { void Run() { /* "), F.replace("text", F.lit("*/"), F.lit("")), F.lit(" */ Go(); } } }"))
-    files = t.documents.select(F.concat(F.lit("m/C"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"), code.alias("text"))
-    return parse_source(files)
+from siltstone.plans import parsing_queries  # noqa: E402, F401

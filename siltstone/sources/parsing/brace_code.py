@@ -15,12 +15,12 @@ _BEFORE_CALLS = {"return", "new", "await", "throw", "else", "do", "case", "in",
 _NAMESPACE = re.compile(r"\bnamespace\s+([\w.:]+)\s*([{;])?")
 _CS_TYPE = re.compile(r"(?:\[[^\[\]]*\]\s*)*(?:\b(?:public|private|protected|internal|static|abstract|sealed|partial|unsafe|new|file|readonly|ref)\s+)*\b(class|struct|interface|record(?:\s+(?:class|struct))?)\s+(\w+)[^;{}()]*(?:\([^()]*\)[^;{}()]*)?\{")
 _CPP_TYPE = re.compile(r"(?<!enum )\b(?:(ref)\s+)?(?:class|struct)\s+(\w+)[^;{}()]*\{")
-_WORDS = r"((?:[\w<>\[\],.?*&^:~]+\s+)*)"
+_WORDS = r"((?:[\w<>\[\],.?*&^:~]+\s+){0,12})"
 _PARAMETERS = r"\(([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*)\)"
-_METHOD = re.compile(rf"(?:^|(?<=[;{{}}\]\n:>]))\s*{_WORDS}[*&^]*(~?\w+)\s*(?:<[^<>]*>)?\s*{_PARAMETERS}\s*((?:const|noexcept|override|final|where[^{{;]*|->\s*[\w:<>]+|:[^{{;]*(?:(?<=\w)\{{[^{{}}]*\}}[^{{;]*)*|\s)*)\{{")
-_BODILESS = re.compile(rf"(?:^|(?<=[;{{}}\]\n:]))\s*{_WORDS}[*&^]*(~?\w+)\s*(?:<[^<>]*>)?\s*{_PARAMETERS}\s*(?:const|noexcept|override|final|where[^{{;]*|=\s*(?:0|default|delete)|\s)*(?:;|=>)")
-_PROPERTY = re.compile(r"(?:^|[;{}\]\n])\s*(?:[\w<>\[\],.?]+\s+)+(\w+)\s*(?:\{\s*(?:\w+\s+)*(?:get|set|init)\b|=>)")
-_CALL = re.compile(r"((?:\w+::)*)(\.|->)?\s*(\b[A-Za-z_]\w*)\s*(?:<[\w, ]*>)?\s*\(")
+_METHOD = re.compile(rf"(?:^|(?<=[;{{}}\]\n:>]))[^\S\n]*{_WORDS}[*&^]*(~?\w+)\s*(?:<[^<>]*>)?\s*{_PARAMETERS}\s*((?:const|noexcept|override|final|where[^{{;]*|->\s*[\w:<>]+|:[^{{;]*(?:(?<=\w)\{{[^{{}}]*\}}[^{{;]*)*|\s)*)\{{")
+_BODILESS = re.compile(rf"(?:^|(?<=[;{{}}\]\n:]))[^\S\n]*{_WORDS}[*&^]*(~?\w+)\s*(?:<[^<>]*>)?\s*{_PARAMETERS}\s*(?:const|noexcept|override|final|where[^{{;]*|=\s*(?:0|default|delete)|\s)*(?:;|=>)")
+_PROPERTY = re.compile(r"(?:^|[;{}\]\n])[^\S\n]*(?:[\w<>\[\],.?]+\s+){1,12}(\w+)\s*(?:\{\s*(?:\w+\s+)*(?:get|set|init)\b|=>)")
+_CALL = re.compile(r"((?:\w+::)*)(?:(\.|->)\s*)?(\b[A-Za-z_]\w*)\s*(?:<[\w, ]*>)?\s*\(")
 _NEW_ARGUMENTS = re.compile(r"\bnew\s+[\w.<>]+\s*\(([^()]*)\)")
 _OUTSIDE = re.compile(r"(?:^|\n|[;}])[^\n;{}()]*?\b(\w+)::(~?\w+)\s*\([^)]*\)\s*(?:const\s*)?(?::[^{;]*)?\{")
 _INITIALIZED = re.compile(r"(?:^|,)\s*[:\s]*([\w:<>]+)\s*$")
