@@ -111,3 +111,15 @@ def diagnosed(errors: DataFrame, text_col: str = "error_text", strict: bool = Tr
         F.concat_ws(" ", "location.filepath", "location.function_name").alias("search_text"),
         F.concat_ws(" ", "location.error_type", "location.function_name").alias("similar_text"),
     )
+
+
+#: Texts in one batch.
+BATCH = 10
+
+
+def batch(errors: DataFrame, id_col: str, text_col: str = "error_text") -> DataFrame:
+    """One row a text: its id, success, error_type, severity, depth, what was wrong (null if nothing), and a summary of 200
+    characters. A text that cannot be read fails alone."""
+    out = diagnosed(errors.select(id_col, F.col(text_col).alias("error_text")))
+    summary = F.left(F.when(F.col("success"), F.col("chain")).otherwise(F.coalesce("error_text", F.lit(""))), F.lit(200))
+    return out.select(id_col, F.coalesce("success", F.lit(False)).alias("success"), "location.error_type", "severity", F.col("depth").cast("long").alias("depth"), F.when(~F.coalesce("success", F.lit(False)), "no frames").alias("failure"), summary.alias("summary"))

@@ -162,10 +162,12 @@ def escape_mdx(text: Column) -> Column:
 
 
 def doc_folder(path: Column, root: str) -> Column:
-    """Folder of a page: the path's parent, from the parent of root on; else the parent's name alone."""
+    """Folder of a page: of a relative path its parent; of others the parent, from the parent of root on, or else the
+    parent's name alone."""
     base = root.rstrip("/").rpartition("/")[0] + "/"
-    parent = F.regexp_replace(path, "/[^/]*$", "")
-    return F.when(path.startswith(base), F.substr(parent, F.lit(len(base) + 1))).otherwise(F.element_at(F.split(parent, "/"), -1))
+    parent = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    within = F.when(path.startswith(base), F.substr(parent, F.lit(len(base) + 1))) if root else F.lit(None).cast("string")
+    return F.when(~path.startswith("/"), parent).otherwise(F.coalesce(within, F.element_at(F.split(parent, "/"), -1)))
 
 
 def icon(kind: Column) -> Column:
@@ -204,9 +206,13 @@ def search_text(keywords: Column, query: Column) -> Column:
     return F.when(F.length(joined) < 5, query).otherwise(joined)
 
 
+#: What stands for a model's thinking tags.
+THINKING, THOUGHT = "\n> 🧠 **[코드 분석 중...]**\n> ", "\n\n**[분석 완료]**\n\n"
+
+
 def thinking_tags(answer: Column) -> Column:
-    """A model's answer with its thinking tags shown as text blocks."""
-    return F.replace(F.replace(answer, F.lit("<thinking>"), F.lit("\n> **thinking**\n")), F.lit("</thinking>"), F.lit("\n\n"))
+    """A model's answer with its thinking tags shown as text."""
+    return F.replace(F.replace(answer, F.lit("<thinking>"), F.lit(THINKING)), F.lit("</thinking>"), F.lit(THOUGHT))
 
 
 def python_module(path: str, root: str) -> str:

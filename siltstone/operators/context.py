@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.functions.text import escape_mdx, first_line, icon
+from siltstone.functions.text import doc_folder, escape_mdx, first_line, icon
 
 MAX_TOKENS = 30_000
 CORE_TYPES = ("class", "method", "function", "view", "file")
 CORE_LIMIT = 40
-#: Fixed value: text of a folder page without a summary.
+#: Texts of a folder's page without a summary, of its end, and of the first page.
 NO_SUMMARY = "폴더 요약이 없습니다."
+FOLDER_END = "이 폴더에 포함된 개별 파일의 상세 내용은 왼쪽 메뉴에서 확인할 수 있습니다.\n"
+ROOT_TEXT = "프로젝트의 소스코드 및 API 문서 메인 페이지입니다.\n\n왼쪽 사이드바 메뉴를 열어 개별 모듈의 코드 문서를 확인할 수 있습니다.\n"
+#: Badges.
+MODULE_BADGE = '<span className="theme-doc-version-badge badge badge--primary">Module: '
+TYPE_BADGE, NAME_BADGE, BADGE_END = '<span className="badge badge--secondary">Type: ', '<span className="badge badge--success">', "</span>"
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -72,54 +77,83 @@ def details_block() -> Column:
     differs = (F.coalesce("docstring", F.lit("")) != "") & ~F.col("docstring").eqNullSafe(F.col("summary"))
     doc = F.when(differs, F.concat(F.lit("**Docstring:**\n"), escape_mdx(F.col("docstring")), F.lit("\n\n"))).otherwise("")
     code = F.when(F.coalesce("content", F.lit("")) != "", F.concat(F.lit("```"), "language", F.lit("\n"), "content", F.lit("\n```\n\n"))).otherwise("")
-    return F.concat(F.lit("### "), "name", F.lit("\n\n`"), "type", F.lit("` `"), escape_mdx(F.col("qualified_name")), F.lit("`\n\n"), summary, doc, code)
+    named = F.when(F.coalesce("qualified_name", F.lit("")) != "", F.concat(F.lit(NAME_BADGE), escape_mdx(F.col("qualified_name")), F.lit(BADGE_END))).otherwise("")
+    return F.concat(F.lit("### "), "name", F.lit("\n\n" + TYPE_BADGE), "type", F.lit(BADGE_END + " "), named, F.lit("\n\n"), summary, doc, code, F.lit("<br/>\n\n"))
 
 
-def file_pages(chunks: DataFrame) -> DataFrame:
-    """filepath, doc_md: a page a file with header, overview, contents table and code, made by one ordered aggregation."""
+def file_pages(chunks: DataFrame, root: str = "") -> DataFrame:
+    """filepath, folder (of the page, see doc_folder), doc_md: a page a file with header, badge, overview, contents table and code,
+    made by one ordered aggregation."""
     rows = chunks.where(~F.col("type").isin("folder", "file"))
     order = F.struct("start_line", "qualified_name", contents_line().alias("line"), details_block().alias("body"))
     parts = rows.groupBy("filepath").agg(F.array_sort(F.collect_list(order)).alias("parts"))
-    pages = file_groups(chunks).join(parts, "filepath", "left")
+    pages = file_groups(chunks).join(parts, "filepath", "left").withColumn("folder", doc_folder(F.col("filepath"), root))
     name = F.element_at(F.split("filepath", "/"), -1)
-    head = F.concat(F.lit('---\ntitle: "'), name, F.lit('"\nsidebar_label: "'), name, F.lit('"\n---\n\n# 📄 '), name, F.lit("\n\n"))
+    module = F.coalesce(F.nullif(F.element_at(F.split("folder", "/"), -1), F.lit("")), F.lit("root"))
+    head = F.concat(F.lit('---\ntitle: "'), name, F.lit('"\nsidebar_label: "'), name, F.lit('"\n---\n\n# 📄 '), name, F.lit("\n\n" + MODULE_BADGE), module, F.lit(BADGE_END + "\n\n"))
     overview = F.when(F.coalesce("file_summary", F.lit("")) != "", F.concat(F.lit(":::info 📝 File Overview\n"), escape_mdx(F.col("file_summary")), F.lit("\n:::\n\n"))).otherwise("")
-    table = F.when(F.col("parts").isNotNull(), F.concat(F.lit("---\n\n## 🗂️ Contents Summary\n\n| Type | Name | Description |\n|---|---|---|\n"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n"), F.lit("\n\n"))).otherwise("")
-    code = F.concat(F.lit("---\n\n## 💻 Code Details\n\n"), F.coalesce(F.array_join(F.transform("parts", lambda p: p["body"]), "<br/>\n\n"), F.lit("")))
-    return pages.select("filepath", F.concat(head, overview, table, code).alias("doc_md"))
+    table = F.when(F.col("parts").isNotNull(), F.concat(F.lit("## 🗂️ Contents Summary\n\n| Type | Name | Description |\n|---|---|---|\n"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n"), F.lit("\n\n---\n\n"))).otherwise("")
+    code = F.concat(F.lit("## 💻 Code Details\n\n"), F.coalesce(F.array_join(F.transform("parts", lambda p: p["body"]), ""), F.lit("")))
+    return pages.select("filepath", "folder", F.concat(head, overview, F.lit("---\n\n"), table, code).alias("doc_md"))
 
 
 def folder_pages(chunks: DataFrame) -> DataFrame:
     """folder, doc_md: an index page a folder chunk, with its summary."""
     name = F.element_at(F.split("filepath", "/"), -1)
     about = escape_mdx(F.coalesce(F.nullif("summary", F.lit("")), F.nullif("docstring", F.lit("")), F.lit(NO_SUMMARY)))
-    page = F.concat(F.lit('---\ntitle: "📁 '), name, F.lit('"\nsidebar_position: 1\n---\n\n# 📁 `'), name, F.lit("` Module\n\n:::tip 📁 Folder Overview\n**"), about, F.lit("**\n:::\n"))
+    page = F.concat(F.lit('---\ntitle: "📁 '), name, F.lit('"\nsidebar_position: 1\n---\n\n# 📁 `'), name, F.lit("` Module\n\n:::tip 📁 Folder Overview\n**"), about, F.lit("**\n:::\n\n---\n\n" + FOLDER_END))
     return chunks.where(F.col("type") == "folder").select(F.col("filepath").alias("folder"), page.alias("doc_md"))
 
 
+def root_page(project: str) -> str:
+    """The first page."""
+    return f'---\ntitle: "{project}"\nsidebar_label: "{project}"\n---\n\n# {project} Codebase API\n\n{project} {ROOT_TEXT}'
+
+
+def doc_files(chunks: DataFrame, project: str, root: str = "") -> DataFrame:
+    """path, doc_md of all pages: the first one, one a folder, one a file."""
+    pages = file_pages(chunks, root).select(F.concat_ws("/", F.nullif("folder", F.lit("")), F.element_at(F.split("filepath", "/"), -1)).alias("path"), "doc_md")
+    index = folder_pages(chunks)
+    index = index.select(F.concat(doc_folder(F.concat("folder", F.lit("/.")), root), F.lit("/index")).alias("path"), "doc_md")
+    first = chunks.sparkSession.createDataFrame([("index", root_page(project))], "path string, doc_md string")
+    return first.unionByName(index).unionByName(pages).select(F.concat("path", F.lit(".md")).alias("path"), "doc_md")
+
+
 def folder_groups(chunks: DataFrame) -> DataFrame:
     """folder, n_chunks, files (sorted base names), elements (up to 40 `- type [name]` lines in order of qualified name), qualified_name."""
     parent = F.when(F.col("filepath").contains("/"), F.regexp_replace("filepath", "/[^/]*$", "")).otherwise("")
     folder = F.coalesce(F.nullif("module_path", F.lit("")), parent)
     rows = chunks.select(folder.alias("folder"), "qualified_name", "name", "type", F.element_at(F.split("filepath", "/"), -1).alias("base")).where("folder <> ''")
-    core = F.col("type").isin(*CORE_TYPES)
-    rank = F.row_number().over(Window.partitionBy("folder", core).orderBy("qualified_name"))
-    line = F.when(core & (F.col("__rank") <= CORE_LIMIT), F.struct("qualified_name", F.concat(F.lit("- "), "type", F.lit(" ["), "name", F.lit("]")).alias("line")))
-    # The rank bounds what is collected of a folder, however large it is.
-    out = rows.withColumn("__rank", rank).groupBy("folder").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_set("base")).alias("files"), F.array_sort(F.collect_list(line)).alias("e"))
-    return out.select("folder", "n_chunks", "files", F.transform("e", lambda x: x["line"]).alias("elements"), F.replace("folder", F.lit("/"), F.lit(".")).alias("qualified_name"))
+    core = rows.where(F.col("type").isin(*CORE_TYPES))
+    # The filter on the rank limits each task to its first CORE_LIMIT rows a folder before anything is shuffled.
+    core = core.withColumn("__rank", F.row_number().over(Window.partitionBy("folder").orderBy("qualified_name"))).where(F.col("__rank") <= CORE_LIMIT)
+    line = F.struct("qualified_name", F.concat(F.lit("- "), "type", F.lit(" ["), "name", F.lit("]")).alias("line"))
+    lists = core.groupBy(F.col("folder").alias("__f")).agg(F.array_sort(F.collect_list(line)).alias("e"))
+    out = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_set("base")).alias("files")).join(lists, F.col("folder") == F.col("__f"), "left")
+    elements = F.coalesce(F.transform("e", lambda x: x["line"]), F.array().cast("array<string>"))
+    return out.select("folder", "n_chunks", "files", elements.alias("elements"), F.replace("folder", F.lit("/"), F.lit(".")).alias("qualified_name"))
 
 
 def toc_line() -> Column:
     return F.concat(F.lit("  ㄴ ["), "type", F.lit("] "), "name", F.lit(" - "), F.coalesce("summary", F.lit("")))
 
 
-def file_chunk_content(files: DataFrame) -> DataFrame:
-    """filepath, content: the header alone for files with class or method chunks, else the full text. files: filepath,
-    has_structure, full_text, summary."""
+def file_tocs(chunks: DataFrame) -> DataFrame:
+    """filepath, toc: a line for each of a file's chunks, in order."""
+    return joined(chunks.where(~F.col("type").isin("file", "folder")), ["filepath"], ["start_line", "qualified_name"], toc_line(), "\n", "toc")
+
+
+def with_file_summaries(chunks: DataFrame, summarized) -> DataFrame:
+    """chunks whose file rows are summarised by their contents table (by their text if they have no chunks). A header's
+    `Summary: ` gets the summary; summarized: from a Column of texts to a Column of summaries."""
     name = F.element_at(F.split("filepath", "/"), -1)
-    head = F.concat(F.lit("File: "), name, F.lit("\nPath: "), "filepath", F.lit("\nSummary: "), F.coalesce("summary", F.lit("")))
-    return files.select("filepath", F.when(F.col("has_structure"), head).otherwise(F.col("full_text")).alias("content"))
+    files = chunks.where(F.col("type") == "file")
+    asked = F.coalesce(F.concat(name, F.lit(":\n"), "toc"), F.col("content"))
+    files = files.join(file_tocs(chunks).withColumnRenamed("filepath", "__f"), F.col("filepath") == F.col("__f"), "left").withColumn("summary", summarized(asked))
+    files = files.withColumn("docstring", F.col("summary"))
+    header = F.when(F.col("content").startswith("File: ") & F.col("content").endswith("\nSummary: "), F.concat("content", F.coalesce("summary", F.lit(""))))
+    files = files.withColumn("content", F.coalesce(header, "content"))
+    return chunks.where(F.col("type") != "file").unionByName(files.select(*chunks.columns))
 
 
 def evidence(hits: DataFrame, k: int = 15) -> DataFrame:

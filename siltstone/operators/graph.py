@@ -54,18 +54,35 @@ def direct_callees(edges: DataFrame, seed: str) -> DataFrame:
     return edges.where(F.col("caller_qn") == seed).select("callee_qn").distinct()
 
 
+#: Callers in one row of reverse_edges, or so.
+CALLERS = 10_000
+
+
 def reverse_edges(edges: DataFrame) -> DataFrame:
-    """callee_qn, callers (sorted, distinct), n."""
-    out = edges.groupBy("callee_qn").agg(F.array_sort(F.collect_set("caller_qn")).alias("callers"))
-    return out.select("callee_qn", "callers", F.size("callers").alias("n"))
+    """callee_qn, page, callers (sorted, distinct), n (callers of the callee in all). A callee with very many callers has its
+    callers dealt to several pages by their hash, so no list grows without bound."""
+    rows = edges.select("callee_qn", "caller_qn").distinct()
+    n = rows.groupBy("callee_qn").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("callee_qn", "__c")
+    page = F.pmod(F.xxhash64("caller_qn"), F.ceil(F.col("n") / CALLERS)).alias("page")
+    paged = rows.join(n, F.col("callee_qn") == F.col("__c")).select("callee_qn", "caller_qn", "n", page)
+    return paged.groupBy("callee_qn", "page").agg(F.array_sort(F.collect_list("caller_qn")).alias("callers"), F.any_value("n").alias("n"))
 
 
 def with_called_by(chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    """chunks with called_by, derived from the edges."""
-    back = reverse_edges(edges).select(F.col("callee_qn").alias("__qn"), F.col("callers").alias("called_by"))
+    """chunks with called_by, derived from the edges; for the chunks that are shown (all callers of one are one value)."""
+    back = edges.join(chunks.select(F.col("qualified_name").alias("callee_qn")).distinct(), "callee_qn", "left_semi")
+    back = back.groupBy(F.col("callee_qn").alias("__qn")).agg(F.array_sort(F.collect_set("caller_qn")).alias("called_by"))
     return chunks.drop("called_by").join(back, F.col("qualified_name") == F.col("__qn"), "left").drop("__qn")
 
 
+def question_flow(edges: DataFrame, seed: str, names: list[str], n_callees: int = 5) -> tuple[DataFrame, DataFrame]:
+    """line: the seed's flow of two hops and each name's of one; callee_qn: the seed's first callees."""
+    lines = execution_flow(edges, seed, 2).select("line") if seed else edges.select(F.lit("").alias("line")).limit(0)
+    for name in names:
+        lines = lines.unionByName(execution_flow(edges, name, 1).select("line"))
+    return lines, direct_callees(edges, seed).orderBy("callee_qn").limit(n_callees)
+
+
 def raw_edges(chunks: DataFrame) -> DataFrame:
     """Edges as chunks store them, unresolved: caller_qn, callee_qn (a name), direction."""
     out = chunks.select(F.col("qualified_name").alias("caller_qn"), F.explode("calls").alias("callee_qn"), F.lit("forward").alias("direction"))

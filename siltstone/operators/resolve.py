@@ -17,10 +17,6 @@ def name_index(chunks: DataFrame) -> DataFrame:
     return _index(chunks.where(F.col("type").isin("function", "method")))
 
 
-def property_index(chunks: DataFrame) -> DataFrame:
-    return _index(chunks.where(F.col("type") == "property"))
-
-
 def _index(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min_by("qualified_name", F.struct("ord", "qualified_name")).alias("first_qn"))
 
@@ -62,19 +58,52 @@ def resolve_csharp(calls: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select(*calls.columns, target.alias("target_qn"), stage.alias("stage"))
 
 
+#: Fixed value: what follows a view's name in that of its model.
+MODEL = "Model"
+
+
+def _views_meant(qn):
+    """All texts that stand right before MODEL somewhere in a qualified name: the names of views whose models it may belong to."""
+    found = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(qn) - len(MODEL) + 1)), lambda i: F.substr(qn, i, F.lit(len(MODEL))) == MODEL)
+    return F.array_distinct(F.flatten(F.transform(found, lambda i: F.transform(F.sequence(F.lit(1), i - 1), lambda j: F.substr(qn, j, i - j)))))
+
+
 def resolve_bindings(chunks: DataFrame) -> DataFrame:
     """caller_qn, property, pos, target_qn: each {Binding} of a view with the property it means: one whose qualified name holds
-    `<view>Model`, else the first of that name."""
+    `<view>Model`, else the first of that name. The views that a property may belong to are read off its own name, so the
+    join is one of equal keys and a property name that many classes have multiplies nothing."""
     views = chunks.where(F.col("language").isin("xaml", "html")).select(F.col("qualified_name").alias("caller_qn"), F.replace("name", F.lit(".xaml"), F.lit("")).alias("view"), F.posexplode(binding_roots(F.col("content"))).alias("pos", "property"))
     props = chunks.where(F.col("type") == "property").select(F.col("name").alias("property"), F.col("qualified_name").alias("target"), "ord")
     first = props.groupBy("property").agg(F.min_by("target", F.struct("ord", "target")).alias("first"))
-    guess = F.concat("view", F.lit("Model"))
-    named = views.select("view", "property").distinct().join(props, "property").where(F.col("target").contains(guess)).groupBy("view", "property").agg(F.min_by("target", F.struct("ord", "target")).alias("named"))
+    own = props.where(F.col("target").contains(MODEL)).select("property", "target", "ord", F.explode(_views_meant(F.col("target"))).alias("view"))
+    named = own.groupBy("view", "property").agg(F.min_by("target", F.struct("ord", "target")).alias("named"))
     return views.join(first, "property").join(named, ["view", "property"], "left").select("caller_qn", "property", "pos", F.coalesce("named", "first").alias("target_qn"))
 
 
-def build_edges(calls: DataFrame, imports: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Distinct caller_qn, callee_qn of all languages; C and C++ calls make no edges."""
-    parts = [resolve_python(calls, imports, chunks).select("caller_qn", "target_qn"), resolve_csharp(calls, chunks).select("caller_qn", "target_qn"), resolve_bindings(chunks).select("caller_qn", "target_qn")]
+def affected_callers(calls: DataFrame, imports: DataFrame, views: DataFrame, changed: DataFrame) -> DataFrame:
+    """caller_qn: chunks whose edges may differ once the chunks `changed` (qualified_name, name: as they were, and as they
+    are) have been put in: those themselves, and those that call, import or bind one of their names."""
+    names = changed.select(F.col("name").alias("__n")).distinct()
+    qns = changed.select(F.col("qualified_name").alias("__q")).distinct()
+    near = F.when(F.col("language") == "python", F.regexp_replace("module_path", r"[/\\]", ".")).otherwise(_namespace(F.col("caller_qn")))
+    wanted = calls.select("caller_qn", "called_name", F.concat(near, F.lit("."), "called_name").alias("wanted"))
+    parts = [
+        changed.select(F.col("qualified_name").alias("caller_qn")),
+        wanted.join(names, F.col("called_name") == F.col("__n"), "left_semi").select("caller_qn"),
+        wanted.join(qns, F.col("wanted") == F.col("__q"), "left_semi").select("caller_qn"),
+        imports.join(qns, F.col("target_qn") == F.col("__q"), "left_semi").select(F.col("owner_qn").alias("caller_qn")),
+        views.select("caller_qn", F.explode(binding_roots(F.col("content"))).alias("root")).join(names, F.col("root") == F.col("__n"), "left_semi").select("caller_qn"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def build_edges(calls: DataFrame, imports: DataFrame, chunks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Distinct caller_qn, callee_qn of all languages; C and C++ calls make no edges. Names are looked up in `known` (else in
+    chunks); the views among chunks are resolved."""
+    known = chunks if known is None else known
+    parts = [resolve_python(calls, imports, known).select("caller_qn", "target_qn"), resolve_csharp(calls, known).select("caller_qn", "target_qn"), resolve_bindings(chunks).select("caller_qn", "target_qn")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.where("target_qn IS NOT NULL").select("caller_qn", F.col("target_qn").alias("callee_qn")).distinct()

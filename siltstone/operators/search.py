@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.text import query_tokens, tokens
+from siltstone.operators.index import SearchIndex, idf_of
 from siltstone.operators.lookup import by_file_names, exact_or_suffix
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 OVERFETCH, RERANK_SLICE = 4, 20
 
@@ -26,47 +26,11 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _idf(n: Column, df: Column) -> Column:
-    return F.log(n - df + 0.5) - F.log(df + 0.5)
-
-
 def bm25_stats(docs: DataFrame, text_col: str) -> DataFrame:
     """One row: n_docs, avgdl, n_terms, mean_idf."""
     sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))
     df = document_frequencies(docs, text_col)
-    return df.join(F.broadcast(sizes)).groupBy("n_docs", "avgdl").agg(F.count(F.lit(1)).alias("n_terms"), F.avg(_idf(F.col("n_docs"), F.col("df"))).alias("mean_idf"))  # sizes: one row
-
-
-def bm25_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
-    """docs' ids with score. Frequencies of the few query terms are counted inside each row: apart from the vocabulary's
-    mean idf, only one row of statistics moves."""
-    terms = query_tokens(query)
-    distinct = sorted(set(terms))
-    if not distinct:
-        return docs.select(id_col, F.lit(0.0).alias("score"))
-    rows = docs.select(id_col, tokens(F.col(text_col)).alias("t"))
-    tf = [_count_of("t", q) for q in distinct]
-    rows = rows.select(id_col, F.size("t").alias("dl"), F.array(*tf).alias("tf"))
-    found = rows.agg(*[F.count(F.when(F.get("tf", F.lit(i)) > 0, 1)).alias(f"df{i}") for i in range(len(distinct))])
-    stats = bm25_stats(docs, text_col).join(F.broadcast(found))  # one row each
-    rows = rows.join(F.broadcast(stats))
-    score = F.lit(0.0)
-    for q in terms:
-        i = distinct.index(q)
-        raw = _idf(F.col("n_docs"), F.col(f"df{i}"))
-        idf = F.when(F.col(f"df{i}") == 0, 0.0).when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)
-        f = F.get("tf", F.lit(i))
-        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.select(id_col, score.alias("score"))
-
-
-def _count_of(column: str, term: str) -> Column:
-    return F.size(F.filter(column, lambda x: x == term))
-
-
-def bm25_top(docs: DataFrame, query: str, k: int, id_col: str, text_col: str) -> DataFrame:
-    """The k best ids; zero scores may fill the list. Ties go to the smaller id."""
-    return bm25_scores(docs, query, id_col, text_col).orderBy(F.desc("score"), id_col).limit(k)
+    return df.join(F.broadcast(sizes)).groupBy("n_docs", "avgdl").agg(F.count(F.lit(1)).alias("n_terms"), F.avg(idf_of(F.col("n_docs"), F.col("df"))).alias("mean_idf"))  # sizes: one row
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -123,6 +87,7 @@ def rerank(rows: DataFrame, query: str, k: int, text_col: str, id_col: str, scor
 
 
 def hybrid_search(
+    index: SearchIndex,
     chunks: DataFrame,
     query: str,
     query_vector: list[float],
@@ -130,13 +95,14 @@ def hybrid_search(
     names: list[str] | None = None,
     files: list[str] | None = None,
     scorer: Scorer = overlap_score,
+    exact_vectors: bool = True,
 ) -> DataFrame:
-    """Exact names, vector and BM25 lists, fusion, promotion, rerank. chunks: qualified_name, name, filepath, content,
-    embedding. Gives qualified_name, position, exact. Lists hold at most 4 * top_k rows, so all windows are small."""
+    """Exact names, vector and BM25 lists, fusion, promotion, rerank. index: of the chunks, with filepath among its filters; it
+    gives the lists without the chunks' texts. chunks: qualified_name, name, content. Gives qualified_name, position, exact.
+    Lists hold at most 4 * top_k rows, so all windows are small."""
     want = OVERFETCH * top_k
-    near = vector_top(chunks.where("embedding IS NOT NULL").select("qualified_name", "filepath", "embedding"), query_vector, want, "qualified_name", where=by_file_names(F.col("filepath"), files) if files else None)
-    words = bm25_top(chunks, query, want, "qualified_name", "content")
-    fused = fuse(ranked(near, "qualified_name", 0), ranked(words, "qualified_name", 1))
+    near = index.vector_top(query_vector, want, where=by_file_names(F.col("filepath"), files) if files else None, exact=exact_vectors)
+    fused = fuse(ranked(near, "id", 0), ranked(index.bm25_top(query, want), "id", 1))
     exact = exact_or_suffix(chunks, names or []).select(F.col("qualified_name").alias("id")).orderBy("id").limit(RERANK_SLICE)
     slate = promote(fused, exact).orderBy("position").limit(RERANK_SLICE)
     texts = chunks.select(F.col("qualified_name").alias("id"), "content")

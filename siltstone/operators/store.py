@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import storable_calls
 from siltstone.schemas import CALL_EDGES, CODE_CHUNKS, FILE_STATE
+from siltstone.scratch import hadoop_path, scratch_path
 
 
 def last_wins(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:
@@ -60,59 +62,171 @@ def changed_files(old: DataFrame, new: DataFrame, force: bool = False) -> DataFr
 
 
 class ChunkStore:
-    """Tables in one folder: code_chunks, call_edges, file_state. Parquet cannot be overwritten while it is read, so each
-    write makes a new version and then moves a pointer table; readers of the old version are not disturbed."""
+    """Tables in one folder: code_chunks, call_edges, file_state. A table is cut into buckets by the hash of its key; a write
+    makes new files for the buckets that it touches, and nothing else is read or written. What files a table consists of is a
+    manifest, a small file that is written beside and then renamed, so a reader sees the old table or the new one, whole,
+    and a crash at any moment leaves the old one. Manifests are numbered; the last KEEP and their files stay for running readers."""
 
     SCHEMAS = {"code_chunks": CODE_CHUNKS, "call_edges": CALL_EDGES, "file_state": FILE_STATE}
+    KEYS = {"code_chunks": "qualified_name", "call_edges": "caller_qn", "file_state": "rel_path"}
+    KEEP = 3
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+
+    # --- manifests ---------------------------------------------------------------------------------------------------
+    def create(self) -> None:
+        """Tables that are not there yet, empty."""
+        for name in self.SCHEMAS:
+            if not self._numbers(name):
+                self.clear(name)
+
+    def recreate(self) -> None:
+        self.clear(*self.SCHEMAS)
+
+    def _listed(self, name: str) -> list[str]:
+        system, path = hadoop_path(self.spark, f"{self.folder}/{name}")
+        return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+
+    def _numbers(self, name: str) -> list[int]:
+        return sorted(int(f[9:-5]) for f in self._listed(name) if f.startswith("manifest-") and f.endswith(".json"))
+
+    def version(self, name: str) -> int:
+        """Number of the table's last write; 0 before the first."""
+        return max(self._numbers(name), default=0)
+
+    def _manifest(self, name: str, number: int | None = None) -> dict:
+        number = self.version(name) if number is None else number
+        if not number:
+            return {"buckets": self.buckets, "files": {}}
+        system, path = hadoop_path(self.spark, f"{self.folder}/{name}/manifest-{number:012d}.json")
+        stream = system.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, manifest: dict) -> None:
+        number = self.version(name) + 1
+        system, ready = hadoop_path(self.spark, f"{self.folder}/{name}/.manifest-{uuid.uuid4().hex}")
+        out = system.create(ready, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        _, target = hadoop_path(self.spark, f"{self.folder}/{name}/manifest-{number:012d}.json")
+        if not system.rename(ready, target):
+            raise RuntimeError(f"another writer has changed {name}")
+        kept = self._numbers(name)[-self.KEEP :]
+        used = {f.split("/")[0] for k in kept for f in self._manifest(name, k)["files"].values()}
+        for f in self._listed(name):
+            old = f.startswith("manifest-") and int(f[9:-5]) not in kept
+            if old or (f.startswith("d-") and f not in used):
+                system.delete(hadoop_path(self.spark, f"{self.folder}/{name}/{f}")[1], True)
+
+    # --- reading and writing -----------------------------------------------------------------------------------------
+    def table(self, name: str, touched: list[int] | None = None) -> DataFrame:
+        """The current table, or some of its buckets; empty if there is none."""
+        files = self._manifest(name)["files"]
+        paths = [f"{self.folder}/{name}/{f}" for b, f in files.items() if touched is None or int(b) in touched]
+        if not paths:
+            return self.spark.createDataFrame([], self.SCHEMAS[name])
+        return self.spark.read.schema(self.SCHEMAS[name]).parquet(*paths)
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def _bucket(self, name: str, column: str | None = None):
+        return F.pmod(F.xxhash64(column or self.KEYS[name]), F.lit(self._manifest(name)["buckets"])).cast("int")
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def touched(self, name: str, keys: DataFrame, column: str | None = None) -> list[int]:
+        """Buckets of the keys."""
+        return sorted(keys.agg(F.collect_set(self._bucket(name, column))).first()[0])  # one number a bucket at most
 
-    def table(self, name: str) -> DataFrame:
-        """The current version; empty if there is none."""
-        pointer = f"{self.folder}/{name}/_current"
-        if not self._exists(pointer):
-            return self.spark.createDataFrame([], self.SCHEMAS[name])
-        return self.spark.read.parquet(self.spark.read.text(pointer).first()[0])
-
-    def write(self, name: str, df: DataFrame) -> None:
-        path = f"{self.folder}/{name}/v-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}/_current")
+    def write(self, name: str, df: DataFrame, touched: list[int] | None = None) -> None:
+        """df takes the place of the table, or of the buckets touched."""
+        manifest = self._manifest(name)
+        data = f"d-{uuid.uuid4().hex}"
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.SCHEMAS[name].fields], self._bucket(name).alias("b"))
+        rows.repartition("b").write.partitionBy("b").parquet(f"{self.folder}/{name}/{data}")
+        made = {f[2:]: f"{data}/{f}" for f in self._listed(f"{name}/{data}") if f.startswith("b=")}
+        stay = {} if touched is None else {b: f for b, f in manifest["files"].items() if int(b) not in touched}
+        self._commit(name, {"buckets": manifest["buckets"], "files": stay | made})
 
     def clear(self, *names: str) -> None:
         for n in names or self.SCHEMAS:
             self.write(n, self.spark.createDataFrame([], self.SCHEMAS[n]))
 
-    def upsert_chunks(self, chunks: DataFrame) -> None:
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows written once, so that what made them is not run again."""
+        path = f"{scratch_path(self.spark, name)}/rows"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def upsert_chunks(self, chunks: DataFrame) -> DataFrame:
+        """Put chunks over those of the same key. Gives what changed: qualified_name, name, of the rows before and after."""
         rows = chunks.withColumn("calls", storable_calls(F.col("calls"))) if "calls" in chunks.columns else chunks
         for f in CODE_CHUNKS.fields:
             if f.name not in rows.columns:
                 rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in CODE_CHUNKS.fields])
-        self.write("code_chunks", upsert(self.table("code_chunks"), rows))
-
-    def delete_files(self, paths: DataFrame) -> None:
-        """Drop the chunks of deleted files (filepath)."""
-        self.write("code_chunks", self.table("code_chunks").join(paths.select("filepath"), "filepath", "left_anti"))
+        rows = self.staged(rows.select(*[F.col(f.name).cast(f.dataType) for f in CODE_CHUNKS.fields]), "chunks")
+        touched = self.touched("code_chunks", rows)
+        old = self.table("code_chunks", touched)
+        was = old.join(rows.select("qualified_name"), "qualified_name", "left_semi")
+        changed = self.staged(was.select("qualified_name", "name").unionByName(rows.select("qualified_name", "name")).distinct(), "changed")
+        self.write("code_chunks", upsert(old, rows), touched)
+        return changed
+
+    def upsert_chunk(self, chunk: DataFrame) -> bool:
+        """upsert_chunks of one row; False if it could not be written."""
+        try:
+            self.upsert_chunks(chunk)
+        except Exception:  # the caller goes on with its other chunks
+            return False
+        return True
+
+    def delete_files(self, paths: DataFrame) -> DataFrame:
+        """Drop the chunks of deleted files (filepath). Gives what changed: qualified_name, name."""
+        gone = self.table("code_chunks").join(paths.select("filepath").distinct(), "filepath", "left_semi").select("qualified_name", "name")
+        gone = self.staged(gone, "gone")
+        touched = self.touched("code_chunks", gone)
+        rest = self.table("code_chunks", touched).join(gone.select("qualified_name"), "qualified_name", "left_anti")
+        self.write("code_chunks", rest, touched)
+        return gone
 
     def add_edges(self, edges: DataFrame) -> None:
-        self.write("call_edges", insert_new_edges(self.table("call_edges"), edges.select("caller_qn", "callee_qn")))
+        new = self.staged(edges.select("caller_qn", "callee_qn"), "edges")
+        touched = self.touched("call_edges", new)
+        self.write("call_edges", insert_new_edges(self.table("call_edges", touched), new), touched)
+
+    def add_checked_edges(self, edges: DataFrame) -> None:
+        """Only edges whose ends are both stored chunks."""
+        self.add_edges(checked_edges(edges, self.table("code_chunks")))
+
+    def replace_edges(self, callers: DataFrame, edges: DataFrame) -> None:
+        """The edges of these callers (caller_qn) become `edges`."""
+        touched = self.touched("call_edges", callers)
+        rest = self.table("call_edges", touched).join(callers, "caller_qn", "left_anti")
+        self.write("call_edges", rest.unionByName(edges.select("caller_qn", "callee_qn")), touched)
 
     def save_state(self, state: DataFrame) -> None:
         self.write("file_state", state.select("rel_path", "md5"))
 
     def scroll(self) -> DataFrame:
         """All chunks by name, without summary and embedding."""
-        return self.table("code_chunks").drop("summary", "embedding").orderBy("qualified_name")
+        return scrolled(self.table("code_chunks"))
 
     def count(self) -> int:
         try:
             return self.table("code_chunks").count()
         except Exception:
             return -1
+
+
+def scrolled(chunks: DataFrame) -> DataFrame:
+    return chunks.drop("summary", "embedding").orderBy("qualified_name")
+
+
+def doc_order(chunks: DataFrame) -> DataFrame:
+    """What documents are made of, in their order."""
+    columns = ("qualified_name", "name", "type", "content", "summary", "filepath", "start_line", "language", "module_path", "docstring", "calls", "called_by")
+    return chunks.select(*[c for c in columns if c in chunks.columns]).orderBy("filepath", "start_line", "qualified_name")
+
+
+def deleted_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    return changed_files(old, new).where("status = 'deleted'").select("rel_path")

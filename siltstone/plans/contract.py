@@ -52,12 +52,12 @@ def bm25_stats(t):
 
 @query(f"{_SCORES} SELECT doc_id, round(score, 6) AS score FROM r")
 def bm25_scores(t):
-    return search.bm25_scores(t.documents, QUESTION, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
+    return t.document_index.bm25_all(QUESTION).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"{_SCORES} SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20")
 def bm25_topk(t):
-    return search.bm25_top(t.documents, QUESTION, 20, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
+    return t.document_index.bm25_top(QUESTION, 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 # --- vectors, fusion, hybrid search ----------------------------------------------------------------------------------
@@ -66,19 +66,34 @@ _COS = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_SQL_VECTOR})"
 
 @query(f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
 def vector_topk(t):
-    return search.vector_top(t.embeddings.select("vec_id", "embedding"), VECTOR, 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    return t.vector_index.vector_top(VECTOR, 10).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT qualified_name, round({_COS}, 6) AS score FROM vectors WHERE language = 'python' ORDER BY {_COS} DESC, qualified_name LIMIT 10", "vectors")
 def vector_topk_language(t):
-    rows = t.vectors.select("qualified_name", "language", "embedding")
-    return search.vector_top(rows, VECTOR, 10, "qualified_name", where=F.col("language") == "python").select("qualified_name", F.round("score", 6).alias("score"))
+    return t.chunk_index.vector_top(VECTOR, 10, F.col("language") == "python").select(F.col("id").alias("qualified_name"), F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT qualified_name, round({_COS}, 6) AS score FROM vectors WHERE filepath ILIKE '%m7.py%' OR filepath ILIKE '%m12.py%' ORDER BY {_COS} DESC, qualified_name LIMIT 10", "vectors")
 def vector_topk_path(t):
-    rows = t.vectors.select("qualified_name", "filepath", "embedding")
-    return search.vector_top(rows, VECTOR, 10, "qualified_name", where=lookup.by_file_names(F.col("filepath"), FILES)).select("qualified_name", F.round("score", 6).alias("score"))
+    near = t.chunk_index.vector_top(VECTOR, 10, lookup.by_file_names(F.col("filepath"), FILES))
+    return near.select(F.col("id").alias("qualified_name"), F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_topk_cells(t):
+    """The nearest of the cells nearest to the question; what share of the true ones it finds is measured when the index is written."""
+    return t.vector_index.vector_top(VECTOR, 10, exact=False).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_DF} SELECT n AS n_docs, n_terms, (SELECT count(*) FROM (SELECT DISTINCT doc_id, unnest(toks) FROM t)) AS n_postings, (SELECT count(*) FROM embeddings) AS n_vectors FROM s, m")
+def search_index(t):
+    """Write the indexes, if this session has not yet, and say what they hold."""
+    t.chunk_index.ready()
+    words, vectors = t.document_index, t.vector_index.table("vectors").agg(F.count(F.lit(1)).alias("n_vectors"))
+    held = words.table("postings").agg(F.count(F.lit(1)).alias("n_postings"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(words.table("stats").select("n_docs", "n_terms")).join(one(held), "one").join(one(vectors), "one").drop("one")
 
 
 _LISTS = f"""{_SCORES}, v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS rank, 0 AS list FROM embeddings),
@@ -88,9 +103,8 @@ fused AS (SELECT id, sum(1.0 / (60 + rank)) AS score, min(list * 1000000 + rank)
 
 
 def _fused(t):
-    near = search.vector_top(t.embeddings.select("vec_id", "embedding"), VECTOR, 20, "vec_id")
-    best = search.bm25_top(t.documents, QUESTION, 20, "doc_id", "text")
-    return search.fuse(search.ranked(near, "vec_id", 0), search.ranked(best, "doc_id", 1))
+    near = t.vector_index.vector_top(VECTOR, 20)
+    return search.fuse(search.ranked(near, "id", 0), search.ranked(t.document_index.bm25_top(QUESTION, 20), "id", 1))
 
 
 @query(f"{_LISTS} SELECT id, round(CAST(score AS DOUBLE), 8) AS score, CAST(first_seen AS BIGINT) AS first_seen FROM fused")
@@ -107,26 +121,36 @@ def promote_exact(t):
     return out.select("id", F.col("position").cast("long").alias("position"), "exact")
 
 
-_OVERLAP = f"len(list_intersect(list_distinct({_TOKENS.format('content')}), [{', '.join(repr(x) for x in sorted(set(text.query_tokens(QUESTION))))}])) / {float(len(set(text.query_tokens(QUESTION))))}"
-_HYBRID = f"""{_SCORES.replace("FROM documents", "FROM vectors").replace(_TOKENS.format('text'), _TOKENS.format('content')).replace("doc_id", "qualified_name")},
-v AS (SELECT qualified_name AS id, row_number() OVER (ORDER BY {_COS} DESC, qualified_name) - 1 AS rank, 0 AS list FROM vectors WHERE filepath ILIKE '%m7.py%' OR filepath ILIKE '%m12.py%'),
+def _overlap(question: str) -> str:
+    wanted = sorted(set(text.query_tokens(question)))
+    return f"len(list_intersect(list_distinct({_TOKENS.format('content')}), [{', '.join(repr(x) for x in wanted)}])) / {float(len(wanted))}"
+
+
+_OVERLAP = _overlap(QUESTION)
+
+
+def _hybrid_sql(question: str, names: list[str], files: list[str], top_k: int, select: str) -> str:
+    """SQL of the hybrid search over `vectors`; select: from ranked (qualified_name, position, exact)."""
+    terms = ", ".join(f"('{x}')" for x in text.query_tokens(question))
+    scores = _SCORES.replace(_Q, terms).replace("FROM documents", "FROM vectors").replace(_TOKENS.format("text"), _TOKENS.format("content")).replace("doc_id", "qualified_name")
+    by_file = " OR ".join(f"filepath ILIKE '%{f}%'" for f in files) or "true"
+    by_name = " OR ".join([f"name IN {_names(names)}", *[f"qualified_name LIKE '%.{n}'" for n in names]]) if names else "false"
+    k = 4 * top_k
+    return f"""{scores},
+v AS (SELECT qualified_name AS id, row_number() OVER (ORDER BY {_COS} DESC, qualified_name) - 1 AS rank, 0 AS list FROM vectors WHERE {by_file}),
 b AS (SELECT qualified_name AS id, row_number() OVER (ORDER BY score DESC, qualified_name) - 1 AS rank, 1 AS list FROM r),
-u AS (SELECT * FROM v WHERE rank < 20 UNION ALL SELECT * FROM b WHERE rank < 20),
+u AS (SELECT * FROM v WHERE rank < {k} UNION ALL SELECT * FROM b WHERE rank < {k}),
 fused AS (SELECT id, sum(1.0 / (60 + rank)) AS score, min(list * 1000000 + rank) AS first_seen FROM u GROUP BY id),
-e AS (SELECT qualified_name AS id FROM vectors WHERE name IN {_names(NAMES)} OR qualified_name LIKE '%.d12' OR qualified_name LIKE '%.u30' OR qualified_name LIKE '%.src1.en.d40' ORDER BY 1 LIMIT 20),
+e AS (SELECT qualified_name AS id FROM vectors WHERE {by_name} ORDER BY 1 LIMIT 20),
 p AS (SELECT id, 0 AS g, 0.0 AS s, row_number() OVER (ORDER BY id) AS f FROM e UNION ALL SELECT id, 1, -score, first_seen FROM fused WHERE id NOT IN (SELECT id FROM e)),
 slate AS (SELECT id, row_number() OVER (ORDER BY g, s, f, id) - 1 AS position, g = 0 AS exact FROM p ORDER BY 2 LIMIT 20),
-ranked AS (SELECT id AS qualified_name, row_number() OVER (ORDER BY exact DESC, CASE WHEN exact THEN position END NULLS FIRST, {_OVERLAP} DESC, id) - 1 AS position, exact FROM slate JOIN vectors ON id = vectors.qualified_name)
-SELECT * FROM ranked WHERE position < 5"""
+ranked AS (SELECT id AS qualified_name, row_number() OVER (ORDER BY exact DESC, CASE WHEN exact THEN position END NULLS FIRST, {_overlap(question)} DESC, id) - 1 AS position, exact FROM slate JOIN vectors ON id = vectors.qualified_name)
+{select} WHERE position < {top_k}"""
 
 
-def _hybrid(t):
-    return search.hybrid_search(t.vectors, QUESTION, VECTOR, 5, NAMES, FILES)
-
-
-@query(_HYBRID, "vectors")
+@query(_hybrid_sql(QUESTION, NAMES, FILES, 5, "SELECT * FROM ranked"), "vectors")
 def hybrid_search(t):
-    out = _hybrid(t)
+    out = search.hybrid_search(t.chunk_index, t.vectors, QUESTION, VECTOR, 5, NAMES, FILES)
     return out.select("qualified_name", F.col("position").cast("long").alias("position"), "exact")
 
 
@@ -197,12 +221,14 @@ def count_chunks(t):
 
 @query("SELECT qualified_name, name, type, filepath, start_line FROM chunks ORDER BY qualified_name", "chunks")
 def scan_ordered(t):
-    return t.chunks.select("qualified_name", "name", "type", "filepath", "start_line").orderBy("qualified_name")
+    return store.scrolled(t.chunks).select("qualified_name", "name", "type", "filepath", "start_line")
 
 
-@query("SELECT qualified_name, filepath, start_line, language FROM chunks ORDER BY filepath, start_line, qualified_name", "chunks")
+@query("SELECT c.qualified_name, name, type, content, CASE WHEN doc_id % 4 <> 0 THEN content END AS summary, filepath, start_line, language, module_path, 'd ' || content AS docstring, k.calls, b.called_by FROM chunks c LEFT JOIN (SELECT caller_qn, list_sort(list(called_name)) AS calls FROM calls GROUP BY 1) k ON k.caller_qn = c.qualified_name LEFT JOIN (SELECT callee_qn, list_sort(list(DISTINCT caller_qn)) AS called_by FROM doc_edges GROUP BY 1) b ON b.callee_qn = c.qualified_name", "calls", "doc_edges")
 def docs_scan(t):
-    return t.chunks.select("qualified_name", "filepath", "start_line", "language").orderBy("filepath", "start_line", "qualified_name")
+    calls = t.calls.groupBy("caller_qn").agg(F.array_sort(F.collect_list("called_name")).alias("calls"))
+    rows = graph.with_called_by(_documented(t), t.doc_edges).join(calls, F.col("qualified_name") == F.col("caller_qn"), "left")
+    return store.doc_order(rows)
 
 
 @query("SELECT DISTINCT filepath FROM chunks WHERE language = 'cpp' ORDER BY filepath", "chunks")
@@ -367,16 +393,6 @@ def callers_recursive(t):
     return graph.reachable(t.call_edges, "1", 3, reverse=True)
 
 
-@query(
-    f"""WITH RECURSIVE p AS (SELECT callee_qn AS node, [caller_qn, callee_qn] AS path FROM call_edges WHERE caller_qn = {_SEED}
-UNION ALL SELECT e.callee_qn, list_append(p.path, e.callee_qn) FROM p JOIN call_edges e ON e.caller_qn = p.node WHERE len(p.path) <= 2 AND NOT list_contains(p.path, e.callee_qn) AND p.node <> '7')
-SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM p WHERE node = '7'""",
-    "call_edges",
-)
-def call_paths(t):
-    return graph.call_paths(t.call_edges, "1", "7", 2).select(F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
-
-
 @query(
     f"""WITH RECURSIVE b AS (SELECT caller_qn AS qn, 1 AS d FROM call_edges WHERE callee_qn = '7'
 UNION SELECT e.caller_qn, b.d + 1 FROM b JOIN call_edges e ON e.callee_qn = b.qn WHERE b.d < 6),
@@ -386,8 +402,8 @@ UNION ALL SELECT e.callee_qn, list_append(p.path, e.callee_qn) FROM p JOIN k ON
 SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM p WHERE node = '7'""",
     "call_edges",
 )
-def call_paths_whole(t):
-    """call_paths up to the operator's own depth of 6 edges."""
+def call_paths(t):
+    """All simple paths of up to 6 edges, the operator's own depth."""
     return graph.call_paths(t.call_edges, "1", "7").select(F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
 
 
@@ -409,9 +425,10 @@ def direct_callees(t):
     return graph.direct_callees(t.call_edges, "1")
 
 
-@query("SELECT callee_qn, list_sort(list(DISTINCT caller_qn)) AS callers, count(DISTINCT caller_qn) AS n FROM call_edges GROUP BY callee_qn", "call_edges")
+@query("SELECT callee_qn, CAST(0 AS BIGINT) AS page, list_sort(list(DISTINCT caller_qn)) AS callers, count(DISTINCT caller_qn) AS n FROM call_edges GROUP BY callee_qn", "call_edges")
 def reverse_edges(t):
-    return graph.reverse_edges(t.call_edges).select("callee_qn", "callers", F.col("n").cast("long").alias("n"))
+    """No callee of these tables has more callers than one page takes."""
+    return graph.reverse_edges(t.call_edges)
 
 
 @query("SELECT c.qualified_name, r.called_by FROM chunks c LEFT JOIN (SELECT callee_qn, list_sort(list(DISTINCT caller_qn)) AS called_by FROM doc_edges GROUP BY callee_qn) r ON r.callee_qn = c.qualified_name", "chunks", "doc_edges")
@@ -471,16 +488,26 @@ def related_code(t):
     return t.chunks.join(seeds, F.col("qualified_name") == F.col("callee_qn"), "left_semi").select("qualified_name", "content")
 
 
+_ASKED = "who calls Part or d7 and what"
+_HOP = "SELECT '[Caller|depth=1] ' || caller_qn AS line FROM named_edges WHERE callee_qn IN ('who', 'calls', 'Part') UNION ALL SELECT '[Callee|depth=1] ' || callee_qn FROM named_edges WHERE caller_qn IN ('who', 'calls', 'Part')"
+
+
+def _named_flow(side: str) -> str:
+    a, b = ("callee_qn", "caller_qn") if side == "Caller" else ("caller_qn", "callee_qn")
+    return f"SELECT '[{side}|depth=' || min(depth) || '] ' || qn AS line FROM (SELECT {b} AS qn, 1 AS depth FROM named_edges WHERE {a} = 'who' UNION SELECT y.{b}, 2 FROM named_edges x JOIN named_edges y ON y.{a} = x.{b} WHERE x.{a} = 'who' AND x.{b} <> 'who' AND y.{b} <> 'who') GROUP BY qn"
+
+
 @query(
-    f"SELECT line FROM ({_FLOW}) UNION ALL SELECT '[Caller|depth=1] ' || caller_qn FROM call_edges WHERE callee_qn IN ('What', 'calls', 'part') UNION ALL SELECT '[Callee|depth=1] ' || callee_qn FROM call_edges WHERE caller_qn IN ('What', 'calls', 'part')",
-    "call_edges",
+    f"""SELECT 'line' AS kind, line AS value FROM ({_named_flow('Caller')} UNION ALL {_named_flow('Callee')} UNION ALL {_HOP}) UNION ALL
+SELECT 'code', c.qualified_name || ': ' || c.content FROM chunks c WHERE 'who' || c.qualified_name IN (SELECT 'who' || callee_qn FROM (SELECT DISTINCT callee_qn FROM named_edges WHERE caller_qn = 'who' ORDER BY 1 LIMIT 5))""",
+    "named_edges",
 )
 def graph_question(t):
-    names = F.slice(F.regexp_extract_all(F.lit("What calls part one"), F.lit(r"\b[A-Z][a-zA-Z0-9]+|[a-z][a-z0-9_]+[a-z0-9]\b"), 0), 1, 3)
-    out = graph.execution_flow(t.call_edges, "1", 2).select("line")
-    for name in t.spark.range(1).select(names.alias("n")).first()["n"]:
-        out = out.unionByName(graph.execution_flow(t.call_edges, name, 1).select("line"))
-    return out
+    """The whole tool: a seed and names that are nodes, their flows, and the code of the seed's first callees."""
+    from siltstone.session import CodeEngine
+
+    lines, code = CodeEngine(t.spark, "", chunks=t.chunks, edges=t.named_edges).query_knowledge_graph(_ASKED, "who")
+    return lines.select(F.lit("line").alias("kind"), F.col("line").alias("value")).unionByName(code.select(F.lit("code").alias("kind"), F.concat("qualified_name", F.lit(": "), "content").alias("value")))
 
 
 # --- name resolution -------------------------------------------------------------------------------------------------
@@ -549,7 +576,7 @@ def change_counts(t):
 
 @query("SELECT rel_path FROM file_state_old EXCEPT SELECT rel_path FROM file_state_new", "file_state_old", "file_state_new")
 def deleted_files(t):
-    return t.file_state_old.select("rel_path").join(t.file_state_new, "rel_path", "left_anti").distinct()
+    return store.deleted_files(t.file_state_old, t.file_state_new)
 
 
 @query(
@@ -649,12 +676,19 @@ def related_files(t):
     return errors.diagnosed(t.traces).select("event_id", F.explode("related_files").alias("filepath")).groupBy("filepath").agg(F.count(F.lit(1)).alias("n"))
 
 
+_BROKEN = "CASE WHEN event_id % 10 = 3 THEN concat('all is well ', error_text) WHEN event_id % 10 = 7 THEN NULL ELSE error_text END"
+
+
 @query(
-    "WITH q AS (SELECT 10 - k AS i, k FROM range(10) r(k)) SELECT i, i % 3 <> 0 AS success, CASE WHEN i % 3 <> 0 THEN 'ValueError' END AS error_type, left(CASE WHEN i % 3 <> 0 THEN 'File \"a.py\", line 1, in f' || chr(10) || 'ValueError: bad' ELSE 'all is well' END, 200) AS summary FROM q"
+    f"""WITH {_ERR.replace("FROM traces)", f"FROM (SELECT event_id, regexp_replace({_BROKEN}, '^all is well .*', 'all is well', 's') AS error_text FROM traces) x)", 1)}, a AS (SELECT event_id, max(depth) AS depth, any_value(error_type) AS error_type,
+string_agg(repeat('  ', CAST(pos AS BIGINT)) || '→ ' || function_name || ' (' || filepath || ':' || line_number || ')', chr(10) ORDER BY pos) AS chain FROM err GROUP BY event_id)
+SELECT f.event_id // 10 AS batch, f.event_id, a.depth IS NOT NULL AS success, a.error_type, CASE a.error_type {_CASE} END AS severity, CASE WHEN f.error_text IS NOT NULL THEN coalesce(a.depth, 0) END AS depth, CASE WHEN a.depth IS NULL THEN 'no frames' END AS failure, left(coalesce(a.chain, f.error_text, ''), 200) AS summary FROM frames f LEFT JOIN a USING (event_id)""",
+    "traces",
 )
 def batch_analyze(t):
-    rows = t.spark.range(1, 11).select(F.col("id").alias("i"), F.when(F.col("id") % 3 != 0, 'File "a.py", line 1, in f\nValueError: bad').otherwise("all is well").alias("error_text"))
-    return errors.diagnosed(rows).select("i", "success", F.col("location.error_type").alias("error_type"), F.left("error_text", F.lit(200)).alias("summary"))
+    """Every trace, in batches of ten, with texts among them that hold no frame and texts that are missing."""
+    rows = t.traces.select("event_id", F.regexp_replace(F.expr(_BROKEN), "(?s)^all is well .*", "all is well").alias("error_text"))
+    return errors.batch(rows, "event_id").select(F.floor(F.col("event_id") / errors.BATCH).cast("long").alias("batch"), "*")
 
 
 @query(f"SELECT {len(errors.PYTHON_LEVELS)} AS python_types, {len(errors.CSHARP_LEVELS)} AS csharp_types, count(*) AS index_size, count(*) > 0 AS ready FROM chunks", "chunks")
@@ -662,11 +696,14 @@ def stats_row(t):
     return t.chunks.agg(F.lit(len(errors.PYTHON_LEVELS)).alias("python_types"), F.lit(len(errors.CSHARP_LEVELS)).alias("csharp_types"), F.count(F.lit(1)).alias("index_size"), (F.count(F.lit(1)) > 0).alias("ready"))
 
 
-@query(
-    f"{_SCORES.replace(_Q, ', '.join(chr(40) + repr(x) + chr(41) for x in text.query_tokens('NullReferenceException la una of')))} SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 3"
-)
+_SIMILAR = 'Traceback (most recent call last):\n  File "of.py", line 3, in la\nValueError: una'
+
+
+@query(_hybrid_sql("ValueError la", ["ValueError"], [], 3, "SELECT ranked.qualified_name, filepath, start_line, position FROM ranked JOIN vectors USING (qualified_name)"), "vectors")
 def similar_errors(t):
-    return search.bm25_top(t.documents, "NullReferenceException la una of", 3, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
+    """The engine's hybrid search by an error's type and function."""
+    out = t.engine(embedder=lambda _: [VECTOR]).similar_errors(_SIMILAR)
+    return out.withColumn("position", F.col("position").cast("long"))
 
 
 # --- contexts and documents ------------------------------------------------------------------------------------------
@@ -727,15 +764,15 @@ def doc_contents_table(t):
 
 
 _SUM, _DOC = "CASE WHEN doc_id % 4 <> 0 THEN content END", "'d ' || content"
-_BODY = f"""'### ' || name || {_NL} || {_NL} || '`' || type || '` `' || {_ESC.format('qualified_name')} || '`' || {_NL} || {_NL} || coalesce({_ESC.format(_SUM)} || {_NL} || {_NL}, '') || '**Docstring:**' || {_NL} || {_ESC.format('(' + _DOC + ')')} || {_NL} || {_NL} || '```' || language || {_NL} || content || {_NL} || '```' || {_NL} || {_NL}"""
+_BODY = f"""'### ' || name || {_NL} || {_NL} || '{context.TYPE_BADGE}' || type || '</span> {context.NAME_BADGE}' || {_ESC.format('qualified_name')} || '</span>' || {_NL} || {_NL} || coalesce({_ESC.format(_SUM)} || {_NL} || {_NL}, '') || '**Docstring:**' || {_NL} || {_ESC.format('(' + _DOC + ')')} || {_NL} || {_NL} || '```' || language || {_NL} || content || {_NL} || '```' || {_NL} || {_NL} || '<br/>' || {_NL} || {_NL}"""
 _LINE = f"'| ' || CASE WHEN contains(type, 'class') THEN '📦' WHEN contains(type, 'property') THEN '🔧' WHEN contains(type, 'method') THEN '⚡' ELSE '🔹' END || ' `' || type || '` | [**' || name || '**](#' || lower(name) || ') | ' || CASE WHEN {_DESC} = '' THEN '-' ELSE {_DESC} END || ' |'"
 
 
 @query(
-    f"""WITH g AS (SELECT filepath, regexp_extract(filepath, '[^/]*$') AS n, arg_max(CASE WHEN doc_id % 4 <> 0 THEN content ELSE 'd ' || content END, qualified_name) FILTER (WHERE type = 'file') AS s,
- string_agg({_LINE}, chr(10) ORDER BY start_line, qualified_name) FILTER (WHERE type <> 'file') AS t, string_agg({_BODY}, '<br/>' || chr(10) || chr(10) ORDER BY start_line, qualified_name) FILTER (WHERE type <> 'file') AS b FROM chunks GROUP BY filepath)
-SELECT filepath, '---' || {_NL} || 'title: "' || n || '"' || {_NL} || 'sidebar_label: "' || n || '"' || {_NL} || '---' || {_NL} || {_NL} || '# 📄 ' || n || {_NL} || {_NL} || coalesce(':::info 📝 File Overview' || {_NL} || {_ESC.format('s')} || {_NL} || ':::' || {_NL} || {_NL}, '')
- || coalesce('---' || {_NL} || {_NL} || '## 🗂️ Contents Summary' || {_NL} || {_NL} || '| Type | Name | Description |' || {_NL} || '|---|---|---|' || {_NL} || t || {_NL} || {_NL}, '') || '---' || {_NL} || {_NL} || '## 💻 Code Details' || {_NL} || {_NL} || coalesce(b, '') AS doc_md FROM g""",
+    f"""WITH g AS (SELECT filepath, regexp_extract(filepath, '[^/]*$') AS n, regexp_replace(filepath, '/[^/]*$', '') AS folder, arg_max(CASE WHEN doc_id % 4 <> 0 THEN content ELSE 'd ' || content END, qualified_name) FILTER (WHERE type = 'file') AS s,
+ string_agg({_LINE}, chr(10) ORDER BY start_line, qualified_name) FILTER (WHERE type <> 'file') AS t, string_agg({_BODY}, '' ORDER BY start_line, qualified_name) FILTER (WHERE type <> 'file') AS b FROM chunks GROUP BY filepath)
+SELECT filepath, folder, '---' || {_NL} || 'title: "' || n || '"' || {_NL} || 'sidebar_label: "' || n || '"' || {_NL} || '---' || {_NL} || {_NL} || '# 📄 ' || n || {_NL} || {_NL} || '{context.MODULE_BADGE}' || regexp_extract(folder, '[^/]*$') || '</span>' || {_NL} || {_NL} || coalesce(':::info 📝 File Overview' || {_NL} || {_ESC.format('s')} || {_NL} || ':::' || {_NL} || {_NL}, '') || '---' || {_NL} || {_NL}
+ || coalesce('## 🗂️ Contents Summary' || {_NL} || {_NL} || '| Type | Name | Description |' || {_NL} || '|---|---|---|' || {_NL} || t || {_NL} || {_NL} || '---' || {_NL} || {_NL}, '') || '## 💻 Code Details' || {_NL} || {_NL} || coalesce(b, '') AS doc_md FROM g""",
     "chunks",
 )
 def doc_pages(t):
@@ -753,7 +790,7 @@ def folder_groups(t):
 
 @query(
     f"""WITH g AS (SELECT module_path AS folder, CASE WHEN count(*) % 2 = 0 THEN max(name) END AS s FROM chunks GROUP BY module_path)
-SELECT folder, '---' || {_NL} || 'title: "📁 ' || folder || '"' || {_NL} || 'sidebar_position: 1' || {_NL} || '---' || {_NL} || {_NL} || '# 📁 `' || folder || '` Module' || {_NL} || {_NL} || ':::tip 📁 Folder Overview' || {_NL} || '**' || coalesce(s, '{context.NO_SUMMARY}') || '**' || {_NL} || ':::' || {_NL} AS doc_md FROM g""",
+SELECT folder, '---' || {_NL} || 'title: "📁 ' || folder || '"' || {_NL} || 'sidebar_position: 1' || {_NL} || '---' || {_NL} || {_NL} || '# 📁 `' || folder || '` Module' || {_NL} || {_NL} || ':::tip 📁 Folder Overview' || {_NL} || '**' || coalesce(s, '{context.NO_SUMMARY}') || '**' || {_NL} || ':::' || {_NL} || {_NL} || '---' || {_NL} || {_NL} || '{context.FOLDER_END.strip()}' || {_NL} AS doc_md FROM g""",
     "chunks",
 )
 def folder_pages(t):
@@ -761,18 +798,25 @@ def folder_pages(t):
     return context.folder_pages(rows.withColumn("type", F.lit("folder")).withColumn("docstring", F.lit(None).cast("string")))
 
 
-@query("SELECT filepath, string_agg('  ㄴ [' || type || '] ' || name || ' - ' || content, chr(10) ORDER BY start_line, qualified_name) AS toc FROM chunks GROUP BY filepath", "chunks")
+@query("SELECT filepath, string_agg('  ㄴ [' || type || '] ' || name || ' - ' || content, chr(10) ORDER BY start_line, qualified_name) AS toc FROM chunks WHERE type <> 'file' GROUP BY filepath", "chunks")
 def file_toc(t):
-    rows = t.chunks.withColumn("summary", F.col("content"))
-    return context.joined(rows, ["filepath"], ["start_line", "qualified_name"], context.toc_line(), "\n", "toc")
+    return context.file_tocs(t.chunks.withColumn("summary", F.col("content")))
+
+
+_TOC = "(SELECT filepath, string_agg('  ㄴ [' || type || '] ' || name || ' - ' || content, chr(10) ORDER BY start_line, qualified_name) AS toc FROM chunks WHERE type <> 'file' GROUP BY filepath)"
 
 
 @query(
-    "SELECT filepath, CASE WHEN bool_or(type IN ('class', 'method')) THEN 'File: ' || regexp_extract(filepath, '[^/]*$') || chr(10) || 'Path: ' || filepath || chr(10) || 'Summary: ' || max(name) ELSE arg_max(content, qualified_name) END AS content FROM chunks GROUP BY filepath", "chunks"
+    f"""SELECT c.qualified_name, 'about ' || coalesce(regexp_extract(c.filepath, '[^/]*$') || ':' || chr(10) || toc, c.content) AS summary, CASE WHEN doc_id % 2 = 0 THEN 'File: x' || chr(10) || 'Path: y' || chr(10) || 'Summary: ' || 'about ' || coalesce(regexp_extract(c.filepath, '[^/]*$') || ':' || chr(10) || toc, c.content) ELSE content END AS content
+FROM (SELECT * REPLACE (CASE WHEN type = 'file' AND doc_id % 2 = 0 THEN 'File: x' || chr(10) || 'Path: y' || chr(10) || 'Summary: ' ELSE content END AS content) FROM chunks) c LEFT JOIN {_TOC} t ON t.filepath = c.filepath WHERE type = 'file'""",
+    "chunks",
 )
 def file_chunk(t):
-    files = t.chunks.groupBy("filepath").agg(F.max(F.col("type").isin("class", "method")).alias("has_structure"), F.max_by("content", "qualified_name").alias("full_text"), F.max("name").alias("summary"))
-    return context.file_chunk_content(files)
+    """File rows summarised by their contents tables; a header takes the summary in."""
+    head = F.concat(F.lit("File: x\nPath: y\nSummary: "))
+    rows = t.chunks.withColumn("summary", F.col("content")).withColumn("docstring", F.col("summary"))
+    rows = rows.withColumn("content", F.when((F.col("type") == "file") & (F.col("doc_id") % 2 == 0), head).otherwise(F.col("content")))
+    return context.with_file_summaries(rows, lambda c: F.concat(F.lit("about "), c)).where("type = 'file'").select("qualified_name", "summary", "content")
 
 
 @query("SELECT row_number() OVER (ORDER BY qualified_name) - 1 AS position, right(filepath, 30) AS file, left(language, 5) AS lang, type, name, CAST(start_line AS VARCHAR) AS line FROM chunks ORDER BY qualified_name LIMIT 15", "chunks")
@@ -783,12 +827,10 @@ def evidence_panel(t):
     return context.evidence(top.withColumn("position", (F.row_number().over(Window.orderBy("qualified_name")) - 1).cast("long")))
 
 
-@query("SELECT page_id, p.url AS path, '=== XAML (View) ===' || chr(10) || p.html || coalesce(chr(10) || chr(10) || '=== Code-Behind (.xaml.cs) ===' || chr(10) || b.text, '') AS merged FROM pages p LEFT JOIN benchmark b ON b.item_id = p.page_id")
+@query("SELECT concat('v', page_id, '.xaml') AS path, html AS text, b.text AS code_behind FROM pages p LEFT JOIN benchmark b ON b.item_id = p.page_id")
 def view_codebehind(t):
-    views = t.pages.select("page_id", F.col("url").alias("path"), "html", F.concat("page_id", F.lit(".xaml.cs")).alias("want"))
-    code = t.benchmark.select(F.concat("item_id", F.lit(".xaml.cs")).alias("p"), "text")
-    merged = F.concat(F.lit("=== XAML (View) ===\n"), "html", F.coalesce(F.concat(F.lit("\n\n=== Code-Behind (.xaml.cs) ===\n"), "text"), F.lit("")))
-    return views.join(code, F.col("want") == F.col("p"), "left").select("page_id", "path", merged.alias("merged"))
+    views = t.pages.select(F.concat(F.lit("v"), "page_id", F.lit(".xaml")).alias("path"), F.col("html").alias("text"))
+    return with_code_behind(views.unionByName(t.benchmark.select(F.concat(F.lit("v"), "item_id", F.lit(".xaml.cs")).alias("path"), "text")))
 
 
-from siltstone.plans import parsing_queries  # noqa: E402, F401
+from siltstone.plans import assistant_queries, parsing_queries  # noqa: E402, F401

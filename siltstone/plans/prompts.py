@@ -13,6 +13,12 @@ TEMPLATES = {
 }
 
 
+ROUTER = (
+    "Classify the question. Answer with JSON alone: type (bug, flow, search, mvvm or general), filenames (list), target_name (a function or "
+    "class, or null), keywords (list), language (python, csharp, xaml or mixed)."
+)
+
+
 def prompt(kind: str, query: str, context: str, target: str | None = None, traceback: str | None = None, language: str = "python") -> str:
     """The template of a kind; unknown kinds are general."""
     return TEMPLATES.get(kind, TEMPLATES["general"]).format(query=query, context=context, target=target or "unknown", traceback=traceback or query, language=language)

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.operators.index import SearchIndex
+from siltstone.scratch import scratch_path
 
 #: name: (SQL, views and tables that it reads)
 VIEWS: dict[str, str] = {
@@ -27,6 +31,8 @@ FROM chunks c JOIN chunks t ON t.doc_id = c.doc_id - 1""",
     "doc_edges": """SELECT a.qualified_name AS caller_qn, b.qualified_name AS callee_qn FROM chunks a JOIN chunks b ON b.doc_id = a.doc_id + 1
 UNION SELECT a.qualified_name, b.qualified_name FROM chunks a JOIN chunks b ON b.doc_id = a.doc_id + 7
 UNION SELECT qualified_name, qualified_name FROM chunks WHERE type = 'class'""",
+    "named_edges": """SELECT CASE caller_qn WHEN '1' THEN 'who' WHEN '2' THEN 'Part' ELSE concat('n', caller_qn) END AS caller_qn, CASE callee_qn WHEN '1' THEN 'who' WHEN '2' THEN 'Part' ELSE concat('n', callee_qn) END AS callee_qn FROM call_edges
+UNION SELECT 'who', qualified_name FROM chunks WHERE doc_id < 9""",
     "file_state_old": """SELECT concat(source, '/', CAST(doc_id AS STRING)) AS rel_path,
   CASE WHEN doc_id % 7 = 0 THEN md5(concat(text, 'x')) ELSE md5(text) END AS md5 FROM documents WHERE doc_id % 10 <> 0""",
     "file_state_new": """SELECT concat(source, '/', CAST(doc_id AS STRING)) AS rel_path, md5(text) AS md5 FROM documents WHERE doc_id % 11 <> 0""",
@@ -35,7 +41,7 @@ UNION SELECT qualified_name, qualified_name FROM chunks WHERE type = 'class'""",
 FROM events""",
     "vectors": """SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id""",
 }
-NEEDS = {"calls": ["chunks"], "imports": ["chunks"], "doc_edges": ["chunks"], "vectors": ["chunks"]}
+NEEDS = {"named_edges": ["chunks", "call_edges"], "calls": ["chunks"], "imports": ["chunks"], "doc_edges": ["chunks"], "vectors": ["chunks"]}
 
 
 def with_views(sql: str, *names: str) -> str:
@@ -55,14 +61,44 @@ def with_views(sql: str, *names: str) -> str:
 class Tables:
     """Tables and views of a folder as DataFrames."""
 
+    #: Search indexes by application, folder and name: made once, as at ingest, and read by every query.
+    _indexes: dict[tuple[str, str, str], SearchIndex] = {}
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _indexed(self, name: str, make) -> SearchIndex:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in self._indexes:
+            self._indexes[key] = make(scratch_path(self.spark, f"index-{name}"))
+        return self._indexes[key]
+
+    @property
+    def document_index(self) -> SearchIndex:
+        """Of all documents' words."""
+        return self._indexed("documents", lambda folder: SearchIndex.build(self.documents, folder, "doc_id", "text"))
+
+    @property
+    def chunk_index(self) -> SearchIndex:
+        """Of the words and vectors of the chunks that have a vector."""
+        return self._indexed("vectors", lambda folder: SearchIndex.build(self.vectors, folder, "qualified_name", "content", "embedding", ("filepath", "language")))
+
+    @property
+    def vector_index(self) -> SearchIndex:
+        """Of all vectors."""
+        return self._indexed("embeddings", lambda folder: SearchIndex.build(self.embeddings.withColumn("none", F.lit("")), folder, "vec_id", "none", "embedding"))
+
+    def engine(self, **options):
+        """The engine over the chunks with vectors and the edges between documents; its embedder gives the queries' vector."""
+        from siltstone.session import CodeEngine
+
+        return CodeEngine(self.spark, "", chunks=self.vectors, edges=self.doc_edges, index=self.chunk_index, **options)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         sql, parts = VIEWS[name], {}
-        for t in ("documents", "lineitem", "events", "embeddings", "chunks"):
+        for t in ("documents", "lineitem", "events", "embeddings", "chunks", "call_edges"):
             for word in ("FROM", "JOIN"):
                 if f"{word} {t}" in sql:
                     sql = sql.replace(f"{word} {t}", f"{word} {{{t}}}")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,11 +15,17 @@ from pyspark.sql.window import Window
 from siltstone.functions import errors, text
 from siltstone.functions.embed import Embedder, Summarizer, embedding, hashing_embedder, summary
 from siltstone.operators import context, graph, lookup, resolve, search
-from siltstone.operators.store import ChunkStore, changed_files, dedup_batch
-from siltstone.plans.prompts import prompt
+from siltstone.operators.index import SearchIndex
+from siltstone.operators.store import ChunkStore, changed_files, dedup_batch, doc_order, scrolled
+from siltstone.plans.prompts import ROUTER, prompt
+from siltstone.scratch import scratch_path
 from siltstone.sources import files
 from siltstone.sources.parsing.table import parse_source, with_code_behind
 
+KINDS = ("bug", "flow", "search", "mvvm", "general", "existence", "file_summary", "error")
+#: Takes the router's prompt and a question, gives JSON.
+Classifier = Callable[[str, str], str]
+
 
 @dataclass
 class Route:
@@ -31,31 +40,50 @@ class Route:
 
 
 class CodeEngine:
-    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = hashing_embedder, summarizer: Summarizer | None = None, scorer=search.overlap_score):
+    """Over a folder, or over given chunks and edges, which then are only read."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        embedder: Embedder = hashing_embedder,
+        summarizer: Summarizer | None = None,
+        scorer=search.overlap_score,
+        classifier: Classifier | None = None,
+        chunks: DataFrame | None = None,
+        edges: DataFrame | None = None,
+        index: SearchIndex | None = None,
+    ):
         self.spark, self.store = spark, ChunkStore(spark, folder)
-        self.embedder, self.summarizer, self.scorer = embedder, summarizer, scorer
+        self.embedder, self.summarizer, self.scorer, self.classifier = embedder, summarizer, scorer, classifier
+        self._chunks, self._edges, self._index, self._indexed = chunks, edges, index, None
 
     # --- ingest ------------------------------------------------------------------------------------------------------
     def ingest(self, root: str, force: bool = False, drop_deleted: bool = False) -> dict[str, int]:
-        """Parse new and changed files below root, write chunks, rebuild edges, save the state. Gives counts by status."""
+        """Parse new and changed files below root, write their chunks, resolve the edges that this may change, save the state. Gives
+        counts by status."""
         found = files.scan(self.spark, root, with_code_behind=True)
-        diff = changed_files(self.store.table("file_state"), files.file_state(found), force).cache()
+        diff = changed_files(self.store.table("file_state"), files.file_state(found), force)
+        diff = self.store.staged(diff, "diff")
         counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
         todo = diff.where(F.col("status").isin("new", "changed")).select("rel_path")
+        changed = []
         if counts.get("new", 0) + counts.get("changed", 0):
             chosen = found.join(todo, "rel_path", "left_semi").select(F.col("rel_path").alias("path"), files.decoded(F.col("content")).alias("text"))
-            self.add_chunks(self.parsed(chosen))
-        if drop_deleted:
-            self.store.delete_files(diff.where("status = 'deleted'").select(text.normal_path(F.col("rel_path")).alias("filepath")))
-        self.rebuild_edges()
+            changed.append(self.add_chunks(self.parsed(chosen)))
+        if drop_deleted and counts.get("deleted", 0):
+            changed.append(self.store.delete_files(diff.where("status = 'deleted'").select(text.normal_path(F.col("rel_path")).alias("filepath"))))
+        for c in changed:
+            self.resolve_changed(c)
         self.store.save_state(diff.where("status <> 'deleted'").select("rel_path", "md5"))
-        diff.unpersist()
         return counts
 
     def parsed(self, sources: DataFrame) -> DataFrame:
         """Chunks of files (path, text) with folder chunks, summaries and vectors; one row a key."""
         rows = parse_source(with_code_behind(sources)).drop("status")
-        rows = rows.withColumn("summary", summary(F.col("content"), self.summarizer)).withColumn("docstring", F.col("summary"))
+        summarized = lambda c: summary(c, self.summarizer)
+        rows = rows.withColumn("summary", summarized(F.col("content"))).withColumn("docstring", F.col("summary"))
+        rows = context.with_file_summaries(self.store.staged(rows, "parsed"), summarized)
         folders = context.folder_groups(rows).select(
             "qualified_name", F.element_at(F.split("folder", "/"), -1).alias("name"), F.lit("folder").alias("type"), F.array_join("elements", "\n").alias("content"), F.lit(None).cast("string").alias("summary"),
             F.col("folder").alias("filepath"), F.lit(0).alias("start_line"), F.lit("architecture").alias("language"), F.col("folder").alias("module_path"),
@@ -65,46 +93,86 @@ class CodeEngine:
         vector = embedding(text.embed_text(F.col("name"), F.col("type"), F.col("summary"), F.col("filepath")), self.embedder)
         return rows.withColumn("embedding", vector)
 
-    def add_chunks(self, chunks: DataFrame) -> None:
-        self.store.upsert_chunks(chunks)
+    def add_chunks(self, chunks: DataFrame) -> DataFrame:
+        """Gives what changed: qualified_name, name."""
+        return self.store.upsert_chunks(chunks)
+
+    def _calls(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        calls = chunks.select(F.col("qualified_name").alias("caller_qn"), "language", "module_path", F.explode("calls").alias("called_name"))
+        imports = chunks.select(F.col("qualified_name").alias("owner_qn"), F.explode("imports").alias("alias", "target_qn"))
+        views = chunks.where(F.col("language").isin("xaml", "html")).select(F.col("qualified_name").alias("caller_qn"), "content")
+        return calls, imports, views
+
+    def resolve_changed(self, changed: DataFrame) -> None:
+        """Resolve again the calls of changed chunks and of those that use their names; all other edges stay."""
+        chunks = self.chunks().withColumn("ord", F.col("qualified_name"))
+        calls, imports, views = self._calls(chunks)
+        callers = self.store.staged(resolve.affected_callers(calls, imports, views, changed), "callers")
+        own = lambda df, key: df.join(callers.select(F.col("caller_qn").alias(key)), key, "left_semi")
+        named = chunks.where(~F.col("language").isin("xaml", "html"))
+        seen = own(chunks.where(F.col("language").isin("xaml", "html")), "qualified_name")
+        edges = resolve.build_edges(own(calls, "caller_qn"), own(imports, "owner_qn"), named.unionByName(seen), chunks)
+        self.store.replace_edges(callers, edges)
 
     def rebuild_edges(self) -> None:
         """Resolve all calls of the stored chunks."""
         chunks = self.chunks().withColumn("ord", F.col("qualified_name"))
-        calls = chunks.select(F.col("qualified_name").alias("caller_qn"), "language", "module_path", F.explode("calls").alias("called_name"))
-        imports = chunks.select(F.col("qualified_name").alias("owner_qn"), F.explode("imports").alias("alias", "target_qn"))
+        calls, imports, _ = self._calls(chunks)
         self.store.write("call_edges", resolve.build_edges(calls, imports, chunks))
 
+    def index(self) -> SearchIndex:
+        """The search index of the chunks as they are: written once a version of the store, and read by every question."""
+        if self._index is None or (self._chunks is None and self._indexed != self.store.version("code_chunks")):
+            self._indexed = None if self._chunks is not None else self.store.version("code_chunks")
+            folder = scratch_path(self.spark, "index") if self._chunks is not None else f"{self.store.folder}/index/{self._indexed:012d}"
+            self._index = SearchIndex(self.spark, folder)
+            if not self._index.ready():
+                SearchIndex.build(self.chunks(), folder, "qualified_name", "content", "embedding", ("filepath", "language"))
+        return self._index
+
     # --- tables ------------------------------------------------------------------------------------------------------
     def chunks(self) -> DataFrame:
-        return self.store.table("code_chunks")
+        return self.store.table("code_chunks") if self._chunks is None else self._chunks
 
     def edges(self) -> DataFrame:
-        return self.store.table("call_edges")
+        return self.store.table("call_edges") if self._edges is None else self._edges
 
-    def with_relations(self) -> DataFrame:
-        """Chunks with called_by derived from the edges."""
-        return graph.with_called_by(self.chunks(), self.edges())
+    def scroll(self) -> DataFrame:
+        return scrolled(self.chunks())
+
+    def with_relations(self, rows: DataFrame | None = None) -> DataFrame:
+        """Chunks (all, or the rows given) with called_by derived from the edges."""
+        return graph.with_called_by(self.chunks() if rows is None else rows, self.edges())
 
     # --- search ------------------------------------------------------------------------------------------------------
+    def _vector(self, query: str) -> list[float]:
+        return [float(x) for x in self.embedder([query])[0]]
+
     def search(self, query: str, top_k: int = 5) -> DataFrame:
         """Hybrid search: qualified_name, position, exact, and the chunk's columns."""
         asked = self.spark.createDataFrame([(query,)], "q string").select(text.identifiers(F.col("q")).alias("n"), text.file_names(F.col("q")).alias("f")).first()
-        vector = [float(x) for x in self.embedder([query])[0]]
-        hits = search.hybrid_search(self.chunks(), query, vector, top_k, list(asked["n"]), list(asked["f"]), self.scorer)
+        hits = search.hybrid_search(self.index(), self.chunks(), query, self._vector(query), top_k, list(asked["n"]), list(asked["f"]), self.scorer)
         return self.chunks().drop("embedding").join(F.broadcast(hits), "qualified_name").orderBy("position")  # top_k rows
 
     def search_by_language(self, query: str, language: str, top_k: int = 10) -> DataFrame:
-        vector = [float(x) for x in self.embedder([query])[0]]
-        return search.vector_top(self.chunks(), vector, top_k, "qualified_name", where=F.col("language") == language)
+        near = self.index().vector_top(self._vector(query), top_k, F.col("language") == language)
+        near = near.select(F.col("id").alias("qualified_name"), "score", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("position"))
+        return self.chunks().drop("embedding").join(F.broadcast(near), "qualified_name").orderBy("position")  # top_k rows
 
     def search_with_context(self, query: str, top_k: int = 5) -> DataFrame:
         """Hits with flow lines and, for the first three, callees that are known."""
         return graph.chunk_context(self.search(query, top_k).select("qualified_name", "position"), self.edges(), self.chunks())
 
     def route(self, query: str, kind: str = "general", target: str | None = None) -> Route:
-        """The rules that hold when no model classifies the question."""
+        """What the classifier says of a question; without one, or if its answer is no such JSON, the rules: a plain question in a
+        language told by its words."""
         r = self.spark.createDataFrame([(query,)], "q string").select(text.routed_language(F.col("q")).alias("l"), text.has_traceback(F.col("q")).alias("t"), text.file_names(F.col("q")).alias("f")).first()
+        if self.classifier is not None:
+            try:
+                said = json.loads(self.classifier(ROUTER, query).replace("```json", "").replace("```", "").strip())
+                return Route(str(said["type"]), list(said.get("filenames") or []), said.get("target_name"), [str(k) for k in said.get("keywords") or []], said.get("language") or "python", r["t"])
+            except (ValueError, KeyError, TypeError, AttributeError):
+                return Route("general", [], None, [], r["l"], False)
         return Route(kind, list(r["f"]), target, [], r["l"], r["t"])
 
     def retrieve(self, query: str, route: Route) -> DataFrame:
@@ -114,7 +182,7 @@ class CodeEngine:
         if len(route.filenames) > 1:
             return lookup.by_paths(self.chunks(), route.filenames, 20)
         if route.filenames:
-            return lookup.by_path(self.chunks(), route.filenames[0], 50)
+            return lookup.by_path(self.chunks(), route.filenames[0], 1000).limit(50)
         if route.has_traceback:
             named = [f for p in text.TRACE_FILE_PATTERNS for f in re.findall(p, query)]
             return lookup.by_paths(self.chunks(), sorted(set(named)), 50) if named else self.search(query, 5)
@@ -150,14 +218,9 @@ class CodeEngine:
 
     def query_knowledge_graph(self, question: str, seed: str = "") -> tuple[DataFrame, DataFrame]:
         """Flow lines of the seed (two hops) and of the first three names of the question (one hop); up to five callees' chunks."""
-        lines = self.spark.createDataFrame([], "line string")
-        code = self.chunks().limit(0)
-        if seed:
-            lines = lines.unionByName(graph.execution_flow(self.edges(), seed, 2).select("line"))
-            callees = [r["callee_qn"] for r in graph.direct_callees(self.edges(), seed).orderBy("callee_qn").limit(5).collect()]
-            code = lookup.by_qualified_names(self.chunks(), callees)
-        for name in re.findall(r"\b[A-Z][a-zA-Z0-9]+|[a-z][a-z0-9_]+[a-z0-9]\b", question)[:3]:
-            lines = lines.unionByName(graph.execution_flow(self.edges(), name, 1).select("line"))
+        names = re.findall(r"\b[A-Z][a-zA-Z0-9]+|[a-z][a-z0-9_]+[a-z0-9]\b", question)[:3]
+        lines, callees = graph.question_flow(self.edges(), seed, names)
+        code = self.chunks().join(F.broadcast(callees.withColumnRenamed("callee_qn", "qualified_name")), "qualified_name", "left_semi")  # five names
         return lines, code
 
     def tools(self) -> dict[str, dict]:
@@ -184,25 +247,42 @@ class CodeEngine:
 
     def batch_diagnose(self, texts: list[str]) -> DataFrame:
         """Up to ten error texts, each with its own success flag."""
-        if len(texts) > 10:
-            raise ValueError("at most 10 texts")
+        if len(texts) > errors.BATCH:
+            raise ValueError(f"at most {errors.BATCH} texts")
         rows = [(i, t) for i, t in enumerate(texts)]
-        return errors.diagnosed(self.spark.createDataFrame(rows, "item int, error_text string"))
+        return errors.batch(self.spark.createDataFrame(rows, "item long, error_text string"), "item")
 
     def stats(self) -> dict:
         n = self.store.count()
         return {"python_types": sorted(errors.PYTHON_LEVELS), "csharp_types": sorted(errors.CSHARP_LEVELS), "index_size": n, "ready": n > 0}
 
-    def write_docs(self, folder: str) -> int:
-        """Write one Markdown page a file and an index page a folder below folder, through the file system that Spark uses;
-        pages stream, one at a time."""
-        jvm, conf, n = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), 0
-        pages = context.file_pages(self.chunks()).select(F.concat("filepath", F.lit(".md")).alias("path"), "doc_md")
-        index = context.folder_pages(self.chunks()).select(F.concat("folder", F.lit("/index.md")).alias("path"), "doc_md")
-        for r in pages.unionByName(index).toLocalIterator():
-            path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{r['path'].lstrip('/')}")
-            out = path.getFileSystem(conf).create(path, True)
-            out.write(bytearray(r["doc_md"].encode()))
-            out.close()
-            n += 1
-        return n
+    def write_docs(self, folder: str, project: str = "API", root: str = "") -> int:
+        """Write the first page, one page a file and an index page a folder below folder. The tasks write, each its own pages,
+        through pyarrow's file systems (local or mounted paths, hdfs, s3); one that runs again writes the same files."""
+        pages = context.doc_files(doc_order(self.chunks()), project, root)
+        target = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+        def put(batches):
+            from pyarrow import fs
+
+            system, top = fs.FileSystem.from_uri(target)
+            for batch in batches:
+                for path, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    full = f"{top.rstrip('/')}/{path.lstrip('/')}"
+                    system.create_dir(full.rpartition("/")[0], recursive=True)
+                    with system.open_output_stream(full) as out:
+                        out.write(page.encode())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+        return pages.mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def tool_line(name: str, arguments: dict, about: str) -> str:
+    """A line of an agent's log."""
+    first = next(iter(arguments.values()), "")
+    shown = ", ".join(str(x) for x in first[:3]) if isinstance(first, list) else str(first)[:40]
+    return f"{TOOL_ICONS.get(name, '⚙️')} **{name}**({shown}): {about}"
+
+
+#: Fixed values.
+TOOL_ICONS = {"semantic_search": "🔍", "get_code_snippet": "📄", "find_by_name": "🎯", "query_knowledge_graph": "🕸️", "read_file": "📂"}

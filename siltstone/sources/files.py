@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import skipped_path
-from siltstone.schemas import FILE_STATE
 
 #: Fixed values.
 EXTENSIONS = (".py", ".cs", ".xaml", ".cpp", ".h", ".hpp", ".c")
@@ -65,11 +64,3 @@ def decoded(content: Column) -> Column:
 def file_state(files: DataFrame) -> DataFrame:
     """rel_path, md5 of a scan."""
     return files.select("rel_path", F.md5("content").alias("md5"))
-
-
-def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """A stored state; an empty one where there is none or it cannot be read."""
-    try:
-        return spark.read.schema(FILE_STATE).parquet(path)
-    except Exception:
-        return spark.createDataFrame([], FILE_STATE)

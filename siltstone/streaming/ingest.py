@@ -24,8 +24,7 @@ def start(engine: CodeEngine, root: str, checkpoint: str, once: bool = True) ->
     """Upserts are keyed, so a batch that is repeated after a failure changes nothing."""
 
     def put(batch: DataFrame, _: int) -> None:
-        engine.add_chunks(engine.parsed(batch))
-        engine.rebuild_edges()
+        engine.resolve_changed(engine.add_chunks(engine.parsed(batch)))
 
     writer = source_stream(engine.spark, root).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

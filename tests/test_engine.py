@@ -1,4 +1,6 @@
+import json
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -6,8 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from siltstone.agent import Agent
 from siltstone.functions import errors, text
-from siltstone.operators import context, graph, search, store
+from siltstone.operators import context, graph, resolve, search, store
+from siltstone.operators.index import SearchIndex
+from siltstone.plans.views import Tables
 from siltstone.session import CodeEngine, Route
 from siltstone.sources import files
 from siltstone.streaming import ingest
@@ -53,7 +58,10 @@ def test_ingest_search_and_tools(spark, tree, tmp_path):
     assert engine.write_docs(str(tmp_path / "docs")) > 3
     page = next(Path(tmp_path / "docs").rglob("mod.py.md")).read_text()
     assert "## 💻 Code Details" in page and "def surface" in page
+    assert "Module: pkg</span>" in page and (tmp_path / "docs/pkg/mod.py.md").exists()
     assert next(Path(tmp_path / "docs").rglob("lib/index.md")).read_text().startswith('---\ntitle: "📁 lib"')
+    assert (tmp_path / "docs/index.md").read_text().startswith('---\ntitle: "API"')
+    assert engine.write_docs(str(tmp_path / "docs")) > 3
     assert engine.stats()["ready"]
 
 
@@ -100,7 +108,7 @@ def test_small_graph(spark):
     assert {tuple(r.path) for r in graph.call_paths(e, "a", "c").collect()} == {("a", "b", "c"), ("a", "d", "c")}
 
 
-def test_call_paths_whole_equals_brute_force(spark, tmp_path):
+def test_call_paths_equal_brute_force(spark, tmp_path):
     from siltstone.plans.contract import QUERIES
 
     rnd = random.Random(3)
@@ -112,7 +120,7 @@ def test_call_paths_whole_equals_brute_force(spark, tmp_path):
         paths = [[*p, b] for p in paths for a, b in edges if a == p[-1] and b not in p]
         want |= {(">".join(map(str, p)), len(p) - 1) for p in paths if p[-1] == 7}
         paths = [p for p in paths if p[-1] != 7]
-    got = [tuple(r) for r in QUERIES["call_paths_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["call_paths"](spark, str(tmp_path)).collect()]
     assert max(n for _, n in want) == 6 and len(got) == len(want) and set(got) == want
 
 
@@ -144,6 +152,147 @@ def test_store(spark, tmp_path):
     assert s.table("call_edges").count() == 0
 
 
+def _chunk(qn, calls=(), language="python", kind="function", content="x", imports=None):
+    module, _, name = qn.rpartition(".")
+    return {"qualified_name": qn, "name": name, "type": kind, "content": content, "filepath": f"{module}.py", "start_line": 1, "language": language, "module_path": module, "calls": list(calls), "imports": imports or {}}
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([r for r in rows], "qualified_name string, name string, type string, content string, filepath string, start_line int, language string, module_path string, calls array<string>, imports map<string,string>")
+
+
+def test_writes_touch_their_buckets_alone(spark, tmp_path):
+    s = store.ChunkStore(spark, str(tmp_path), buckets=8)
+    s.create()
+    assert s.version("code_chunks") == 1 and s.table("code_chunks").count() == 0
+    s.upsert_chunks(_rows(spark, [_chunk(f"m.f{i}") for i in range(40)]))
+    before = s._manifest("code_chunks")["files"]
+    changed = s.upsert_chunks(_rows(spark, [_chunk("m.f3", content="new")]))
+    after = s._manifest("code_chunks")["files"]
+    assert sum(before[b] != after[b] for b in before) == 1 and set(before) == set(after)
+    assert [tuple(r) for r in changed.collect()] == [("m.f3", "f3")]
+    assert s.table("code_chunks").count() == 40 and s.table("code_chunks").where("content = 'new'").count() == 1
+    assert s.upsert_chunk(_rows(spark, [_chunk("m.f4", content="new")])) and not s.upsert_chunk(spark.createDataFrame([(1,)], "qualified_name int"))
+    s.recreate()
+    assert s.count() == 0
+
+
+def test_a_crash_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    s = store.ChunkStore(spark, str(tmp_path), buckets=4)
+    s.save_state(spark.createDataFrame([("a", "1")], "rel_path string, md5 string"))
+    seen = s.table("file_state")
+    commit = store.ChunkStore._commit
+    monkeypatch.setattr(store.ChunkStore, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        s.save_state(spark.createDataFrame([("b", "2")], "rel_path string, md5 string"))
+    monkeypatch.setattr(store.ChunkStore, "_commit", commit)
+    assert [tuple(r) for r in s.table("file_state").collect()] == [("a", "1")]
+    for i in range(5):
+        s.save_state(spark.createDataFrame([("c", str(i))], "rel_path string, md5 string"))
+        assert i > 1 or seen.count() == 1  # a running reader keeps its files for a while
+    assert [tuple(r) for r in s.table("file_state").collect()] == [("c", "4")]
+    assert len(list((tmp_path / "file_state").glob("d-*"))) <= s.KEEP
+
+
+def test_edges_resolved_again_equal_a_rebuild(spark, tmp_path):
+    """Chunks come, change and go; the edges kept up by changed names equal those of a whole rebuild."""
+    rnd = random.Random(7)
+    engine = CodeEngine(spark, str(tmp_path / "store"))
+    names = [f"f{i}" for i in range(9)]
+
+    def some(n):
+        out = {}
+        for _ in range(n):
+            module, name = rnd.choice(["m", "n", "A.B"]), rnd.choice(names)
+            language = "c_sharp" if module == "A.B" else "python"
+            kind = rnd.choice(["function", "function", "property"])
+            out[f"{module}.{name}"] = _chunk(f"{module}.{name}", rnd.sample(names, 3), language, kind, imports={"f1": "n.f2"} if module == "m" else None)
+        out["ui.MainView"] = _chunk("ui.MainView", [], "xaml", "view", f"{{Binding {rnd.choice(names)}.x}} {{Binding {rnd.choice(names)}}}")
+        return list(out.values())
+
+    for step in range(4):
+        changed = engine.add_chunks(_rows(spark, some(7)))
+        if step == 2:
+            changed = changed.unionByName(engine.store.delete_files(spark.createDataFrame([("n.py",)], "filepath string")))
+        engine.resolve_changed(changed)
+        kept = {tuple(r) for r in engine.edges().collect()}
+        engine.rebuild_edges()
+        assert kept == {tuple(r) for r in engine.edges().collect()} and kept
+
+
+def test_router_and_agent(spark, tree, tmp_path):
+    engine = CodeEngine(spark, str(tmp_path / "store"))
+    engine.ingest(str(tree))
+    said = {"type": "flow", "filenames": ["mod.py"], "target_name": "outer", "keywords": ["go"], "language": "python"}
+    engine.classifier = lambda prompt, q: "```json\n" + json.dumps(said) + "\n```"
+    assert engine.route("an exception") == Route("flow", ["mod.py"], "outer", ["go"], "python", True)
+    for bad in ("no json", "[]", '{"filenames": []}'):
+        engine.classifier = lambda prompt, q, bad=bad: bad
+        assert engine.route("the ViewModel") == Route(language="csharp")
+    asked = []
+
+    def plan(messages, tools):
+        asked.append([m["content"] for m in messages if m["role"] == "tool"])
+        return [[("find_by_name", {"names": ["outer"]}), ("ignored", {})], [("get_code_snippet", {"qualified_name": "geo.Shape.edge"})], [("query_knowledge_graph", {"question": "Run", "seed": "Lab.Core.Engine.Run"})], [("read_file", {"filename": "mod.py"})], []][len(asked) - 1]
+
+    agent = Agent(engine, plan, lambda p: iter([p[:9], p[9:]]))
+    answer = "".join(agent.run("what does outer do"))
+    assert "pkg.mod.outer" in asked[1][0] and "[Callee|depth=1] Lab.Core.Engine.OnRun" in asked[3][2]
+    assert answer.count("<file ") == len(set(re.findall(r'<file index="(\d+)"', answer))) >= 4 and "def outer" in answer
+    assert agent.log[0] == "🎯 **find_by_name**(outer): 1 matches" and len(agent.log) == 4
+    assert "<context>\n</context>" in "".join(Agent(engine, lambda m, t: [("unknown", {})], lambda p: iter([p])).run("x"))
+    steps = []
+    "".join(Agent(engine, lambda m, t: steps.append(1) or [("read_file", {"filename": "nothing"})], lambda p: iter([p])).run("x"))
+    assert len(steps) == 6
+
+
+def test_file_summaries_come_from_contents(spark, tree, tmp_path):
+    engine = CodeEngine(spark, str(tmp_path / "store"), summarizer=lambda texts: [f"<think>x</think>about {len(t)}" for t in texts])
+    engine.ingest(str(tree))
+    row = engine.chunks().where("qualified_name = 'pkg.mod.py'").first()
+    assert row.summary.startswith("about ") and row.content.endswith("\nSummary: " + row.summary)
+
+
+def test_cells_find_what_is_near(spark):
+    """Against brute force: at least 0.9 of the true nearest ten, over every hundredth vector as a question."""
+    import numpy as np
+
+    index = Tables(spark, "/root/testdata/sf0.1").vector_index
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = 0
+    asked = [i for i, r in enumerate(rows) if r.vec_id % 100 == 0]
+    for i in asked:
+        true = {rows[j].vec_id for j in np.argsort(-(x @ x[i]), kind="stable")[:10]}
+        found += len(true & {r.id for r in index.vector_top(rows[i].embedding, 10, exact=False).collect()})
+    assert found >= 0.9 * 10 * len(asked)
+    assert index.table("cells").first().probes < index.table("cells").count()
+
+
+def test_index_of_awkward_texts(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, None), (2, "", [0.0, 0.0]), (3, "a a b", [1.0, 2.0]), (4, "b", [2.0, 1.0])], "id long, t string, v array<float>")
+    index = SearchIndex.build(df, str(tmp_path / "i"), "id", "t", "v")
+    assert [r.id for r in index.bm25_top("a", 9).collect()] == [3, 1, 2, 4] and index.bm25_top("", 2).count() == 2
+    assert [r.id for r in index.vector_top([1.0, 2.0], 5).collect()] == [3, 4] and index.vector_top([0.0, 0.0], 5).count() == 0
+    empty = SearchIndex.build(df.limit(0), str(tmp_path / "e"), "id", "t", "v")
+    assert empty.bm25_top("a", 3).count() == 0 and empty.vector_top([1.0, 2.0], 3, exact=False).count() == 0
+
+
+def test_pages_of_callers(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CALLERS", 3)
+    e = spark.createDataFrame([(f"c{i}", "hub") for i in range(20)] * 2 + [("x", "y")], "caller_qn string, callee_qn string")
+    rows = graph.reverse_edges(e).collect()
+    hub = [r for r in rows if r.callee_qn == "hub"]
+    assert len(hub) > 4 and sorted(c for r in hub for c in r.callers) == sorted(f"c{i}" for i in range(20)) and {r.n for r in hub} == {20}
+
+
+def test_bindings_prefer_the_views_model(spark):
+    rows = [("a.Main", "Main", "view", "xaml", "{Binding Name} {Binding Other.x} {Binding None}", 0), ("p.First.Name", "Name", "property", "c_sharp", "", 1), ("q.XMainModels.Name", "Name", "property", "c_sharp", "", 2), ("q.MainModel.Name", "Name", "property", "c_sharp", "", 3), ("p.Other", "Other", "property", "c_sharp", "", 4)]
+    df = spark.createDataFrame(rows, "qualified_name string, name string, type string, language string, content string, ord int")
+    assert {(r.property, r.pos, r.target_qn) for r in resolve.resolve_bindings(df).collect()} == {("Name", 0, "q.XMainModels.Name"), ("Other", 1, "p.Other")}
+
+
 def test_text_rules(spark):
     def one(column, *values):
         df = spark.createDataFrame([(v,) for v in values], "v string")
