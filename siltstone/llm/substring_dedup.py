@@ -39,9 +39,9 @@ from siltstone.llm.shared import only_columns, ship, stored
 
 WINDOW, BLOCK = 50, 25
 #: Runs gathered before a batch is sent on.
-BATCH = 1_000_000
+BATCH = 600_000
 #: Bytes of text for which there is one bucket, and one part of the texts.
-BUCKET_BYTES, PART_BYTES = 8 << 20, 64 << 20
+BUCKET_BYTES, PART_BYTES = 4 << 20, 64 << 20
 _BITS = 48
 _PACKED = "bucket int, kind int, docs binary, doc_at binary, high binary, low binary, more binary, flags binary"
 _FIELDS = ["bucket", "kind", "docs", "doc_at", "high", "low", "more", "flags"]
