@@ -14,7 +14,7 @@ and only that bucket is sorted. So a source with a third of all rows is never in
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null source is a source of its own
 (last in order); a source without words has target 0; rows with equal ids are ordered by size; an empty table
-gives an empty result; a null weight counts as 0; extra columns pass through unless they bear the output's names.
+gives an empty result; a null weight counts as 0; extra columns pass through, whatever their names (mixing()).
 """
 
 from __future__ import annotations
@@ -111,12 +111,10 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return stored(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size")), "mix-sizes")
 
 
-def mixing(df: DataFrame, weights=repeating_weights, cap: float = CAP, seed: str = SEED, text_col: str = "text") -> DataFrame:
-    """The mixed table: rows of df, each as often as it is taken (a part of half or more counts as once)."""
-    columns = df.columns
-    rows = df.drop("size", "source_size", "target", "taken")
-    table = plan(sized(rows, text_col=text_col), weights, cap, seed)
-    out = take(rows.withColumn("size", F.size(words(F.col(text_col))).cast("long")), table, seed)
+def mixing(df: DataFrame, weights=repeating_weights, cap: float = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixed table: rows of df with all their columns, each as often as it is taken (a part of half or more counts as once)."""
+    table = plan(sized(df, id_col, text_col, source_col), weights, cap, seed)
+    rows = df.select(F.struct("*").alias("__row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
     copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    out = out.where((F.col("size") > 0) & (copies > 0)).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    return out.select(*[c for c in columns if c in rows.columns])
+    out = take(rows, table, seed).where((F.col("size") > 0) & (copies > 0)).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
+    return out.select("__row.*")

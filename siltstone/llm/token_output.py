@@ -107,7 +107,10 @@ def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str =
     ship(spark)
     rows = only_columns(df, id_col, text_col).toDF("doc_id", "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id (or of none) are cut by the beginnings of their texts, and equal ones by their place in the input: any number
+    # of them may lie in several parts, in the order of the sort.
+    keys = [F.col("doc_id"), F.left("text", F.lit(32)), F.monotonically_increasing_id()]
+    rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,3 +39,12 @@ def awkward(spark, with_clash: bool = True):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def megabyte(seed=11, repeats=0):
+    """A text of more than a million characters in words of three to nine letters."""
+    rnd = random.Random(seed)
+    vocab = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 9))) for _ in range(5000)]
+    text = " ".join(rnd.choice(vocab) for _ in range(170_000))
+    assert len(text) > 1 << 20
+    return text

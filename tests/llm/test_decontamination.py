@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from siltstone.llm.decontamination import clean, decontamination
-from tests.llm.fixtures import REAL, awkward, empty
+from tests.llm.fixtures import REAL, awkward, empty, megabyte
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -60,3 +60,20 @@ def test_awkward_rows_and_short_items(spark):
     assert kept.columns == docs.columns
     bad = {r[0] for r in brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]) if r[5]}
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in docs.collect() if r.doc_id not in bad), key=str)
+
+
+def test_long_texts(spark):
+    text = megabyte()
+    w = text.split()
+    docs = spark.createDataFrame([(1, text), (2, " ".join(w[500:600])), (3, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w[90_000:90_030])), (2, " ".join(w[-10:])), (3, " ".join(w[505:525]))], "item_id long, text string")
+    assert {r[0]: r[2:4] for r in check(docs, items)}[1][0] >= 60
+
+
+def test_many_items_with_the_same_windows(spark):
+    """Items that share windows, in documents that hold many of them: each document's items are the union, once."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    items = [(i, f"{shared} own{i} " + " ".join(f"o{i}x{j}" for j in range(12))) for i in range(60)]
+    docs = [(1, shared), (2, f"{shared} {shared}"), (3, items[7][1]), (4, " ".join(items[9][1].split()[31:]))]
+    want = check(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r[3] for r in want] == [60, 60, 60, 1]

@@ -75,4 +75,11 @@ def test_mixed_table(spark):
     sizes = {r.source: r.n for r in df.withColumn("n", F.size(op.words(F.col("text")))).groupBy("source").agg(F.sum("n").alias("n")).collect()}
     want = brute(sizes, dealt(sizes))
     assert all(abs(r.n - want[r.source]) < 0.25 * want[r.source] + 500 for r in words)
-    assert op.mixing(awkward(spark)).columns == [c for c in awkward(spark).columns if c not in ("size", "target")]
+    clash = op.mixing(awkward(spark))
+    assert clash.columns == awkward(spark).columns and {(r.size, r.target) for r in clash.collect()} == {("clash", "clash")}
+
+
+def test_long_texts(spark):
+    df = spark.createDataFrame([(1, "word " * 250_000, "a"), (2, "x " * 100, "b"), (3, "", "b")], "doc_id long, text string, source string")
+    rows = check(df)
+    assert max(n for _, _, n, _, _, _ in rows) == 250_000

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from siltstone.llm.quality_rules import RULES, allowed_rejections, cutoffs, quality_rules
-from tests.llm.fixtures import REAL, awkward, empty
+from tests.llm.fixtures import REAL, awkward, empty, megabyte
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,3 +73,10 @@ def test_guarantee_holds_on_fresh_rows(spark):
         wrong = sum(any(r[x] > table.get((s, x), 10**9) for x in RULES) for r in fresh)
         assert wrong <= 0.07 * len(fresh)
     assert cutoffs(rows.where("id < 40")).count() == 0
+
+
+def test_long_texts(spark):
+    text = megabyte()
+    rows = [(1, text, "en"), (2, "line of words # $\n" * 60_000, "en"), (3, "short", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    compare(df, quality_rules(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import pfor
 from siltstone.llm import token_output as op
-from tests.llm.fixtures import REAL, awkward, empty
+from tests.llm.fixtures import REAL, awkward, empty, megabyte
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = st.lists(st.sampled_from(list("astmdrvle'' \n\t\r059!?.,éßñΩя漢１\x1c\x85​‐€²") + ["<|endoftext|>", "'re", " '"]), max_size=60).map("".join)
@@ -59,3 +59,10 @@ def test_files(spark, monkeypatch):
     assert op.token_files(empty(spark), PATH).count() == 0
     monkeypatch.setattr(op, "SEGMENT", 100)
     check(awkward(spark).withColumn("doc_id", F.col("doc_id") * 7 % 5))
+
+
+def test_long_texts_and_one_id_for_all(spark):
+    """A text of a megabyte; and rows without an id, or with one and the same, in several parts."""
+    rows = [(1, megabyte()), (2, "short")] + [(None, f"text {i % 40}") for i in range(300)] + [(7, "the same")] * 300 + [(7, f"other {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(df)
