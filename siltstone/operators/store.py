@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import storable_calls
@@ -61,6 +61,16 @@ def changed_files(old: DataFrame, new: DataFrame, force: bool = False) -> DataFr
     return o.join(n, "rel_path", "full_outer").select("rel_path", status.alias("status"), F.coalesce("__new", "__old").alias("md5"))
 
 
+def _required(field) -> Column:
+    """A stored column; a missing line is 0, other missing values of columns that must have one are an error."""
+    value = F.col(field.name).cast(field.dataType)
+    if field.nullable:
+        return value
+    if field.name == "start_line":
+        return F.coalesce(value, F.lit(0))
+    return F.when(value.isNull(), F.raise_error(F.lit(f"{field.name} is missing"))).otherwise(value)
+
+
 class ChunkStore:
     """Tables in one folder: code_chunks, call_edges, file_state. A table is cut into buckets by the hash of its key; a write
     makes new files for the buckets that it touches, and nothing else is read or written. What files a table consists of is a
@@ -164,7 +174,7 @@ class ChunkStore:
         for f in CODE_CHUNKS.fields:
             if f.name not in rows.columns:
                 rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-        rows = self.staged(rows.select(*[F.col(f.name).cast(f.dataType) for f in CODE_CHUNKS.fields]), "chunks")
+        rows = self.staged(rows.select(*[_required(f).alias(f.name) for f in CODE_CHUNKS.fields]), "chunks")
         touched = self.touched("code_chunks", rows)
         old = self.table("code_chunks", touched)
         was = old.join(rows.select("qualified_name"), "qualified_name", "left_semi")
