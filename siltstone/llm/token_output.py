@@ -20,7 +20,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm import pfor
-from siltstone.llm.shared import only_columns, shared_folder, ship
+from siltstone.llm.shared import only_columns, ship
+from siltstone.scratch import scratch_path
 
 SEGMENT = 1 << 19
 CACHE_PIECES = 1_200_000
@@ -164,7 +164,7 @@ def read_tokens(spark: SparkSession, source: str) -> DataFrame:
 
 
 def token_files(df: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Write to the shared folder and read back."""
-    target = f"{shared_folder(df.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back; the files go when the application ends (write_tokens() writes where the caller says)."""
+    target = f"{scratch_path(df.sparkSession, 'tokens')}/files"
     write_tokens(df, tokenizer_path, target)
     return read_tokens(df.sparkSession, target)
