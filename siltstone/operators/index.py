@@ -97,7 +97,7 @@ class SearchIndex:
         n = rows.count()
         draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
         sample = sorted((str(r["id"]), r["unit"]) for r in rows.select("id", "unit").where(draw < SAMPLE / max(n, 1)).limit(2 * SAMPLE).toLocalIterator())  # bounded by SAMPLE
-        x = np.array([v for _, v in sample], dtype=np.float64).reshape(len(sample), -1)
+        x = np.array([v for _, v in sample], dtype=np.float64).reshape(len(sample), len(sample[0][1]) if sample else 0)
         centres = _centres(x.copy(), max(1, min(MOST_CELLS, int(math.sqrt(n)), len(x)))) if len(x) else np.zeros((1, 1))
         shared = self.spark.sparkContext.broadcast(centres)  # MOST_CELLS vectors at most
 
@@ -106,7 +106,8 @@ class SearchIndex:
             for b in batches:
                 yield pd.Series(np.argmax(np.array(b.tolist()) @ shared.value.T, axis=1).astype(np.int32) if len(b) else [], dtype="int32")
 
-        rows.select(cell("unit").alias("cell"), "id", "unit", *filters).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.folder}/vectors")
+        placed = rows.select(cell("unit").alias("cell"), "id", "unit", *filters).repartition("cell").write.mode("overwrite")
+        (placed.partitionBy("cell") if n else placed).parquet(f"{self.folder}/vectors")  # no rows, no folders: then the file tells the columns
         probes = self._probes(centres, x[:: max(1, len(x) // ASKED)][:ASKED])
         cells = pd.DataFrame({"cell": range(len(centres)), "centre": [c.tolist() for c in centres], "probes": probes})
         self.spark.createDataFrame(cells, "cell int, centre array<double>, probes int").write.mode("overwrite").parquet(f"{self.folder}/cells")
@@ -180,7 +181,9 @@ class SearchIndex:
             return rows.select("id", F.lit(0.0).alias("score")).limit(0)
         asked = [float(x) / length for x in query]
         if not exact:
-            cells = list(self.table("cells").toLocalIterator())  # MOST_CELLS rows at most
+            cells = [c for c in self.table("cells").toLocalIterator() if len(c["centre"]) == len(asked)]  # MOST_CELLS rows at most
+            if not cells:
+                return rows.select("id", F.lit(0.0).alias("score")).limit(0)
             near = np.argsort(-(np.array([c["centre"] for c in cells]) @ np.array(asked)), kind="stable")[: cells[0]["probes"]]
             rows = rows.where(F.col("cell").isin(*[cells[i]["cell"] for i in near]))
         rows = rows if where is None else rows.where(where)

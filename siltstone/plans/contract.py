@@ -237,19 +237,23 @@ def referenced_files(t):
 
 
 # --- text extraction -------------------------------------------------------------------------------------------------
-_ASCII = "regexp_replace(text, '[^ -~]', ' ', 'g')"
+#: A name between two word boundaries is a whole run of word characters; RE2's boundaries know ASCII alone, so SQL takes the runs.
+_RUNS = "regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+')"
 
 
-def _ascii(column: str) -> Column:
-    """Questions in plain characters: word boundaries of the two engines differ on others."""
-    return F.regexp_replace(column, "[^ -~]", " ")
+@query(
+    f"""SELECT item_id, list_sort(list_distinct(list_filter({_RUNS}, lambda w: regexp_full_match(w, '[A-Z][a-zA-Z0-9_]*|[a-z_][a-z0-9_]{{2,}}') AND lower(w) NOT IN {_names([w for w in text.NAME_STOP_WORDS])}))) AS names FROM benchmark"""
+)
+def extract_identifiers(t):
+    return t.benchmark.select("item_id", F.array_sort(text.identifiers(F.col("text"))).alias("names"))
 
 
 @query(
-    f"""SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all({_ASCII}, '\\b([A-Z][a-zA-Z0-9_]*|[a-z_][a-z0-9_]{{2,}})\\b', 1), lambda w: lower(w) NOT IN {_names([w for w in text.NAME_STOP_WORDS])}))) AS names FROM benchmark"""
+    f"""SELECT doc_id, list_sort(list_distinct(list_filter({_RUNS}, lambda w: regexp_full_match(w, '[A-Z][a-zA-Z0-9_]*|[a-z_][a-z0-9_]{{2,}}') AND lower(w) NOT IN {_names([w for w in text.NAME_STOP_WORDS])}))) AS names FROM documents"""
 )
-def extract_identifiers(t):
-    return t.benchmark.select("item_id", F.array_sort(text.identifiers(_ascii("text"))).alias("names"))
+def document_identifiers(t):
+    """The same rule over long texts in four languages."""
+    return t.documents.select("doc_id", F.array_sort(text.identifiers(F.col("text"))).alias("names"))
 
 
 @query(
