@@ -7,7 +7,6 @@ from functools import cache
 import numpy as np
 import xxhash
 
-_MASK = (1 << 64) - 1
 #: An odd base and its inverse modulo 2**64, for polynomial hashes of runs.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

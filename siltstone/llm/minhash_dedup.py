@@ -35,7 +35,6 @@ from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,14 +148,14 @@ class _Confirm:
         stay = dealt.select("hub", "block").distinct().join(self.sets, F.col("hub") == F.col("id")).select("hub", "block", F.lit(0).alias("kind"), "id", "set")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(0, np.uint64)
+            held, of = np.zeros(0, np.uint64), None
             for batch in batches:
                 found = []
                 for hub, kind, other, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                     s = np.frombuffer(data.as_buffer(), np.uint64)
                     if kind == 0:
-                        held = s.copy()
-                    elif similar(held, s, percent):
+                        held, of = s.copy(), hub
+                    elif of == hub and similar(held, s, percent):
                         found.append((hub, other))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 

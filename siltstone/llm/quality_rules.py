@@ -142,9 +142,9 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rul
         F.sum("good").over(whole).alias("n_good"),
         F.sum("bad").over(whole).alias("n_bad"),
     )
-    strata = labelled.agg(F.count_distinct(F.coalesce(F.col("stratum"), F.lit("\u0000"))).alias("strata"))
     each = tails.groupBy("stratum", "rule").agg(F.max("n_good").alias("n"))
-    limits = each.join(F.broadcast(strata)).select(  # one row
+    # Every stratum has one row a rule, so a rule's rows count the strata.
+    limits = each.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy("rule"))).select(
         F.col("stratum").alias("s"),
         F.col("rule").alias("r"),
         allowed_rejections(F.col("n"), alpha / len(rules), F.lit(delta / len(rules)) / F.greatest(F.lit(1), F.col("strata"))).alias("allowed"),
