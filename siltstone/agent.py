@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import THINKING, THOUGHT
 from siltstone.operators import context
 from siltstone.plans.prompts import prompt
 from siltstone.session import CodeEngine, tool_line
@@ -19,6 +20,23 @@ Answerer = Callable[[str], Iterator[str]]
 _CHUNK = ("qualified_name", "name", "type", "content", "filepath", "start_line", "language")
 
 
+def shown(pieces: Iterator[str]) -> Iterator[str]:
+    """An answer's pieces with its thinking tags shown as text, also tags that are cut between pieces: what may be the beginning
+    of a tag waits for the next piece."""
+    tags, held = {"<thinking>": THINKING, "</thinking>": THOUGHT}, ""
+    for piece in pieces:
+        held += piece
+        for tag, text in tags.items():
+            held = held.replace(tag, text)
+        at = held.rfind("<")
+        ready = held if at < 0 or not any(tag.startswith(held[at:]) for tag in tags) else held[:at]
+        held = held[len(ready) :]
+        if ready:
+            yield ready
+    if held:
+        yield held
+
+
 @dataclass
 class Agent:
     engine: CodeEngine
@@ -66,4 +84,4 @@ class Agent:
         if kept:
             rows = self.engine.spark.createDataFrame([(1, i + 1, *[r[c] for c in _CHUNK]) for i, r in enumerate(kept)], "one int, i int, qualified_name string, name string, type string, content string, filepath string, start_line int, language string")
             body = context.joined(rows, ["one"], ["i"], context.xml_item(F.col("i")), "", "xml").first()["xml"]
-        yield from self.answerer(prompt("general", question, f"<context>\n{body}</context>"))
+        yield from shown(self.answerer(prompt("general", question, f"<context>\n{body}</context>")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import errors, text
@@ -47,7 +46,7 @@ def tokenize_count(t):
 
 @query(f"WITH {_DF} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, n_terms, round(mean_idf, 6) AS mean_idf FROM s, m")
 def bm25_stats(t):
-    return search.bm25_stats(t.documents, "text").select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("mean_idf", 6).alias("mean_idf"))
+    return t.document_index.table("stats").select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("mean_idf", 6).alias("mean_idf"))
 
 
 @query(f"{_SCORES} SELECT doc_id, round(score, 6) AS score FROM r")
@@ -365,6 +364,12 @@ def traceback_block(t):
     return t.traces.select("event_id", text.traceback_block(q).alias("block"))
 
 
+@query(f"SELECT conv_id, turn, replace(replace(q, '<thinking>', '{text.THINKING}'), '</thinking>', '{text.THOUGHT}') AS shown FROM (SELECT conv_id, turn, concat('<thinking>', text, '</thinking> so ', text, CASE WHEN turn % 2 = 0 THEN ' <thinking> a < b' ELSE '' END) AS q FROM conversations)")
+def answer_shown(t):
+    q = F.expr("concat('<thinking>', text, '</thinking> so ', text, CASE WHEN turn % 2 = 0 THEN ' <thinking> a < b' ELSE '' END)")
+    return t.conversations.select("conv_id", "turn", text.thinking_tags(q).alias("shown"))
+
+
 @query("""SELECT event_id, list_sort(list_distinct(regexp_extract_all(error_text, 'File "([^"]+)"', 1) || regexp_extract_all(error_text, 'in ([^:]+\\.cs):line', 1))) AS files FROM traces""", "traces")
 def query_files(t):
     return t.traces.select("event_id", text.traceback_files(F.col("error_text")).alias("files"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.agent import Agent
+from siltstone.agent import Agent, shown
 from siltstone.functions import errors, text
 from siltstone.operators import context, graph, resolve, search, store
 from siltstone.operators.index import SearchIndex
@@ -246,6 +246,14 @@ def test_router_and_agent(spark, tree, tmp_path):
     assert len(steps) == 6
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<thinking>", "</thinking>", "<", "</th", "a", " b ", "ink", "ing>", ">"]), max_size=14), st.integers(1, 9))
+def test_tags_cut_between_pieces(parts, width):
+    whole = "".join(parts)
+    pieces = [whole[i : i + width] for i in range(0, len(whole), width)]
+    assert "".join(shown(iter(pieces))) == whole.replace("<thinking>", text.THINKING).replace("</thinking>", text.THOUGHT)
+
+
 def test_file_summaries_come_from_contents(spark, tree, tmp_path):
     engine = CodeEngine(spark, str(tmp_path / "store"), summarizer=lambda texts: [f"<think>x</think>about {len(t)}" for t in texts])
     engine.ingest(str(tree))
