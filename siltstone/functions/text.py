@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 TOKEN_SEPARATORS = "_.()[]{}=:,;\"'/"
+#: What str.split() takes for white space, apart from the blank.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20)
 NAME_STOP_WORDS = (
     "what", "does", "how", "why", "where", "when",
     "function", "class", "method", "file", "code", "this",
@@ -39,11 +41,13 @@ SHORT_CODE = "단순 속성/선언부: `"
 
 
 def tokens(text: Column, split_camel: bool = False) -> Column:
-    """Lower-cased search tokens: separators become blanks, then white space splits. split_camel parts camelCase first."""
-    clean = F.translate(F.coalesce(text, F.lit("")), TOKEN_SEPARATORS, " " * len(TOKEN_SEPARATORS))
+    """Lower-cased search tokens: separators and all white space become blanks, at which the text is cut (one blank as pattern takes
+    Java's fast split). split_camel parts camelCase first."""
+    gone = TOKEN_SEPARATORS + WHITE_SPACE
+    clean = F.translate(F.coalesce(text, F.lit("")), gone, " " * len(gone))
     if split_camel:
         clean = F.regexp_replace(clean, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.filter(F.split(F.lower(clean), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(clean), " "), lambda t: t != "")
 
 
 def query_tokens(query: str) -> list[str]:

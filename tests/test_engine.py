@@ -246,6 +246,12 @@ def test_router_and_agent(spark, tree, tmp_path):
     assert len(steps) == 6
 
 
+def test_tokens_equal_those_of_a_query(spark):
+    odd = ["a\u2003b\x1cc\x85d\u3000E", "x_y.z(1)", " ", "", "Ünïcode\xa0'q'\u200bw", "a\r\nb\tc\x0b\x0cd"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    assert [r[1] for r in df.select("i", text.tokens(F.col("t"))).orderBy("i").collect()] == [text.query_tokens(t) for t in odd]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["<thinking>", "</thinking>", "<", "</th", "a", " b ", "ink", "ing>", ">"]), max_size=14), st.integers(1, 9))
 def test_tags_cut_between_pieces(parts, width):
