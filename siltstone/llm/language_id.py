@@ -240,7 +240,8 @@ def _nearest_column(df: DataFrame, part: Part, text: Column) -> Column:
         for texts in batches:
             yield pd.DataFrame(nearest(shared.value, texts.tolist()), columns=["lang_pred", "score", "floor"])
 
-    return run(text)
+    # Else a filter on the result would have every text compared twice, in twice as many Python workers.
+    return run.asNondeterministic()(text)
 
 
 def language_id(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

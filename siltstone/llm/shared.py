@@ -35,6 +35,7 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         system, path = hadoop_path(df.sparkSession, df.stored_path)
         system.delete(path.getParent(), True)
+        system.cancelDeleteOnExit(path.getParent())
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
