@@ -77,3 +77,11 @@ def snippet(chunks: DataFrame, qualified_name: str) -> DataFrame:
 
 def without(rows: DataFrame, seen: DataFrame, key: str = "qualified_name") -> DataFrame:
     return rows.join(seen.select(key), key, "left_anti")
+
+
+def with_rows_of(found: DataFrame, chunks: DataFrame, key: str = "qualified_name") -> DataFrame:
+    """A short list (some tens of rows with a key) with the columns of the chunks it names. The list is made first; its keys then are
+    a filter of the scan, which skips what cannot hold them, and the other chunks' texts are not read."""
+    rows = list(found.toLocalIterator())
+    here = found.sparkSession.createDataFrame(rows, found.schema)
+    return chunks.where(F.col(key).isin(*[r[key] for r in rows])).join(F.broadcast(here), key)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions.text import query_tokens, tokens
 from siltstone.operators.index import SearchIndex
-from siltstone.operators.lookup import by_file_names, exact_or_suffix
+from siltstone.operators.lookup import by_file_names, exact_or_suffix, with_rows_of
 
 RRF_K = 60
 OVERFETCH, RERANK_SLICE = 4, 20
@@ -87,14 +87,14 @@ def hybrid_search(
 ) -> DataFrame:
     """Exact names, vector and BM25 lists, fusion, promotion, rerank. index: of the chunks, with filepath among its filters; it
     gives the lists without the chunks' texts. chunks: qualified_name, name, content. Gives qualified_name, position, exact.
-    Lists hold at most 4 * top_k rows, so all windows are small."""
+    Lists hold at most 4 * top_k rows, so all windows are small; the slate is found first, so that only its own
+    chunks' texts are read."""
     want = OVERFETCH * top_k
     near = index.vector_top(query_vector, want, where=by_file_names(F.col("filepath"), files) if files else None, exact=exact_vectors)
     fused = fuse(ranked(near, "id", 0), ranked(index.bm25_top(query, want), "id", 1))
     exact = exact_or_suffix(chunks, names or []).select(F.col("qualified_name").alias("id")).orderBy("id").limit(RERANK_SLICE)
     slate = promote(fused, exact).orderBy("position").limit(RERANK_SLICE)
-    texts = chunks.select(F.col("qualified_name").alias("id"), "content")
-    slate = texts.join(F.broadcast(slate), "id")  # RERANK_SLICE rows
-    scored = slate.withColumn("s", scorer(F.col("content"), query))
+    scored = with_rows_of(slate.withColumnRenamed("id", "qualified_name"), chunks.select("qualified_name", "content")).withColumnRenamed("qualified_name", "id")
+    scored = scored.withColumn("s", scorer(F.col("content"), query))
     order = Window.orderBy(F.desc("exact"), F.when(F.col("exact"), F.col("position")), F.desc("s"), "id")
     return scored.select(F.col("id").alias("qualified_name"), (F.row_number().over(order) - 1).alias("position"), "exact").where(F.col("position") < top_k)

@@ -153,7 +153,8 @@ class ChunkStore:
         manifest = self._manifest(name)
         data = f"d-{uuid.uuid4().hex}"
         rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.SCHEMAS[name].fields], self._bucket(name).alias("b"))
-        rows.repartition("b").write.partitionBy("b").parquet(f"{self.folder}/{name}/{data}")
+        # Sorted by key, so that a question for some keys skips most of a file.
+        rows.repartition("b").sortWithinPartitions("b", self.KEYS[name]).write.partitionBy("b").parquet(f"{self.folder}/{name}/{data}")
         made = {f[2:]: f"{data}/{f}" for f in self._listed(f"{name}/{data}") if f.startswith("b=")}
         stay = {} if touched is None else {b: f for b, f in manifest["files"].items() if int(b) not in touched}
         self._commit(name, {"buckets": manifest["buckets"], "files": stay | made})

@@ -152,12 +152,12 @@ class CodeEngine:
         """Hybrid search: qualified_name, position, exact, and the chunk's columns."""
         asked = self.spark.createDataFrame([(query,)], "q string").select(text.identifiers(F.col("q")).alias("n"), text.file_names(F.col("q")).alias("f")).first()
         hits = search.hybrid_search(self.index(), self.chunks(), query, self._vector(query), top_k, list(asked["n"]), list(asked["f"]), self.scorer)
-        return self.chunks().drop("embedding").join(F.broadcast(hits), "qualified_name").orderBy("position")  # top_k rows
+        return lookup.with_rows_of(hits, self.chunks().drop("embedding")).orderBy("position")
 
     def search_by_language(self, query: str, language: str, top_k: int = 10) -> DataFrame:
         near = self.index().vector_top(self._vector(query), top_k, F.col("language") == language)
         near = near.select(F.col("id").alias("qualified_name"), "score", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("position"))
-        return self.chunks().drop("embedding").join(F.broadcast(near), "qualified_name").orderBy("position")  # top_k rows
+        return lookup.with_rows_of(near, self.chunks().drop("embedding")).orderBy("position")
 
     def search_with_context(self, query: str, top_k: int = 5) -> DataFrame:
         """Hits with flow lines and, for the first three, callees that are known."""
@@ -220,7 +220,7 @@ class CodeEngine:
         """Flow lines of the seed (two hops) and of the first three names of the question (one hop); up to five callees' chunks."""
         names = re.findall(r"\b[A-Z][a-zA-Z0-9]+|[a-z][a-z0-9_]+[a-z0-9]\b", question)[:3]
         lines, callees = graph.question_flow(self.edges(), seed, names)
-        code = self.chunks().join(F.broadcast(callees.withColumnRenamed("callee_qn", "qualified_name")), "qualified_name", "left_semi")  # five names
+        code = lookup.with_rows_of(callees.withColumnRenamed("callee_qn", "qualified_name"), self.chunks())
         return lines, code
 
     def tools(self) -> dict[str, dict]:
