@@ -98,8 +98,13 @@ def _uncommented(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("*/"), F.lit("--"))
 
 
+def _spread(files):
+    """Files dealt out by path: a table that is one row group would be parsed by one task, and parsing costs far more than moving."""
+    return files.repartition("path")
+
+
 def _chunks(files):
-    rows = parse_source(files)
+    rows = parse_source(_spread(files))
     return rows.select("filepath", "qualified_name", "name", "type", "start_line", "calls", F.when(F.col("type").isin("class", "file"), F.col("content")).alias("content"), "status")
 
 
@@ -193,6 +198,6 @@ def parse_source_xaml(t):
     path = _path("ui/", "W", "View.xaml")
     views = t.documents.select(path.alias("path"), _source(XAML, safe).alias("text"))
     behind = t.documents.where("doc_id % 2 = 0").select(F.concat(path, F.lit(".cs")).alias("path"), F.concat(F.lit("class W"), "doc_id", F.lit("View : Window { }")).alias("text"))
-    rows = parse_source(with_code_behind(views.unionByName(behind)))
+    rows = parse_source(_spread(with_code_behind(views.unionByName(behind))))
     parted = F.when(F.col("content").startswith(VIEW_BANNER), F.substring_index("content", CODE_BANNER, -1))
     return rows.select("filepath", "qualified_name", "name", "type", "start_line", "calls", parted.alias("behind"))
