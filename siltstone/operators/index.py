@@ -28,6 +28,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Vectors that the cells' centres are fitted on; questions on which the recall of cells is measured, and what it must be.
 SAMPLE, ASKED, RECALL, TOP = 20_000, 100, 0.95, 10
 MOST_CELLS = 1024
+#: Bytes, as Spark estimates them, up to which a table is dealt out anew before it is indexed.
+SMALL = 1 << 30
 
 
 def idf_of(n: Column, df: Column) -> Column:
@@ -78,6 +80,9 @@ class SearchIndex:
     @classmethod
     def build(cls, docs: DataFrame, folder: str, id_col: str, text_col: str, vector_col: str | None = None, filters: tuple[str, ...] = ()) -> SearchIndex:
         out = cls(docs.sparkSession, folder)
+        # A small table may be one row group, which one task would tokenize; a large one has many and is not shuffled.
+        if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+            docs = docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)
         if vector_col:
             out._write_vectors(docs.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *filters), filters)
         out._write_words(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")))
