@@ -1,7 +1,10 @@
+import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from siltstone.llm import components as graph
 from siltstone.llm import minhash_dedup as op
 from siltstone.llm.components import connected_components
 from siltstone.llm.minhash_dedup import deduplicated, near_duplicates
@@ -139,3 +142,35 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 300)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 301)}, 1000: 1000, 1001: 1000}
+
+
+def test_components_of_a_chain_take_few_queries(spark, monkeypatch):
+    """What the driver holds grows with the queries that it plans, so a long chain must not take rounds of them."""
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, f=graph.stored: made.append(name) or f(df, name))
+    order = list(range(1, 2000))
+    random.Random(3).shuffle(order)
+    chain = [(order[i], order[i + 1]) for i in range(len(order) - 1)] + [(9000, 9002), (9001, 9002), (9002, 9003)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    want = {**dict.fromkeys(order, 1), 9000: 9000, 9001: 9000, 9002: 9000, 9003: 9000}
+    assert {r.node: r.component for r in connected_components(edges).collect()} == want
+    assert len(made) <= 2
+    monkeypatch.setattr(graph, "FEW", -1)  # the rounds of larger graphs
+    assert {r.node: r.component for r in connected_components(edges).collect()} == want
+    assert connected_components(edges.where("a < 0")).collect() == []
+
+
+def test_least_nodes():
+    rng = random.Random(5)
+    for n, m in ((1, 0), (2, 1), (30, 20), (200, 150), (2000, 1500)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        root = {x: x for p in pairs for x in p}
+        for _ in range(n):
+            before = dict(root)
+            for x, y in pairs:
+                root[x] = root[y] = min(root[x], root[y])
+            if root == before:
+                break
+        a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        nodes, least = graph.least_nodes(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == root
