@@ -267,6 +267,13 @@ def test_file_summaries_come_from_contents(spark, tree, tmp_path):
     assert row.summary.startswith("about ") and row.content.endswith("\nSummary: " + row.summary)
 
 
+def test_pages_of_the_engine_take_empty_texts_for_none(spark):
+    rows = [("a.f", "f", "function", "x", "", "about f", "a.py", 1, "python"), ("a.py", "a.py", "file", "", "", "", "a.py", 1, "python")]
+    chunks = spark.createDataFrame(rows, "qualified_name string, name string, type string, content string, summary string, docstring string, filepath string, start_line int, language string")
+    page = context.doc_files(chunks, "P").where("path = 'a.py.md'").first().doc_md
+    assert "| about f |" in page and "**Docstring:**\nabout f" in page and "File Overview" not in page
+
+
 def test_cells_find_what_is_near(spark):
     """Against brute force: at least 0.9 of the true nearest ten, over every hundredth vector as a question."""
     import numpy as np
