@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.scratch import hadoop_path, scratch_path
+from siltstone.scratch import bound_batches, hadoop_path, scratch_path
 
 #: Bytes `\x20 \x09-\x0D`: what separates words in most operators here.
 SPACES = "\t\n\x0b\x0c\r"
@@ -43,17 +43,10 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-#: Rows and bytes of one Arrow batch: texts can be long, and a batch is held by the JVM and by Python at once.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
-
-
 def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package, wherever they run (Spark's file server sends the zip), and bound the
     size of the batches that they get."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
-        now = spark.conf.get(key, str(most + 1))  # a smaller setting of the user's stays
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
+    bound_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_siltstone_shipped", False):
         return

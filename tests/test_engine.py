@@ -300,6 +300,16 @@ def test_index_of_awkward_texts(spark, tmp_path):
     assert empty.bm25_top("a", 3).count() == 0 and empty.vector_top([1.0, 2.0], 3, exact=False).count() == 0
 
 
+def test_postings_are_cut_by_their_number(spark, tmp_path, monkeypatch):
+    """A file holds about as many postings whatever the size of the table; one very common term is cut as well."""
+    monkeypatch.setattr("siltstone.operators.index.POSTINGS", 50, raising=False)
+    docs = spark.range(300).selectExpr("id", "concat('a b', id % 7, ' a x', id) AS t")
+    rows = SearchIndex.build(docs, str(tmp_path / "i"), "id", "t").table("postings")
+    held = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 900 and max(held) <= 150
+    assert {(r.tf, r.dl) for r in rows.where("term = 'a'").collect()} == {(2, 4)} and rows.where("term = 'a'").count() == 300
+
+
 def test_pages_of_callers(spark, monkeypatch):
     monkeypatch.setattr(graph, "CALLERS", 3)
     e = spark.createDataFrame([(f"c{i}", "hub") for i in range(20)] * 2 + [("x", "y")], "caller_qn string, callee_qn string")
