@@ -137,3 +137,16 @@ def test_table(spark):
     rows = out.collect()
     assert sum(r.type == "view" for r in rows) == 1 and {r.language for r in rows} == {"xaml", "python", "c_sharp"}
     assert "class Y" in next(r.content for r in rows if r.type == "view")
+
+
+def test_long_comments_are_cut_to_one_blank_and_places_kept():
+    from siltstone.sources.parsing.common import Squeezed, blanked
+
+    note = "/*" + "long words of a note;\n" * 20_000 + "*/"
+    text = f"class A {{\n  int f() {{ return new {note} B(g()).x; }}\n}} {note}"
+    short = Squeezed(blanked(text))
+    assert len(short.code) < 100
+    assert all(text[short.at(i)] == c for i, c in enumerate(short.code) if not c.isspace()) and short.after(len(short.code)) == len(text)
+    found = {c.name: c for c in parse("A.cs", text)}
+    assert found["f"].content == text[text.index("int f") : text.index(" B(g") + len(" B(g()).x; }")] and found["f"].start_line == 2
+    assert found["f"].calls == ["g"]  # a constructor, however far its name stands from `new`
