@@ -150,3 +150,19 @@ def test_long_comments_are_cut_to_one_blank_and_places_kept():
     found = {c.name: c for c in parse("A.cs", text)}
     assert found["f"].content == text[text.index("int f") : text.index(" B(g") + len(" B(g()).x; }")] and found["f"].start_line == 2
     assert found["f"].calls == ["g"]  # a constructor, however far its name stands from `new`
+
+
+def test_parsers_get_bounded_batches(spark):
+    from siltstone.scratch import ARROW_BYTES, ARROW_ROWS
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(size)
+    try:
+        spark.conf.set(rows, "10000")
+        spark.conf.set(size, str(1 << 30))
+        files = spark.range(2500).selectExpr("concat('f', id, '.py') path", "'x = 1\n' text").coalesce(1)
+        assert parse_source(files).count() == 2500
+        assert int(spark.conf.get(rows)) <= ARROW_ROWS and int(spark.conf.get(size)) <= ARROW_BYTES
+    finally:
+        spark.conf.set(rows, before[0])
+        spark.conf.set(size, before[1])
