@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.components import connected_components
 from siltstone.llm.hashing import mixed, run_hashes, word_hashes, words_of
-from siltstone.llm.shared import forget, only_columns, ship, small, stored
+from siltstone.llm.shared import forget, large, only_columns, ship, small, stored
 
 SIDE = 10
 #: Buckets of shingle counts; what the driver holds and broadcasts is 4 bytes each (8 MB), at any size of the input.
@@ -99,6 +99,13 @@ def _table_rows(classes: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("t", F.get("groups", i), F.get("groups", j + SIDE)).alias("key"), "cls")
 
 
+def _members(classes: DataFrame, shared: DataFrame, n_shared: int) -> DataFrame:
+    """key, cls, least of the rows of the tables k that several classes share. Spark sizes the rows of tables by their classes, though
+    there are SIDE * SIDE a class, so by itself it may broadcast them all."""
+    rows = _table_rows(classes)
+    return large(rows, n_shared).join(small(shared, n_shared), F.col("key") == F.col("k")).select("key", "cls", "least")
+
+
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     """Do two sorted sets reach the similarity?"""
     small_set, large = (p, q) if len(p) <= len(q) else (q, p)
@@ -144,7 +151,8 @@ class _Confirm:
         other = F.when(turn, F.col("a")).otherwise(F.col("b"))
         dealt = both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("hub"), other.alias("other"), F.pmod(F.xxhash64(other), F.ceil(F.greatest(F.coalesce("n1", F.lit(1)), F.coalesce("n2", F.lit(1))) / HUB)).alias("block"))
         dealt = stored(dealt, "near-dealt")
-        come = dealt.join(self.sets, F.col("other") == F.col("id")).select("hub", "block", F.lit(1).alias("kind"), "id", "set")
+        n_dealt = dealt.count()  # its file is small for its rows, and Spark goes by the file
+        come = small(large(dealt, n_dealt), n_dealt).join(self.sets, F.col("other") == F.col("id")).select("hub", "block", F.lit(1).alias("kind"), "id", "set")
         stay = dealt.select("hub", "block").distinct().join(self.sets, F.col("hub") == F.col("id")).select("hub", "block", F.lit(0).alias("kind"), "id", "set")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +274,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     classes = stored(classes, "near-classes")
     rows = _table_rows(classes)
     shared = stored(rows.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "least"), "near-tables")
-    members = stored(rows.join(shared, F.col("key") == F.col("k")).select("key", "cls", "least"), "near-members")
+    members = stored(_members(classes, shared, shared.count()), "near-members")
     stars = members.where("cls <> least").groupBy("cls", "least").agg(F.count(F.lit(1)).alias("n")).select(F.col("least").alias("a"), F.col("cls").alias("b"))
     stars = stored(stars, "near-stars")
     ids = members.select(F.col("cls").alias("id")).distinct()

@@ -43,6 +43,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def large(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be joined by shuffle with a side of that many counted rows unless they are few, whatever size Spark takes df for:
+    it goes by the bytes of files, which rows made by an explode, or well compressed, exceed many times."""
+    return df if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package, wherever they run (Spark's file server sends the zip), and bound the
     size of the batches that they get."""

@@ -174,3 +174,17 @@ def test_least_nodes():
         a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
         nodes, least = graph.least_nodes(a, b)
         assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == root
+
+
+def test_rows_of_tables_are_not_broadcast(spark):
+    """Spark takes them for as few as their classes; of a hundred rows a class the driver would have to hold all."""
+    from siltstone.llm import minhash_dedup as m
+    from siltstone.llm.shared import BROADCAST_ROWS
+
+    classes = spark.range(50).selectExpr("id AS cls", "transform(sequence(0, 19), i -> xxhash64(id % 5, i)) AS groups")
+    shared = m._table_rows(classes).groupBy("key").agg({"cls": "min"}).toDF("k", "least")
+    many = m._members(classes, shared, BROADCAST_ROWS + 1)
+    assert many.count() == 50 * m.SIDE * m.SIDE
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert many.exceptAll(m._members(classes, shared, 1)).isEmpty()
