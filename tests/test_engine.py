@@ -367,3 +367,25 @@ def test_fusion_of_lists(spark):
             score[x] = score.get(x, 0) + 1 / (60 + i)
     order = list(dict.fromkeys(a + b))
     assert got == sorted(order, key=lambda x: (-round(score[x], 12), order.index(x)))
+
+
+def test_index_computes_each_vector_once(spark, tmp_path):
+    """The rows may be a join over all texts; the count, the sample and the placing must not each run it again."""
+    from pyspark.sql import functions as F
+
+    from siltstone.operators.index import SearchIndex, hadoop_path
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def vector(i):
+        asked.add(1)
+        return None if i % 10 == 9 else [0.0, 0.0] if i % 10 == 8 else [float(i), 1.0]
+
+    rows = spark.range(100).select("id", F.lit("a word").alias("text"), vector("id").alias("v"))
+    index = SearchIndex.build(rows, str(tmp_path / "index"), "id", "text", "v")
+    assert asked.value == 100
+    held = {r["id"]: r["unit"] for r in index.table("vectors").collect()}
+    assert set(held) == {i for i in range(100) if i % 10 < 8} and held[3] == [3.0 / 10**0.5, 1.0 / 10**0.5]
+    system, path = hadoop_path(spark, f"{index.folder}/units")
+    assert not system.exists(path)
