@@ -124,6 +124,19 @@ def test_call_paths_equal_brute_force(spark, tmp_path):
     assert max(n for _, n in want) == 6 and len(got) == len(want) and set(got) == want
 
 
+def test_question_flow_reads_edges_once_a_hop(spark, tmp_path):
+    pairs = [("a", "b"), ("b", "c"), ("b", "a"), ("x", "a"), ("y", "x"), ("n", "a"), ("a", "a"), ("c", "n")]
+    spark.createDataFrame(pairs, "caller_qn string, callee_qn string").write.parquet(f"{tmp_path}/e")
+    lines, callees = graph.question_flow(spark.read.parquet(f"{tmp_path}/e"), "a", ["n", "n"])
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Relation [caller_qn") <= 2  # second hops, one a side
+    named = ["[Caller|depth=1] c", "[Callee|depth=1] a"] * 2
+    seed = [f"[Caller|depth=1] {x}" for x in "abnx"] + [f"[Caller|depth=2] {x}" for x in "cy"] + [f"[Callee|depth=1] {x}" for x in "ab"] + ["[Callee|depth=2] c"]
+    assert sorted(r.line for r in lines.collect()) == sorted(named + seed)
+    assert [r.callee_qn for r in callees.collect()] == ["a", "b"]
+    lines, callees = graph.question_flow(spark.read.parquet(f"{tmp_path}/e"), "", [])
+    assert not lines.count() and not callees.count()
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=14, unique=True), st.integers(1, 4))
 def test_reachable_equals_path_enumeration(spark, pairs, depth):
