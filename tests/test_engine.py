@@ -323,6 +323,20 @@ def test_postings_are_cut_by_their_number(spark, tmp_path, monkeypatch):
     assert {(r.tf, r.dl) for r in rows.where("term = 'a'").collect()} == {(2, 4)} and rows.where("term = 'a'").count() == 300
 
 
+def test_postings_are_moved_in_lists(spark, tmp_path, monkeypatch):
+    """Far fewer rows are sorted than there are postings, which stay those of every document."""
+    texts = [" ".join(["a"] * (i % 3) + [f"w{i % 5}", "b", f"w{i % 5}"]) if i % 11 else None for i in range(600)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, t string").repartition(3)
+    monkeypatch.setattr("siltstone.operators.index.TOKENS", 100, raising=False)
+    index = SearchIndex.build(docs, str(tmp_path / "i"), "id", "t")
+    want = {(w, f"d{i}", len(t.split()), t.split().count(w)) for i, t in enumerate(texts) if t for w in t.split()}
+    got = [(r.term, r.id, r.dl, r.tf) for r in index.table("postings").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert index.table("lists").count() < len(want) / 3 and index.table("docs").count() == 600
+    assert (index.stats["n_docs"], index.stats["n_terms"]) == (600, 7)
+    assert index.stats["avgdl"] == sum(len((t or "").split()) for t in texts) / 600
+
+
 def test_pages_of_callers(spark, monkeypatch):
     monkeypatch.setattr(graph, "CALLERS", 3)
     e = spark.createDataFrame([(f"c{i}", "hub") for i in range(20)] * 2 + [("x", "y")], "caller_qn string, callee_qn string")
