@@ -337,6 +337,21 @@ def test_postings_are_moved_in_lists(spark, tmp_path, monkeypatch):
     assert index.stats["avgdl"] == sum(len((t or "").split()) for t in texts) / 600
 
 
+@pytest.mark.parametrize("limit", ["-1", "1k"])
+def test_texts_are_not_sorted_for_their_vectors(spark, limit):
+    """Whatever the session's limit of broadcasts."""
+    from siltstone.plans.views import Tables
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        plan = Tables(spark, "/root/testdata/sf0.001").vectors._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_pages_of_callers(spark, monkeypatch):
     monkeypatch.setattr(graph, "CALLERS", 3)
     e = spark.createDataFrame([(f"c{i}", "hub") for i in range(20)] * 2 + [("x", "y")], "caller_qn string, callee_qn string")
